@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, simhash
+from . import line_dedup, media, mixing, near_embed, packing, secrets, simhash, toxicity
 from .common import read
 
 #: A line is its site's boilerplate if it is on more than this part of the pages, and on so many at least.
 LINE_RATIO, LINE_PAGES = 0.1, 10
 
 
+def fold(id_col: str = "doc_id") -> Column:
+    """The number of a document's fifth: crc32 of its id as text, modulo 5."""
+    return F.crc32(F.col(id_col).cast("string")) % 5
+
+
+def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_embed.near(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", least=0.9)
+    return out.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        (F.col("id") == F.col("component")).alias("kept"),
+    )
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = line_dedup.without_boilerplate(docs, "text", "source", LINE_RATIO, LINE_PAGES)
@@ -34,6 +50,27 @@ FROM pages p LEFT JOIN by_site b ON p.source IS NOT DISTINCT FROM b.source
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(fold() != 0)
+    model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
+    return toxicity.scored(docs, model, "text").select(
+        "doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(read(spark, sf_dir, "documents"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.stored_media(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = simhash.grouped(docs, "doc_id", "text", shingle=3, radius=2)
@@ -52,8 +89,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_embeddings": op1_near_embeddings,
         "op2_line_dedup": op2_line_dedup,
+        "op3_toxicity": op3_toxicity,
+        "op4_packing": op4_packing,
+        "op7_secrets": op7_secrets,
         "op8_simhash": op8_simhash,
+        "op9_media": op9_media,
         "op10_mixing": op10_mixing,
     }
 
