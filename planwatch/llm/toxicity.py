@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, stored
 
 #: Groups of terms that a neutral sentence may name interchangeably.
 IDENTITY_TERMS = (
@@ -57,73 +57,54 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -500, 500))))
 
 
-def swaps(texts: list[str], labels: np.ndarray, most: int = 4) -> list[tuple[set[str], set[str]]]:
-    """Features of labelled sentences, and of the same with an identity term swapped for, or a neutral mention
-    added of, each of up to most other terms."""
+def swaps(text: str, label: int, number: int, most: int = 4) -> list[tuple[set[str], set[str]]]:
+    """Features that counterfactuals of a labelled text add and take away.
+
+    In each sentence every identity term is swapped for each of up to most others of its group; a text that isn't toxic also
+    gets one neutral mention added, of the term whose turn number it is.
+    """
     out = []
-    for text, label in zip(texts, labels, strict=True):
-        for sentence in re.split(r"(?<=[.!?])\s+", text)[:50]:
-            words = {w.lower() for w in WORD.findall(sentence)}
-            for group in IDENTITY_TERMS:
-                for term in words & set(group):
-                    for other in [g for g in group if g != term][:most]:
-                        out.append((features(sentence), features(re.sub(rf"\b{term}\b", other, sentence, flags=re.I))))
-    neutral = [t[:300] for t, y in zip(texts, labels, strict=True) if y == 0][:400]
-    terms = [t for g in IDENTITY_TERMS for t in g]
-    for i, text in enumerate(neutral):
-        term = terms[i % len(terms)]
-        out.append((features(text), features(f"{text} {term}")))
+    for sentence in re.split(r"(?<=[.!?])\s+", text):
+        words = {w.lower() for w in WORD.findall(sentence)}
+        for group in IDENTITY_TERMS:
+            for term in sorted(words & set(group)):
+                before = features(sentence)
+                for other in [g for g in group if g != term][:most]:
+                    after = features(re.sub(rf"\b{term}\b", other, sentence, flags=re.I))
+                    out.append((after - before, before - after))
+    if not label:
+        terms = [t for g in IDENTITY_TERMS for t in g]
+        out.append((features(terms[number % len(terms)]) - features(text), set()))
     return out
 
 
-def fit(texts: list[str], labels: np.ndarray, l1: float = 1.5, swap_weight: float = 1.0, steps: int = 400, least_docs: int = 3, most_features: int = 3000) -> Model:
-    """A sparse logistic model (proximal gradient with momentum, L1 penalty l1 / documents).
+def fit(names: list[str], docs: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], l1: float = 1.5, swap_weight: float = 1.0, steps: int = 400) -> Model:
+    """A sparse logistic model by proximal gradient steps with momentum and an L1 penalty of l1 / documents.
 
-    Of the features in at least least_docs documents, the most_features whose frequency differs most surely between the classes take part.
-    swap_weight weighs the mean squared change of log odds over swaps(). Classes count evenly by the square root of their sizes.
-    With no document, or but one class, the model is constant.
+    docs: each document's features, as places in names. changes: the features and signs of each of swaps(); swap_weight
+    weighs the mean square of the change of log odds. The classes weigh as the square roots of their sizes. With no
+    document, or but one class, the model is constant.
     """
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, 0.0 if not len(y) else (6.0 if y[0] else -6.0))
-    seen: dict[str, int] = {}
-    sets = [features(t) for t in texts]
-    for s in sets:
-        for f in s:
-            seen[f] = seen.get(f, 0) + 1
-    pairs = swaps(texts, y)
-    least_docs = max(2, min(least_docs * len(y) // 2000, 20))
-    toxic: dict[str, int] = {}
-    for s, label in zip(sets, y, strict=True):
-        for f in s if label else ():
-            toxic[f] = toxic.get(f, 0) + 1
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
-
-    def apart(f: str) -> float:
-        c, c1 = seen[f], toxic.get(f, 0)
-        p = c / len(y)
-        return abs(c1 / n1 - (c - c1) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-
-    often = sorted(f for f, n in seen.items() if n >= least_docs and n < 0.5 * len(y))
-    names = sorted(sorted(often, key=apart, reverse=True)[:most_features])
-    at = {f: i for i, f in enumerate(names)}
-    rows = np.repeat(np.arange(len(sets)), [len(s & at.keys()) for s in sets])
-    cols = np.array([at[f] for s in sets for f in sorted(s & at.keys())], np.int64)
-    changed = [(p, sorted((a ^ b) & at.keys()), a) for p, (a, b) in enumerate(pairs)]
-    srow = np.array([p for p, fs, _ in changed for _ in fs], np.int64)
-    scol = np.array([at[f] for _, fs, _ in changed for f in fs], np.int64)
-    sign = np.array([1.0 if f not in a else -1.0 for _, fs, a in changed for f in fs])
-    n, m, k = len(y), max(len(pairs), 1), len(names)
+    n, m, k = len(y), max(len(changes), 1), len(names)
+    rows, cols = np.repeat(np.arange(n), [len(d) for d in docs]), np.concatenate([*docs, np.empty(0)]).astype(np.int64)
+    srow = np.repeat(np.arange(len(changes)), [len(c) for c, _ in changes])
+    scol, sign = (np.concatenate([np.empty(0), *(c[i] for c in changes)]) for i in (0, 1))
+    scol = scol.astype(np.int64)
     even = np.where(y == 1, np.sqrt((y == 0).sum() / (y == 1).sum()), 1.0)
     even /= even.mean()
 
+    def pull(v: np.ndarray) -> np.ndarray:
+        """The gradient of the penalty on changes of log odds."""
+        change = np.bincount(srow, sign * v[scol], m)
+        return 2 * swap_weight / m * np.bincount(scol, sign * change[srow], k)
+
     def curved(x: np.ndarray) -> np.ndarray:
         """The largest curvature that the loss can have, times x (the last element: the bias)."""
         u = even / (4 * n) * (np.bincount(rows, x[:-1][cols], n) + x[-1])
-        out = np.append(np.bincount(cols, u[rows], k), u.sum())
-        if len(srow):
-            out[:-1] += 2 * swap_weight / m * np.bincount(scol, sign * np.bincount(srow, sign * x[:-1][scol], m)[srow], k)
-        return out
+        return np.append(np.bincount(cols, u[rows], k) + pull(x[:-1]), u.sum())
 
     x = np.ones(k + 1)
     for _ in range(12):
@@ -134,31 +115,71 @@ def fit(texts: list[str], labels: np.ndarray, l1: float = 1.5, swap_weight: floa
     for _ in range(steps):
         z = np.bincount(rows, v[cols], n) + vb
         g = even * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        grad = np.bincount(cols, g[rows], k)
-        if len(srow):
-            change = np.bincount(srow, sign * v[scol], m)
-            grad += 2 * swap_weight / m * np.bincount(scol, sign * change[srow], k)
-        step = v - rate * grad
+        step = v - rate * (np.bincount(cols, g[rows], k) + pull(v))
         new = np.sign(step) * np.maximum(np.abs(step) - rate * l1 / n, 0)
         nb = vb - rate * g.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, vb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
-        if ((v - new) * (new - w)).sum() < 0:
-            v, vb, t2 = new.copy(), nb, 1.0
-        w, b, t = new, nb, t2
+        restart = ((v - new) * (new - w)).sum() > 0
+        ahead = 0.0 if restart else (t - 1) / t2
+        v, vb, w, b, t = new + ahead * (new - w), nb + ahead * (nb - b), new, nb, 1.0 if restart else t2
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if x}, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, most_features: int = 3000) -> Model:
     """The model of at most sample documents with a label: all if there are no more, else those of least hash.
 
-    Rows whose label is null don't count; of repeated labels of an id the largest does.
+    Of the features of several of them (and under half), those most_features take part whose frequency differs most surely
+    between the classes. The driver gets these features, and of each document of the sample which it has. Rows whose label is null don't
+    count; of repeated labels of an id the largest does.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("int").alias("y"))
-    some = known.orderBy(F.xxhash64("k"), "k").limit(sample)
-    # At most sample rows of two numbers: the texts stay where they are.
-    got = docs.join(F.broadcast(some), docs[id_col] == F.col("k")).select("k", F.col(text_col).alias("text"), "y").toPandas().sort_values(["k", "text"])
-    return fit([t or "" for t in got["text"]], got["y"].to_numpy())
+    some = known.orderBy(F.xxhash64("k"), "k").limit(sample)  # two numbers a row: the texts stay where they are
+    taught = stored(docs.join(F.broadcast(some), docs[id_col] == F.col("k")).select("k", F.coalesce(F.col(text_col), F.lit("")).alias("text"), "y"))
+    n, n1 = taught.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    n0 = n - n1
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in by_size(frames, "text", 2_000_000):
+            seen: dict[str, list[int]] = {}
+            for text, y in zip(pdf["text"], pdf["y"], strict=True):
+                for f in features(text):
+                    c = seen.setdefault(f, [0, 0])
+                    c[0] += 1
+                    c[1] += y
+            yield pd.DataFrame([(f, *c) for f, c in seen.items()], columns=["f", "n", "n1"])
+
+    least_docs = max(2, min(3 * n // 2000, 20))
+    p = F.col("n") / n
+    apart = F.abs(F.try_divide(F.col("n1"), F.lit(n1)) - F.try_divide(F.col("n") - F.col("n1"), F.lit(n0))) / F.sqrt(p * (1 - p))
+    names = [
+        r[0]
+        for r in taught.mapInPandas(counted, "f string, n long, n1 long")
+        .groupBy("f")
+        .agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+        .where((F.col("n") >= least_docs) & (F.col("n") < 0.5 * n))
+        .orderBy(apart.desc_nulls_last(), "f")
+        .limit(most_features)
+        .select("f")
+        .collect()
+    ]
+    at = {f: i for i, f in enumerate(names)}
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for k, text, y in zip(pdf["k"], pdf["text"], pdf["y"], strict=True):
+                out.append((k, "doc", y, sorted(at[f] for f in features(text) & at.keys()), []))
+                for plus, minus in swaps(text, y, zlib.crc32(str(k).encode())):
+                    signs = {at[f]: s for fs, s in ((plus, 1.0), (minus, -1.0)) for f in fs & at.keys()}
+                    if signs:
+                        out.append((k, "swap", y, list(signs), list(signs.values())))
+            yield pd.DataFrame(out, columns=["k", "kind", "y", "places", "signs"])
+
+    got = taught.mapInPandas(placed, "k long, kind string, y int, places array<int>, signs array<double>").toPandas()
+    got["order"] = got["places"].map(lambda x: tuple(x))
+    got = got.sort_values(["kind", "k", "order"])
+    doc, swap = got[got["kind"] == "doc"], got[got["kind"] == "swap"]
+    return fit(names, list(doc["places"]), doc["y"].to_numpy(), list(zip(swap["places"], swap["signs"], strict=True)))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str, score_col: str = "score") -> DataFrame:
