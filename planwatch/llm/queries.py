@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, lm_score, media, mixing, near_embed, packing, secrets, simhash, toxicity
+from . import line_dedup, lm_score, media, mixing, near_embed, packing, secrets, simhash, suffix_dedup, toxicity
 from .common import read
 
 #: A line is its site's boilerplate if it is on more than this part of the pages, and on so many at least.
@@ -63,6 +63,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(read(spark, sf_dir, "documents"), length=100)
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return lm_score.scored(docs, fold() != 1).withColumn("held_out", fold() == 1)
@@ -98,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_lm_score": op6_lm_score,
         "op7_secrets": op7_secrets,
         "op8_simhash": op8_simhash,
