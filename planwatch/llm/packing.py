@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -14,34 +16,56 @@ from pyspark.sql import functions as F
 
 from .common import by_size
 
-#: Distinct chunks of text whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Parts of texts whose ids a worker remembers before it forgets those not met for as long.
+REMEMBERED = 400_000
+#: The byte alphabet of byte-level vocabularies, by its rule: printable Latin-1 signs stand for themselves, other bytes for signs from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
 
 
-class Encoder:
-    """Ids of whole texts by a tokenizer whose tokens never span white space.
+class Remembered(dict):
+    """Ids, as bytes of uint32, of the parts of texts between spaces; each met anew is encoded once.
 
-    Such a tokenizer gives a text the ids of its parts between spaces and line ends one after the other, so each
-    distinct part is encoded once and remembered.
+    A part of letters alone is one word to the tokenizer, as are marks after it: these go to the model itself, normalised.
     """
 
+    def __init__(self, tokenizer: Any):
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.encode(part)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+    def encode(self, part: str) -> bytes:
+        word = part.rstrip(".,;:!?")
+        low = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
+        if not low.isalpha():
+            return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        tokens = self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(ALPHABET))
+        if len(word) < len(part):
+            tokens += self.model.tokenize(part[len(word) :])
+        return array("I", [t.id for t in tokens]).tobytes()
+
+
+class Encoder:
+    """Ids of whole texts by a lower-casing byte-level tokenizer that splits at white space and between letters, digits and marks."""
+
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.end = np.uint32(end).tobytes()
+        self.known = Remembered(Tokenizer.from_file(path))
+        self.end = array("I", [end]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set().union(*parts) - self.known.keys())
-        if new:
-            for part, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(got.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)) + self.end, np.uint32) for p in parts]
+        ids = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids, t.replace("\n", " ").split(" "))) + self.end, np.uint32) if t else np.frombuffer(self.end, np.uint32) for t in texts]
 
 
 class Packer:
