@@ -92,31 +92,32 @@ def balanced(hist: DataFrame, goal: DataFrame, most: float = 2.0, steps: int = 4
     return state.select("source", "source_size", "target", "scale", "dual")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
-    """docs' (id, source), size, source_size, target, copies int, taken long: how often the mix takes each document.
+def with_copies(sizes: DataFrame, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+    """docs (id, source, size and others) with source_size, target and copies int: how often the mix of sizes (stored: id, source, size) takes each.
 
     Rates come from balanced(); a rate becomes whole copies by a draw that depends on the id alone, so
     reruns agree. What a source's copies then miss of its target is made up by single copies of at
-    most two documents of each power of two of sizes, largest first, as long as they fit. Null and empty texts have size 0 and
+    most two documents of each power of two of sizes, largest first, as long as they fit. Documents of size 0
     are never taken; a null source is a source; rows with the same id and size share their fate in the draw, and only rows
     that are alone with their id are used to make up. An empty table gives no rows.
     """
-    sizes = stored(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    )
     # Equal sizes of a source share a rate, so Newton runs over a histogram.
     hist = stored(sizes.groupBy("source", "size").agg(F.count("*").alias("n")))
     goal = checkpointed(targets(hist.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most))
-    dual = small(balanced(hist, goal, most), 100_000).alias("d")
+    dual = small(balanced(hist, goal, most).withColumnRenamed("source", "of"), 100_000)
     draw = F.pmod(F.xxhash64("id", F.lit("copies")), F.lit(1 << 52)) / float(1 << 52)
     rate = F.when(F.col("target") >= most * F.col("source_size"), F.lit(float(most))).otherwise(
         most / (1 + F.exp(-F.col("dual") * F.col("size") / F.col("scale")))
     )
-    drawn = (
-        sizes.join(dual, sizes.source.eqNullSafe(F.col("d.source")))
-        .select("id", sizes.source, "size", "source_size", "target", F.least(F.floor(rate + draw), F.lit(most)).cast("int").alias("copies"))
-        .withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0))
-    )
+
+    def draw_copies(rows: DataFrame) -> DataFrame:
+        return (
+            rows.join(dual, F.col("source").eqNullSafe(F.col("of")))
+            .withColumn("copies", F.when(F.col("size") > 0, F.least(F.floor(rate + draw), F.lit(most)).cast("int")).otherwise(0))
+            .drop("of", "scale", "dual")
+        )
+
+    drawn = draw_copies(sizes)
     # A few spare documents of each power of two: two that a copy can be added to, two that one can be taken from.
     spare = (
         drawn.where("size > 0")
@@ -154,7 +155,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     made_up = stored(moves.select(F.explode(F.aggregate("spare", start, exact)["ids"]).alias("k"), "step"))
     return (
-        drawn.join(small(made_up, 100_000), F.col("id") == F.col("k"), "left")
+        draw_copies(docs)
+        .join(small(made_up, 100_000), F.col("id") == F.col("k"), "left")
         .withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0)))
-        .select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+        .drop("k", "step")
+    )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id, source, size, source_size, target, copies int, taken long for each row of docs; see with_copies(). A null text has size 0."""
+    sizes = stored(
+        docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     )
+    return with_copies(sizes, sizes).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))

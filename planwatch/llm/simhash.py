@@ -63,59 +63,66 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, word
     )
 
 
-def near_pairs(
-    planes: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of rows in the same bucket whose fingerprints differ in at most radius bits.
-
-    planes: uint8 [bits, rows], a bit plane a row. Rows of a bucket stand together. Row i is held
-    against row i + d for all i at once: the planes are packed into 64-lane words, each plane's
-    differences are added into carry-save counters (biased so that the carry out of the top
-    one says that the radius is exceeded), and words all of whose lanes exceed it are abandoned.
-    side: where rows have different non-negative sides, only they meet (pairs within a side were met elsewhere).
+def joined(planes: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+    """For each row the first row that links of at most radius differing bits reach within its bucket.
+
+    planes: uint8 [bits, rows], a bit plane a row; rows of a bucket stand together. The planes are packed into words of
+    64 lanes, and row i is held against row i + d for all i at once: each plane's differences to the plane moved
+    by d lanes go into carry-save counters, biased so that the carry out of the top one says that the radius is exceeded. Words
+    all of whose lanes exceed it, are joined already or have no partner are abandoned.
+    side: where rows have different non-negative sides, only they meet (pairs within a side meet elsewhere).
     """
     bits, n = planes.shape
     top = max(1, math.ceil(math.log2(radius + 1)))
     bias = 2**top - 1 - radius
-    ends = np.searchsorted(bucket, bucket, side="right")
-    room = ends - np.arange(n)
-    rows = np.flatnonzero(room > 1)
-    for d in range(1, int(room.max(initial=1))):
-        rows = rows[room[rows] > d]
-        at = rows[(side[rows] < 0) | (side[rows] != side[rows + d])]
-        if not len(at):
-            continue
-        lanes = len(at)
-        pad = -lanes % 64
-        over = np.zeros((lanes + pad) // 64, np.uint64)
-        if pad:
-            over[-1] = np.uint64((2**64 - 1) ^ ((1 << (64 - pad)) - 1))
-        count = [np.full_like(over, np.uint64(2**64 - 1) if bias >> k & 1 else np.uint64(0)) for k in range(top)]
-        live = np.arange(len(over))
-        lane = np.concatenate([at, np.repeat(at[-1:], pad)]).reshape(-1, 64)
+    full = np.uint64(2**64 - 1)
+    words = -(-n // 64)
+    packed = np.zeros((bits, 8 * (words + 1)), np.uint8)
+    packed[:, : -(-n // 8)] = np.packbits(planes, axis=1, bitorder="little")
+    packed = packed.view(np.uint64)
+    lab = np.arange(n)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    size = np.diff(np.r_[first, n])
+    room = np.repeat(first + size, size) - np.arange(n)
+    sided, d = (side >= 0).any(), 0
+    while d + 1 < room.max(initial=0):
+        d += 1
+        ok = (room[:-d] > d) & (lab[:-d] != lab[d:])
+        if sided:
+            ok &= (side[:-d] < 0) | (side[:-d] != side[d:])
+        mask = np.zeros(8 * words, np.uint8)
+        mask[: -(-len(ok) // 8)] = np.packbits(ok, bitorder="little")
+        mask = mask.view(np.uint64)
+        live = np.flatnonzero(mask)
+        over = ~mask[live]
+        count = [np.full(len(live), full if bias >> k & 1 else np.uint64(0)) for k in range(top)]
+        jump, shift = d // 64, np.uint64(d % 64)
         for p in range(0, bits, 16):
-            some = lane[live].ravel()
-            diff = np.packbits(planes[p : p + 16, some] ^ planes[p : p + 16, some + d], axis=1, bitorder="little")
-            diff = np.ascontiguousarray(diff).view(np.uint64)
+            if not len(live):
+                break
+            part = packed[p : p + 16]
+            near = part[:, np.minimum(live + jump, words)]
+            if shift:
+                near = near >> shift | part[:, np.minimum(live + jump + 1, words)] << (np.uint64(64) - shift)
+            diff = part[:, live] ^ near
             for q in range(0, len(diff) - 1, 2):  # a full adder takes two planes at a time
-                x, y, one = diff[q], diff[q + 1], count[0]
-                half = x ^ y
-                carry = (x & y) | (half & one)
+                half, one = diff[q] ^ diff[q + 1], count[0]
+                carry = (diff[q] & diff[q + 1]) | (half & one)
                 count[0] = half ^ one
                 for k in range(1, top):
                     count[k], carry = count[k] ^ carry, count[k] & carry
                 over |= carry
-            keep = over != np.uint64(2**64 - 1)
-            if not keep.any():
-                live = live[:0]
-                break
+            keep = over != full
             if not keep.all():
                 live, over, count = live[keep], over[keep], [c[keep] for c in count]
         if len(live):
             hit = np.unpackbits(over.view(np.uint8), bitorder="little").reshape(-1, 64) == 0
-            found = lane[live][hit]
-            if len(found):
-                yield found, found + d
+            i = (live[:, None] * 64 + np.arange(64))[hit]
+            lab = local_components(lab, i, i + d)
+        if d & (d - 1) == 0:  # buckets that are one set by now are done
+            low, high = np.minimum.reduceat(lab, first), np.maximum.reduceat(lab, first)
+            room[np.repeat(low == high, size)] = 0
+    return lab
 
 
 def bands(bits: int, radius: int) -> list[tuple[int, int]]:
@@ -152,10 +159,8 @@ def links(
             planes = np.ascontiguousarray(
                 np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little").T
             )
-            ids, lab = pdf["id"].to_numpy(), np.arange(len(pdf))
-            _, bucket = np.unique(pdf["bucket"].to_numpy(), return_inverse=True)
-            for i, j in near_pairs(planes, bucket, pdf["side"].to_numpy(), radius):
-                lab = local_components(lab, i, j)
+            ids = pdf["id"].to_numpy()
+            lab = joined(planes, pdf["bucket"].to_numpy(), pdf["side"].to_numpy(), radius)
             on = lab != np.arange(len(lab))
             if on.any():
                 yield pd.DataFrame({"a": ids[on], "b": ids[lab[on]]})
@@ -210,3 +215,25 @@ def grouped(
         "fp", F.coalesce("component", "id").alias("component")
     )
     return prints.join(unpartitioned(named), "fp").select("id", "fp", "component")
+
+
+def near_radius(similarity: float, bits: int, deviations: float = 1.0) -> int:
+    """Differing bits of two fingerprints of distinct shingles whose Jaccard similarity is as given: the mean and so many standard deviations."""
+    part = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * part + deviations * math.sqrt(bits * part * (1 - part)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """id, component long: groups of documents that share at least similarity of their distinct shingles (Jaccard).
+
+    The similarity is read off wide fingerprints, whose number of bits follows the number of documents: a band has
+    bits enough for small buckets, and there are bands enough that a pair at the similarity agrees on one with chance recall.
+    Nulls, empties, repeated ids and empty tables are as in grouped().
+    """
+    n = docs.count()
+    part = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = max(12, math.ceil(math.log2(max(n, 1) / 64)))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - part) ** width))
+    words = math.ceil(count * width / 64)
+    keys = [(k * width, (k + 1) * width) for k in range(64 * words // width)]
+    return grouped(docs, id_col, text_col, shingle, near_radius(similarity, 64 * words), words, True, keys).drop("fp")
