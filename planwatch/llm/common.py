@@ -69,6 +69,34 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), key).sortWithinPartitions(key)
 
 
+def meetings(rows: DataFrame, keys: list[str], id_col: str, block: int, sizes: DataFrame | None = None) -> DataFrame:
+    """rows with bucket long and side int instead of keys, dealt so that rows of a bucket stand together.
+
+    Rows of equal keys share a bucket. More than block of them are cut into pieces by id, and each pair of pieces gets a bucket of
+    its own: side is the row's piece there, or -1 in the bucket of one piece alone (and of uncut rows). So each two rows of equal
+    keys meet once with sides that differ or are -1, and no bucket has more than about twice block rows.
+    sizes: rows of keys, if that is cheaper than rows to count.
+    """
+    hot = small(
+        stored(
+            (sizes or rows)
+            .groupBy(*keys)
+            .agg(F.count("*").alias("n"))
+            .where(F.col("n") > block)
+            .select(*keys, F.ceil(F.col("n") / block).cast("int").alias("cuts"))
+        ),
+        100_000,
+    )
+    cut = (
+        rows.join(hot, keys, "left")
+        .withColumn("own", F.coalesce(F.pmod(F.xxhash64(id_col), F.col("cuts")).cast("int"), F.lit(0)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("cuts"), F.lit(1)) - 1)))
+        .withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")))
+        .withColumn("bucket", F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other")))
+    )
+    return dealt(cut.drop("own", "other", "cuts"), "bucket")
+
+
 def runs(frames: Iterator[pd.DataFrame], key: str, at_least: int = 20_000) -> Iterator[pd.DataFrame]:
     """Regroups frames sorted by key so that no run of equal keys is cut; few runs to a frame at a time."""
     held: list[pd.DataFrame] = []

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dealt, local_components, runs, small, stored, unpartitioned
+from .common import components, local_components, meetings, runs, stored, unpartitioned
 
 
 def rotation(dim: int, k: int, seed: int = 7) -> np.ndarray:
@@ -139,17 +139,9 @@ def near(
         return [pd.DataFrame({"rep": ids[on], "links": deg[on], "root": ids[lab[on]]})] if on.any() else []
 
     banded = nodes.select("rep", "mult", "v").mapInPandas(coded, "rep long, mult long, dim int, unit binary, code binary, factor double, ks binary, band int, key int")
-    size = nodes.select("rep", "mult", "v").mapInPandas(coded, "rep long, mult long, dim int, unit binary, code binary, factor double, ks binary, band int, key int").groupBy("dim", "band", "key").agg(F.count("*").alias("n"))
-    hot = small(stored(size.where(F.col("n") > block).select("dim", "band", "key", F.ceil(F.col("n") / block).cast("int").alias("cuts"))), 100_000)
-    cut = (
-        banded.join(hot, ["dim", "band", "key"], "left")
-        .withColumn("own", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"), F.lit(0)))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("cuts"), F.lit(1)) - 1)))
-        .withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")))
-        .withColumn("bucket", F.xxhash64("dim", "band", "key", F.least("own", "other"), F.greatest("own", "other")))
-        .drop("own", "other", "cuts", "key")
-    )
-    found = stored(dealt(cut, "bucket").mapInPandas(compare, "rep long, links long, root long"))
+    keyed_by = nodes.select("rep", "mult", "v").mapInPandas(coded, banded.schema).select("dim", "band", "key")
+    cut = meetings(banded, ["dim", "band", "key"], "rep", block, keyed_by).drop("key")
+    found = stored(cut.mapInPandas(compare, "rep long, links long, root long"))
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = (

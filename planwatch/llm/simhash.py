@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dealt, local_components, runs, small, stored, unpartitioned
+from .common import components, local_components, meetings, runs, stored, unpartitioned
 
 #: Odd multipliers that extend a shingle's 64-bit hash to further words of a wide fingerprint.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -166,28 +166,7 @@ def links(
                 yield pd.DataFrame({"a": ids[on], "b": ids[lab[on]]})
 
     rows = nodes.mapInPandas(banded, "id long, fp array<long>, band int, key long")
-    hot = small(
-        stored(
-            rows.groupBy("band", "key")
-            .agg(F.count("*").alias("n"))
-            .where(F.col("n") > block)
-            .select("band", "key", F.ceil(F.col("n") / block).cast("int").alias("cuts"))
-        ),
-        100_000,
-    )
-    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    rows = (
-        rows.join(hot, ["band", "key"], "left")
-        .withColumn("own", F.coalesce(own, F.lit(0)))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("cuts"), F.lit(1)) - 1)))
-        .select(
-            "id",
-            "fp",
-            F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"),
-            F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"),
-        )
-    )
-    return dealt(rows, "bucket").mapInPandas(compare, "a long, b long").distinct()
+    return meetings(rows, ["band", "key"], "id", block).drop("band", "key").mapInPandas(compare, "a long, b long").distinct()
 
 
 def grouped(
@@ -217,18 +196,48 @@ def grouped(
     return prints.join(unpartitioned(named), "fp").select("id", "fp", "component")
 
 
-def near_radius(similarity: float, bits: int, deviations: float = 1.0) -> int:
+def near_radius(similarity: float, bits: int, deviations: float = 2.0) -> int:
     """Differing bits of two fingerprints of distinct shingles whose Jaccard similarity is as given: the mean and so many standard deviations."""
     part = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return math.floor(bits * part + deviations * math.sqrt(bits * part * (1 - part)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """id, component long: groups of documents that share at least similarity of their distinct shingles (Jaccard).
+def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
+    """For each of some sets (sorted arrays) the first that links of at least the given Jaccard similarity reach.
+
+    A set is held against all others by the lists of the sets that have each of its elements, unless all are joined by now.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), size)
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(element, kind="stable")
+    ends = np.cumsum(np.bincount(element))
+    starts = ends - np.bincount(element)
+    stop = np.cumsum(size)
+    lab = np.arange(n)
+    for i in range(n):
+        if (lab == lab[0]).all():
+            break
+        if (lab == lab[i]).all():
+            continue
+        mine = element[stop[i] - size[i] : stop[i]]
+        common = np.bincount(owner[np.concatenate([order[a:b] for a, b in zip(starts[mine], ends[mine], strict=True)])], minlength=n)
+        near = common >= similarity * (size[i] + size - common) - 1e-9
+        near &= (side[i] < 0) | (side[i] != side)
+        near[i] = False
+        j = np.flatnonzero(near & (lab != lab[i]))
+        lab = local_components(lab, np.full(len(j), i), j)
+    return lab
+
+
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99, block: int = 1024) -> DataFrame:
+    """id, component long: groups of documents linked by sharing at least similarity of their distinct shingles (Jaccard).
 
-    The similarity is read off wide fingerprints, whose number of bits follows the number of documents: a band has
-    bits enough for small buckets, and there are bands enough that a pair at the similarity agrees on one with chance recall.
-    Nulls, empties, repeated ids and empty tables are as in grouped().
+    Groups are first made by wide fingerprints, whose number of bits follows the number of documents: a band has bits
+    enough for small buckets, and there are bands enough that a pair at the similarity agrees on one with chance recall. Within
+    such a group the shingles themselves decide. Equal fingerprints are one document. Nulls, empties, repeated ids (which
+    share a component) and empty tables are as in grouped().
     """
     n = docs.count()
     part = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -236,4 +245,29 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int =
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - part) ** width))
     words = math.ceil(count * width / 64)
     keys = [(k * width, (k + 1) * width) for k in range(64 * words // width)]
-    return grouped(docs, id_col, text_col, shingle, near_radius(similarity, 64 * words), words, True, keys).drop("fp")
+    rough = stored(grouped(docs, id_col, text_col, shingle, near_radius(similarity, 64 * words), words, True, keys))
+    nodes = rough.groupBy("fp").agg(F.min("id").alias("node"), F.min("component").alias("rough"))
+    wide = nodes.groupBy("rough").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rough").alias("of"))
+    members = stored(nodes.join(unpartitioned(wide), F.col("rough") == F.col("of")).select("node", "rough"))
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "rough": pdf["rough"], "hashes": sets})
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in runs(frames, "bucket", 500):
+            got = []
+            for _, part in pdf.groupby("bucket"):
+                if len(part) > 1:
+                    lab = alike([np.frombuffer(x, np.uint64) for x in part["hashes"]], part["side"].to_numpy(), similarity)
+                    ids = part["node"].to_numpy()
+                    got.append(pd.DataFrame({"a": ids, "b": ids[lab]})[lab != np.arange(len(lab))])
+            if got:
+                yield pd.concat(got)
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members, F.col("id") == F.col("node"))
+    sets = texts.dropDuplicates(["node"]).select("node", "rough", "text").mapInPandas(hashed, "node long, rough long, hashes binary")
+    found = components(meetings(sets, ["rough"], "node", block, members).drop("rough").mapInPandas(compare, "a long, b long"))
+    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("exact"))
+    return rough.join(unpartitioned(named), "fp").select("id", F.col("exact").alias("component"))
