@@ -29,17 +29,18 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     places on; groups of one are left alone.
     """
     n = len(text)
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     key = np.zeros(n, np.uint64)
     padded = np.append(text, np.zeros(4, np.uint8)).astype(np.uint64)
     for k in range(4):
         key = key << np.uint64(9) | np.where(at + k < ends, padded[k : k + n] + np.uint64(1), np.uint64(0))
     key = key << np.uint64(28) | np.where(at + 4 > ends, ends, 0).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
     same = key[order]
     head = np.r_[True, same[1:] != same[:-1]] if n else np.empty(0, bool)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    del key, same, padded
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(head, at, 0))
     h = 4
     while True:
         grouped = ~(head & np.r_[head[1:], True]) if n else head
@@ -50,7 +51,7 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         on = part + h
         inside = on < ends[part]
         # At its end a suffix meets its own sign; further on it can't be in a group.
-        follow = np.where(inside, rank[np.minimum(on, n - 1)] + n, ends[part] - 1)
+        follow = np.where(inside, rank[np.minimum(on, n - 1)] + np.int64(n), ends[part] - 1)
         sort = np.lexsort((follow, rank[part]))
         part, follow, old = part[sort], follow[sort], rank[part][sort]
         order[where] = part
@@ -67,29 +68,26 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np
     so only the other places' are counted, sign by sign for all at once.
     """
     n = len(text)
-    out = np.zeros(n, np.int64)
     if n < 2:
-        return out
-    before = np.full(n, -1)
+        return np.zeros(n, np.int32)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     starts = np.r_[True, ends[1:] != ends[:-1]]
     same = (before > 0) & ~starts & ~starts[np.maximum(before, 0)] & (text[np.maximum(at - 1, 0)] == text[np.maximum(before - 1, 0)])
     same[0] = False
     same &= np.r_[False, before[:-1] >= 0]
     free = np.flatnonzero(~same & (before >= 0))
     most = np.minimum(ends[free] - free, ends[before[free]] - before[free])
-    value, live = np.zeros(len(free), np.int64), np.arange(len(free))
+    value, live = np.zeros(len(free), np.int32), np.arange(len(free))
     while len(live):
         live = live[value[live] < most[live]]
         live = live[text[free[live] + value[live]] == text[before[free[live]] + value[live]]]
         value[live] += 1
-    plcp = np.zeros(n, np.int64)
+    plcp = np.zeros(n, np.int32)
     plcp[free] = value
     last = np.maximum.accumulate(np.where(same, 0, at))
-    plcp = np.where(same, np.maximum(plcp[last] - (at - last), 0), plcp)
-    out[:] = plcp[order]
-    return out
+    return np.where(same, np.maximum(plcp[last] - (at - last), 0), plcp)[order]
 
 
 def later_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -100,8 +98,8 @@ def later_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, len
     text = np.frombuffer(b"".join(pieces), np.uint8)
     size = np.array([len(p) for p in pieces])
     stop = np.cumsum(size)
-    piece = np.repeat(np.arange(len(pieces)), size)
-    ends = stop[piece]
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+    ends = stop.astype(np.int32)[piece]
     order, _ = suffix_array(text, ends)
     lcp = common_prefixes(text, ends, order)
     linked = np.r_[lcp[1:] >= length, False] | (lcp >= length)
@@ -271,7 +269,7 @@ def packed_notes(batch: np.ndarray, item: np.ndarray, place: np.ndarray, width:
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch_bytes: int = 8_000_000, frequent: int = 64, with_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch_bytes: int = 6_000_000, frequent: int = 64, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept binary if with_text) for each row of docs.
 
     Removed is each byte of a text (UTF-8, null: empty) that is covered by a string of length bytes that also starts
@@ -286,7 +284,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, math.ceil(total / batch_bytes))
-    parts = 1 << max(0, math.ceil(math.log2(n)))
+    # A shard's suffix arrays take some hundred bytes a byte of text, so shards are smaller than batches.
+    parts = 1 << max(0, math.ceil(math.log2(4 * n)))
     shift = np.uint64(64 - int(math.log2(parts)))
     batch_of = F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n)).cast("int")
     dealt = rows.withColumn("batch", batch_of)
