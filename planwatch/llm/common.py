@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -36,12 +37,19 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # The shuffle files behind the table go when the driver collects its garbage; on a busy disk that shouldn't wait.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    freed(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets shuffle files of finished jobs go now: Spark removes them once the driver has collected the plans behind them,
+    which its listeners hold for a moment after a job."""
+    for pause in (0.0, 0.5):
+        time.sleep(pause)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()

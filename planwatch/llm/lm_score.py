@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import freed, stored
 
 #: Outside the range of words, which hold no white space: a text's end, and what stands before its start.
 END, START = b"\n", xxhash.xxh64_intdigest(b"\n\n")
@@ -25,6 +25,20 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Bytes of a hash that are sent besides its range: all of a word's; six of a longer n-gram's, as one pair in 10^16 that meets is no matter.
+WIDTH = (8, 6)
+
+
+def short(hashes: np.ndarray, width: int) -> bytes:
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def whole(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view(np.uint64)[:, 0]
+
+
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' tokens, each text's followed by its end; where each text's begin, and the whole length."""
     words: list[bytes] = []
@@ -108,7 +122,7 @@ def scored(
     text_col: str = "text",
     order: int = 2,
     held_part: int = 10,
-    batch_bytes: int = 12_000_000,
+    batch_bytes: int = 14_000_000,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs; learnt from those where train holds.
 
@@ -145,14 +159,14 @@ def scored(
             at = cut(hashes)
             for p in np.flatnonzero(np.diff(at)):
                 s = slice(at[p], at[p + 1])
-                out.append((int(p), int(pdf["batch"].iloc[0]), k, hashes[s].tobytes(), trained[s].tobytes(), deleted[s].tobytes()))
+                out.append((int(p), int(pdf["batch"].iloc[0]), k, short(hashes[s], WIDTH[k > 0]), trained[s].tobytes(), deleted[s].tobytes()))
         return pd.DataFrame(out, columns=["part", "batch", "kind", "hashes", "trained", "deleted"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for k, same in pdf.groupby("kind"):
-            size = same["hashes"].map(len).to_numpy() // 8
-            hashes = np.frombuffer(b"".join(same["hashes"]), np.uint64)
+            size = same["hashes"].map(len).to_numpy() // WIDTH[k > 0]
+            hashes = whole(b"".join(same["hashes"]), WIDTH[k > 0])
             distinct, inverse = np.unique(hashes, return_inverse=True)
             sums = [np.bincount(inverse, np.frombuffer(b"".join(same[c]), np.uint32), len(distinct)).astype(np.int64) for c in ("trained", "deleted")]
             ends = np.cumsum(size)
@@ -173,18 +187,17 @@ def scored(
     texts, deleted_texts = (x or 0 for x in dealt.agg(F.count_if("train"), F.count_if("held")).first())
     answers = counts.where("batch >= 0").select("batch", "part", "kind", "trained", "deleted")
 
-    def received(pdf: pd.DataFrame, got: pd.DataFrame) -> tuple[pd.DataFrame, Batch, list[np.ndarray], list[np.ndarray]]:
-        pdf = pdf.sort_values(["doc_id", "text"])
+    def received(got: pd.DataFrame, column: str) -> list[np.ndarray]:
         got = got.sort_values(["kind", "part"])
-        both = [[np.frombuffer(b"".join(got.loc[got["kind"] == k, c]), np.uint32).astype(np.int64) for k in range(order)] for c in ("trained", "deleted")]
-        return pdf, Batch(pdf, order), *both
+        return [np.frombuffer(b"".join(got.loc[got["kind"] == k, column]), np.uint32).astype(np.int64) for k in range(order)]
 
     def count_held(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         names = ["bucket", *(f"q{k + 1}" for k in range(order))]
         if not len(pdf) or not pdf["held"].any():
             return pd.DataFrame({c: np.empty(0, np.int64) for c in [*names, "n"]})
-        _, batch, trained, deleted = received(pdf, got)
-        p, context = batch.probabilities([t - d for t, d in zip(trained, deleted, strict=True)], all_tokens - deleted_tokens, texts - deleted_texts)
+        batch = Batch(pdf.sort_values(["doc_id", "text"]), order)
+        kept = [t - d for t, d in zip(received(got, "trained"), received(got, "deleted"), strict=True)]
+        p, context = batch.probabilities(kept, all_tokens - deleted_tokens, texts - deleted_texts)
         p, context = p[:, batch.held], context[batch.held]
         with np.errstate(divide="ignore"):
             q = np.minimum(np.rint(-GRID * np.log2(p)), LAST).astype(np.int64)
@@ -204,7 +217,8 @@ def scored(
     def score(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame({c: [] for c in ("doc_id", "n_tokens", "n_known", "base_score", "score")})
-        pdf, batch, trained, _ = received(pdf, got)
+        pdf = pdf.sort_values(["doc_id", "text"])
+        batch, trained = Batch(pdf, order), received(got, "trained")
         p, context = batch.probabilities(trained, all_tokens, texts)
         w = weights[bucket_of(context)].T
         model = np.log10(w[0] / (types + 1) + (w[1:] * p).sum(axis=0))
@@ -213,9 +227,10 @@ def scored(
         add = lambda x: np.add.reduceat(x, batch.starts[:-1])
         return pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": np.diff(batch.starts), "n_known": add((c > 0).astype(np.int64)), "base_score": add(base), "score": add(model)})
 
+    freed(docs.sparkSession)
     return (
         dealt.groupBy("batch")
-        .cogroup(answers.groupBy("batch"))
+        .cogroup(answers.drop("deleted").groupBy("batch"))
         .applyInPandas(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
         .withColumn("train_tokens", F.lit(all_tokens).cast("long"))
     )

@@ -35,7 +35,7 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     for k in range(4):
         key = key << np.uint64(9) | np.where(at + k < ends, padded[k : k + n] + np.uint64(1), np.uint64(0))
     key = key << np.uint64(28) | np.where(at + 4 > ends, ends, 0).astype(np.uint64)
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    order = np.argsort(key).astype(np.int32)
     same = key[order]
     head = np.r_[True, same[1:] != same[:-1]] if n else np.empty(0, bool)
     del key, same, padded
@@ -52,10 +52,11 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         inside = on < ends[part]
         # At its end a suffix meets its own sign; further on it can't be in a group.
         follow = np.where(inside, rank[np.minimum(on, n - 1)] + np.int64(n), ends[part] - 1)
-        sort = np.lexsort((follow, rank[part]))
-        part, follow, old = part[sort], follow[sort], rank[part][sort]
+        key = rank[part] * np.int64(2 * n) + follow
+        sort = np.argsort(key)
+        part, key = part[sort], key[sort]
         order[where] = part
-        new = np.r_[True, (old[1:] != old[:-1]) | (follow[1:] != follow[:-1])]
+        new = np.r_[True, key[1:] != key[:-1]]
         head[where] = new
         rank[part] = np.maximum.accumulate(np.where(new, where, 0))
         h *= 2
