@@ -68,7 +68,6 @@ class Batch:
     def __init__(self, pdf: pd.DataFrame, order: int):
         self.tok, self.starts = tokens(pdf["text"].tolist())
         self.train = np.repeat(pdf["train"].to_numpy(), np.diff(self.starts))
-        self.held = np.repeat(pdf["held"].to_numpy(), np.diff(self.starts))
         self.kinds = [np.unique(g, return_inverse=True) for g in grams(self.tok, self.starts, order)]
 
     def probabilities(self, counts: list[np.ndarray], total: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +130,9 @@ def scored(
     use the counts with them. Texts are lower-cased (A-Z) and split at white space; a null text is empty and has one token,
     its end. Repeated rows count and are scored as often as they stand; a null train is false; without training rows all frequencies are 0.
 
-    Documents are dealt into batches of about batch_bytes. A batch sends its distinct n-grams, packed, to the hash range
-    that counts them, and gets the counts back in the same order, so a frequent n-gram costs each batch one entry.
+    Documents are dealt into batches of about batch_bytes, the deleted ones into batches of their own, so that learning
+    the mixture reads no others. A batch sends its distinct n-grams, packed, to the hash range that counts them, and gets
+    the counts back in the same order, so a frequent n-gram costs each batch one entry.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train")
@@ -142,7 +142,10 @@ def scored(
     parts = 1 << max(0, math.ceil(math.log2(2 * n)))
     shift = np.uint64(64 - int(math.log2(parts)))
     held = F.col("train") & (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(held_part)) == 0)
-    dealt = rows.select("doc_id", "text", "train", held.alias("held"), F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n)).cast("int").alias("batch"))
+    # Batches from n on hold the deleted documents.
+    spread = F.xxhash64("doc_id", F.lit("batch"))
+    batch_of = F.when(held, n + F.pmod(spread, F.lit(math.ceil(n / held_part)))).otherwise(F.pmod(spread, F.lit(n))).cast("int")
+    dealt = rows.select("doc_id", "text", "train", batch_of.alias("batch"))
 
     def cut(hashes: np.ndarray) -> np.ndarray:
         """Where the hash ranges begin in sorted hashes, and their end."""
@@ -155,12 +158,11 @@ def scored(
         batch, out = Batch(pdf.sort_values(["doc_id", "text"]), order), []
         for k, (hashes, inverse) in enumerate(batch.kinds):
             trained = np.bincount(inverse[batch.train], minlength=len(hashes)).astype(np.uint32)
-            deleted = np.bincount(inverse[batch.held], minlength=len(hashes)).astype(np.uint32)
             at = cut(hashes)
             for p in np.flatnonzero(np.diff(at)):
                 s = slice(at[p], at[p + 1])
-                out.append((int(p), int(pdf["batch"].iloc[0]), k, short(hashes[s], WIDTH[k > 0]), trained[s].tobytes(), deleted[s].tobytes()))
-        return pd.DataFrame(out, columns=["part", "batch", "kind", "hashes", "trained", "deleted"])
+                out.append((int(p), int(pdf["batch"].iloc[0]), k, short(hashes[s], WIDTH[k > 0]), trained[s].tobytes()))
+        return pd.DataFrame(out, columns=["part", "batch", "kind", "hashes", "trained"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -168,23 +170,25 @@ def scored(
             size = same["hashes"].map(len).to_numpy() // WIDTH[k > 0]
             hashes = whole(b"".join(same["hashes"]), WIDTH[k > 0])
             distinct, inverse = np.unique(hashes, return_inverse=True)
-            sums = [np.bincount(inverse, np.frombuffer(b"".join(same[c]), np.uint32), len(distinct)).astype(np.int64) for c in ("trained", "deleted")]
+            sent = np.frombuffer(b"".join(same["trained"]), np.uint32)
+            own = np.repeat(same["batch"].to_numpy() >= n, size)
+            sums = [np.bincount(inverse, x, len(distinct)).astype(np.int64) for x in (sent, np.where(own, sent, 0))]
             ends = np.cumsum(size)
             for b, lo, hi in zip(same["batch"], ends - size, ends, strict=True):
-                got = [s[inverse[lo:hi]].astype(np.uint32).tobytes() for s in sums]
-                out.append((b, int(pdf["part"].iloc[0]), k, *got, 0, 0, 0))
+                got = [s[inverse[lo:hi]].astype(np.uint32).tobytes() for s in (sums if b >= n else sums[:1])]
+                out.append((b, int(pdf["part"].iloc[0]), k, got[0], got[1] if b >= n else b"", 0, 0, 0))
             if k == 0:
                 out.append((-1, int(pdf["part"].iloc[0]), k, b"", b"", int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum())))
         return pd.DataFrame(out, columns=["batch", "part", "kind", "trained", "deleted", "types", "tokens", "deleted_tokens"])
 
     counts = stored(
         dealt.groupBy("batch")
-        .applyInPandas(send, "part int, batch int, kind int, hashes binary, trained binary, deleted binary")
+        .applyInPandas(send, "part int, batch int, kind int, hashes binary, trained binary")
         .groupBy("part")
         .applyInPandas(count, "batch int, part int, kind int, trained binary, deleted binary, types long, tokens long, deleted_tokens long")
     )
     types, all_tokens, deleted_tokens = (x or 0 for x in counts.where("batch < 0").agg(F.sum("types"), F.sum("tokens"), F.sum("deleted_tokens")).first())
-    texts, deleted_texts = (x or 0 for x in dealt.agg(F.count_if("train"), F.count_if("held")).first())
+    texts, deleted_texts = (x or 0 for x in dealt.agg(F.count_if("train"), F.count_if(F.col("batch") >= n)).first())
     answers = counts.where("batch >= 0").select("batch", "part", "kind", "trained", "deleted")
 
     def received(got: pd.DataFrame, column: str) -> list[np.ndarray]:
@@ -193,20 +197,21 @@ def scored(
 
     def count_held(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         names = ["bucket", *(f"q{k + 1}" for k in range(order))]
-        if not len(pdf) or not pdf["held"].any():
+        if not len(pdf):
             return pd.DataFrame({c: np.empty(0, np.int64) for c in [*names, "n"]})
         batch = Batch(pdf.sort_values(["doc_id", "text"]), order)
         kept = [t - d for t, d in zip(received(got, "trained"), received(got, "deleted"), strict=True)]
         p, context = batch.probabilities(kept, all_tokens - deleted_tokens, texts - deleted_texts)
-        p, context = p[:, batch.held], context[batch.held]
         with np.errstate(divide="ignore"):
             q = np.minimum(np.rint(-GRID * np.log2(p)), LAST).astype(np.int64)
         return pd.DataFrame(np.vstack([bucket_of(context), q]).T, columns=names).value_counts().rename("n").reset_index()
 
+    held_batch = F.col("batch") >= n
     keys = ", ".join(f"q{k + 1} long" for k in range(order))
     hist = (
-        dealt.groupBy("batch")
-        .cogroup(answers.groupBy("batch"))
+        dealt.where(held_batch)
+        .groupBy("batch")
+        .cogroup(answers.where(held_batch).groupBy("batch"))
         .applyInPandas(count_held, f"bucket long, {keys}, n long")
         .groupBy("bucket", *(f"q{k + 1}" for k in range(order)))
         .agg(F.sum("n").alias("n"))
