@@ -36,7 +36,8 @@ def without_boilerplate(
     """docs with new_col (the text without its host's boilerplate lines) and count_col long (lines dropped).
 
     Other lines stay as they are, in order. A null text has new_col null and count_col 0, an empty one stays
-    empty; a null host is a host of its own; repeated rows count as pages each. Columns of other names are passed on.
+    empty; a null host is a host of its own; repeated rows count as pages each. Columns of other names are passed on,
+    those named new_col and count_col are replaced.
     """
     found = stored(boilerplate(docs, text_col, host_col, ratio, least_pages).groupBy("host").agg(F.collect_set("line").alias("lines")))
     rows = docs.join(
@@ -48,7 +49,7 @@ def without_boilerplate(
     drop = lambda x: F.coalesce(F.array_contains("__lines", F.md5(F.trim(x).cast("binary"))), F.lit(False))
     kept = F.filter(split, lambda x: ~drop(x))
     return rows.withColumn("__kept", F.when(F.col("__lines").isNull(), split).otherwise(kept)).select(
-        *[docs[c] for c in docs.columns],
+        *[docs[c] for c in docs.columns if c not in (new_col, count_col)],
         F.array_join("__kept", "\n").alias(new_col),
         F.coalesce(F.size(split) - F.size("__kept"), F.lit(0)).cast("long").alias(count_col),
     )

@@ -171,7 +171,7 @@ def packed(
             out = pd.DataFrame(got, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             if with_ids:
-                out["ids"] = [docs_held[d][1][s : s + m].astype(np.int32) for d, s, m, _, _ in pieces]
+                out["ids"] = pd.Series([docs_held[d][1][s : s + m].astype(np.int32) for d, s, m, _, _ in pieces], dtype=object)
             return out
 
         for pdf in by_size(frames, "text", 2_000_000):

@@ -275,14 +275,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Removed is each byte of a text (UTF-8, null: empty) that is covered by a string of length bytes that also starts
     earlier: in a document of smaller id, or further ahead in the same one. Copies of a whole text are all removed but the
-    first; rows of equal id and text share their result. A text shorter than length keeps everything; an empty table gives no rows.
+    first; rows of equal id and text share their result; a null id is less than any other. A text shorter than length keeps everything; an empty table gives no rows.
 
     A window of length bytes is named by the least hash of its grams, so equal windows have equal names, and only windows
     whose name stands at two places can be repeated. Their runs go, each different text once a batch, to the shard of
     their name. A shard sorts the suffixes of its texts and finds equal windows by common prefixes. Runs of a name that is
     in more than frequent batches are dealt to several shards, whose first windows are then merged by binary search.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    no_id = F.lit(-(1 << 63)).cast("long")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, math.ceil(total / batch_bytes))
     # A shard's suffix arrays take some hundred bytes a byte of text, so shards are smaller than batches.
@@ -455,4 +456,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = found.where("kind = 3").withColumn("to", F.pmod(F.xxhash64("marks"), F.lit(parts))).groupBy("to").applyInPandas(merge, NOTE)
     notes = marks.union(found.where("kind = 2")).union(again)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return by_batch.cogroup(notes.groupBy("batch")).applyInPandas(remove, schema)
+    return by_batch.cogroup(notes.groupBy("batch")).applyInPandas(remove, schema).withColumn("doc_id", F.nullif("doc_id", no_id))

@@ -134,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64("k"), "k").limit(sample)  # two numbers a row: the texts stay where they are
-    taught = stored(docs.join(F.broadcast(some), docs[id_col] == F.col("k")).select("k", F.coalesce(F.col(text_col), F.lit("")).alias("text"), "y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    taught = stored(texts.join(F.broadcast(some), F.col("id") == F.col("k")).select("k", "text", "y"))
     n, n1 = taught.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     n0 = n - n1
 
