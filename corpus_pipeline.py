@@ -31,9 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs, each as often as the mix takes it."""
-    sized = docs.withColumn("id", F.col("doc_id").cast("long")).withColumn("size", mixing.word_count(F.col("text")))
-    out = mixing.with_copies(stored(sized.select("id", "source", "size")), sized)
-    return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    sized = docs.select(F.col("doc_id").cast("long").alias("id"), "source", mixing.word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("doc"))
+    out = mixing.with_copies(stored(sized.drop("doc")), sized)
+    return out.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
