@@ -352,10 +352,14 @@ def distinct_options(spark, sf_dir):
     return R.distinct_sorted(read(spark, sf_dir, "part"), "p_brand")
 
 
-@query("SELECT l_orderkey, array_to_string(list(l_partkey ORDER BY l_linenumber), ',') AS parts, arg_min(l_returnflag, l_linenumber) AS number FROM lineitem GROUP BY l_orderkey")
+@query(
+    """SELECT l_orderkey, array_to_string(list(l_partkey ORDER BY l_linenumber, l_partkey), ',') AS parts,
+  list_extract(list(l_returnflag ORDER BY l_linenumber, l_partkey, l_returnflag), 1) AS number FROM lineitem GROUP BY l_orderkey"""
+)
 def documents_by_paper(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").withColumn("number", F.col("l_returnflag"))
-    out = R.documents_by_paper(rows, "l_orderkey", "l_linenumber", ["l_partkey"])
+    # Line numbers repeat within an order here, so part and flag complete the position.
+    rows = read(spark, sf_dir, "lineitem").withColumn("number", F.col("l_returnflag")).withColumn("position", F.struct("l_linenumber", "l_partkey", "l_returnflag"))
+    out = R.documents_by_paper(rows, "l_orderkey", "position", ["l_partkey"])
     return out.select("l_orderkey", F.array_join(F.transform("documents", lambda d: d["l_partkey"].cast("string")), ",").alias("parts"), "number")
 
 
