@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, unpartitioned
 
-#: Bytes of the grams whose least hash in a window names it.
-GRAM = 16
+#: Bytes of the grams whose least hash in a window names it: long enough that ordinary words and phrases don't repeat one.
+GRAM = 48
 TOP = np.uint64(2**64 - 1)
 
 
@@ -146,8 +146,9 @@ def gram_hashes(u: np.ndarray) -> np.ndarray:
     x = np.append(u, np.zeros(GRAM, np.uint8)).astype(np.uint64)
     for k in (1, 2, 4):
         x = x[:-k] | x[k:] << np.uint64(8 * k)
-    a, b = x[: len(u)], x[8 : len(u) + 8]
-    h = (a ^ (b >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = x[: len(u)] * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(8, GRAM, 8):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) + x[k : len(u) + k]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     h[max(0, len(u) - GRAM + 1) :] = TOP
@@ -230,7 +231,7 @@ class Batch:
 
     def regions(self, known: np.ndarray, marks: np.ndarray) -> tuple[dict[bytes, int], list[list[tuple[int, int]]], list[int], list[int]]:
         """The different texts of runs of windows whose name is known, numbered; where each stands, as (row, byte), in order;
-        its name, and 1 if the name's mark is 2 (frequent)."""
+        its name, and the name's mark less 1."""
         number: dict[bytes, int] = {}
         places: list[list[tuple[int, int]]] = []
         names: list[int] = []
@@ -270,7 +271,17 @@ def packed_notes(batch: np.ndarray, item: np.ndarray, place: np.ndarray, width:
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch_bytes: int = 6_000_000, frequent: int = 64, with_text: bool = False) -> DataFrame:
+def window_hashes(windows: np.ndarray) -> np.ndarray:
+    """A hash of each row of a table of bytes."""
+    wide = np.zeros((len(windows), -(-windows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : windows.shape[1]] = windows
+    h = np.zeros(len(windows), np.uint64)
+    for word in wide.view(np.uint64).T:
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(24)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch_bytes: int = 6_000_000, frequent: int = 4096, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept binary if with_text) for each row of docs.
 
     Removed is each byte of a text (UTF-8, null: empty) that is covered by a string of length bytes that also starts
@@ -279,15 +290,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A window of length bytes is named by the least hash of its grams, so equal windows have equal names, and only windows
     whose name stands at two places can be repeated. Their runs go, each different text once a batch, to the shard of
-    their name. A shard sorts the suffixes of its texts and finds equal windows by common prefixes. Runs of a name that is
-    in more than frequent batches are dealt to several shards, whose first windows are then merged by binary search.
+    their name. A shard sorts the suffixes of its texts and finds equal windows by common prefixes. Runs of a name that
+    stands at more than frequent places are dealt to as many shards as that takes, by batch; the shards' first windows, dealt
+    anew by their hash, are then merged by binary search.
     """
     no_id = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, math.ceil(total / batch_bytes))
     # A shard's suffix arrays take some hundred bytes a byte of text, so shards are smaller than batches.
-    parts = 1 << max(0, math.ceil(math.log2(4 * n)))
+    parts = 1 << max(0, math.ceil(math.log2(8 * n)))
+    most_salts = math.ceil(math.log2(n))
     shift = np.uint64(64 - int(math.log2(parts)))
     batch_of = F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n)).cast("int")
     dealt = rows.withColumn("batch", batch_of)
@@ -314,16 +327,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             at = cut(hashes)
             for p in np.flatnonzero(np.diff(at)):
                 s = slice(at[p], at[p + 1])
-                out.append((int(p), int(pdf["batch"].iloc[0]), hashes[s].tobytes(), np.minimum(counts[s], 2).astype(np.uint8).tobytes()))
+                out.append((int(p), int(pdf["batch"].iloc[0]), hashes[s].tobytes(), counts[s].astype(np.uint32).tobytes()))
         return pd.DataFrame(out, columns=["part", "batch", "hashes", "counts"])
 
     def mark_names(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Notes of kind 1, to each batch: its repeated names, with mark 2 if more than frequent batches have them, else 1."""
+        """Notes of kind 1, to each batch: its repeated names, each with mark 1 + k if it takes 2 ** k shards."""
         size = pdf["hashes"].map(len).to_numpy() // 8
         hashes = np.frombuffer(b"".join(pdf["hashes"]), np.uint64)
         distinct, inverse = np.unique(hashes, return_inverse=True)
-        times = np.bincount(inverse, np.frombuffer(b"".join(pdf["counts"]), np.uint8), len(distinct))
-        mark = np.where(times < 2, 0, np.where(np.bincount(inverse, minlength=len(distinct)) > frequent, 2, 1)).astype(np.uint8)
+        times = np.bincount(inverse, np.frombuffer(b"".join(pdf["counts"]), np.uint32), len(distinct))
+        mark = np.where(times < 2, 0, 1 + np.clip(np.ceil(np.log2(np.maximum(times, 1) / frequent)), 0, most_salts)).astype(np.uint8)
         ends, out = np.cumsum(size), []
         for b, lo, hi in zip(pdf["batch"], ends - size, ends, strict=True):
             m = mark[inverse[lo:hi]]
@@ -342,7 +355,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             number, places, names, often = regions(batch, notes)
             texts = list(number)
             part = (np.array(names, np.uint64) >> shift).astype(np.int64) if parts > 1 else np.zeros(len(names), np.int64)
-            shard = part * (frequent + 1) + np.array(often, np.int64) * (1 + b % frequent)
+            salts = 1 << np.array(often, np.int64)
+            shard = (part << 32) + salts + b % salts
             order = np.argsort(shard, kind="stable")
             for mine in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
                 if len(mine):
@@ -354,7 +368,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.DataFrame(out, columns=["shard", "batch", "text", "size", "doc", "start", "item"])
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Notes of kind 2 from a shard; of a frequent name also notes of kind 3: the windows that are first in this shard."""
+        """Notes of kind 2 from a shard; of a frequent name also notes of kind 3: the windows that are first in this shard, packed by where they are merged."""
         number: dict[bytes, int] = {}
         which: list[int] = []
         for raw, size in zip(pdf["text"], pdf["size"], strict=True):
@@ -384,29 +398,41 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 np.r_[size[u[rest]] - length + 1, edge[1::2] - edge[::2]],
             )
         ]
-        if int(pdf["shard"].iloc[0]) % (frequent + 1):
+        shard = int(pdf["shard"].iloc[0])
+        salts = 1 << (shard % (1 << 32)).bit_length() - 1
+        if salts > 1:
             room = np.concatenate([np.r_[np.ones(n - length + 1, bool), np.zeros(length - 1, bool)] for n in size])
             at = np.flatnonzero(room & ~flag)
             of = np.searchsorted(base, at, side="right") - 1
-            whole = b"".join(texts)
-            out.append(
-                pd.DataFrame(
-                    {"batch": -1, "kind": 3, "doc_id": doc[head[of]], "part": batch[head[of]], "marks": [whole[a : a + length] for a in at.tolist()]}
-                    | {"item": [x.tobytes() for x in item[head[of]]], "place": [x.tobytes() for x in start[head[of]] + at - base[of]], "width": [x.tobytes() for x in (at - base[of])]}
-                )
-            )
+            windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(texts), np.uint8), length)
+            to = np.concatenate([window_hashes(windows[at[i : i + 100_000]]) % np.uint64(salts) for i in range(0, len(at), 100_000)])
+            order = np.argsort(to, kind="stable")
+            for mine in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                if len(mine):
+                    h, off = head[of[mine]], at[mine] - base[of[mine]]
+                    places = np.stack([doc[h], start[h] + off, batch[h].astype(np.int64), item[h].astype(np.int64), off])
+                    key = (shard >> 32 << 32) + salts + int(to[mine[0]])
+                    row = (shard % (1 << 32) - salts, 3, key, None, windows[at[mine]].tobytes(), None, places.tobytes(), None)
+                    out.append(pd.DataFrame([row], columns=[x.split()[0] for x in NOTE.split(", ")]))
         return pd.concat(out, ignore_index=True)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Notes of kind 2 from the windows that are first in their shards of a frequent name."""
-        pdf = pdf.assign(at=np.frombuffer(b"".join(pdf["place"]), np.int64), salt=pdf["part"] % frequent, key=pdf["marks"].map(lambda x: bytes(x) + b"\x01"))
-        pdf = pdf.sort_values(["salt", "key"], ignore_index=True)
-        rank = np.empty(len(pdf), np.int64)
-        rank[np.lexsort((pdf["at"], pdf["doc_id"]))] = np.arange(len(pdf))
-        keys, cuts = np.array(pdf["key"].tolist(), f"S{length + 1}"), np.flatnonzero(np.diff(pdf["salt"])) + 1
-        late = pdf[np.concatenate(merged(list(zip(np.split(keys, cuts), np.split(rank, cuts), strict=True))))]
-        item, off = np.frombuffer(b"".join(late["item"]), np.uint32), np.frombuffer(b"".join(late["width"]), np.int64)
-        return packed_notes(late["part"].to_numpy(), item, off, np.ones(len(late), np.int64))
+        """Notes of kind 2 from the windows that are first in their shards of a frequent name. batch: the shard's number among the name's."""
+        shards, each = [], []
+        for salt in np.unique(pdf["batch"]):
+            mine = pdf[pdf["batch"] == salt]
+            # A sign at the end, as numpy drops zeros there.
+            keys = np.frombuffer(b"".join(mine["marks"]), np.uint8).reshape(-1, length)
+            keys = np.concatenate([keys, np.ones((len(keys), 1), np.uint8)], axis=1).view(f"S{length + 1}")[:, 0]
+            sort = np.argsort(keys)
+            shards.append(keys[sort])
+            each.append(np.concatenate([np.frombuffer(p, np.int64).reshape(5, -1) for p in mine["place"]], axis=1)[:, sort])
+        places = np.concatenate(each, axis=1)
+        rank = np.empty(places.shape[1], np.int64)
+        rank[np.lexsort((places[1], places[0]))] = np.arange(len(rank))
+        ranks = np.split(rank, np.cumsum([len(k) for k in shards])[:-1])
+        late = places[:, np.concatenate(merged(list(zip(shards, ranks, strict=True))))]
+        return packed_notes(late[2], late[3], late[4], np.ones(late.shape[1], np.int64))
 
     def remove(pdf: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
@@ -453,7 +479,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("shard")
         .applyInPandas(find, NOTE)
     )
-    again = found.where("kind = 3").withColumn("to", F.pmod(F.xxhash64("marks"), F.lit(parts))).groupBy("to").applyInPandas(merge, NOTE)
+    again = found.where("kind = 3").groupBy("doc_id").applyInPandas(merge, NOTE)
     notes = marks.union(found.where("kind = 2")).union(again)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return by_batch.cogroup(notes.groupBy("batch")).applyInPandas(remove, schema).withColumn("doc_id", F.nullif("doc_id", no_id))
