@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -12,10 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_components, meetings, runs, stored, unpartitioned
+from .common import by_size, components, dealt, local_components, meetings, runs, small, stored, unpartitioned
 
 #: Odd multipliers that extend a shingle's 64-bit hash to further words of a wide fingerprint.
 GOLDEN = 0x9E3779B97F4A7C15
+#: Slots in which shingles are counted, and slots to a row.
+SLOTS, SLICE = 1 << 20, 1 << 14
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -231,12 +234,116 @@ def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.nda
     return lab
 
 
+def rarity(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """uint8 [SLOTS]: the class of how many texts have a shingle of the slot (hash modulo SLOTS), four classes to a doubling."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(SLOTS, np.int64)
+        for pdf in by_size((f.fillna("") for f in frames), "text", 4_000_000):
+            h = np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in pdf["text"]])
+            n += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        for k in np.unique(np.flatnonzero(n) // SLICE):
+            yield pd.DataFrame({"slice": [k], "n": [zlib.compress(n[k * SLICE : (k + 1) * SLICE].tobytes(), 1)]})
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in frames:
+            for k, n in zip(pdf["slice"], pdf["n"], strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(n), np.int64)
+        for k, n in total.items():
+            yield pd.DataFrame({"slice": [k], "n": [np.ceil(4 * np.log2(1 + n)).astype(np.uint8).tobytes()]})
+
+    out = np.zeros(SLOTS, np.uint8)
+    found = dealt(docs.select(F.col(text_col).alias("text")).mapInPandas(count, "slice int, n binary"), "slice")
+    for r in found.mapInPandas(add, "slice int, n binary").collect():  # SLOTS bytes in all
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["n"], np.uint8)
+    return out
+
+
+def prefix(h: np.ndarray, rare: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of the different hashes h, so many that sets of at least the Jaccard similarity have one of them in common."""
+    order = np.lexsort((h, rare[(h % np.uint64(SLOTS)).astype(np.int64)]))
+    return h[order[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]]
+
+
+def crossing(docs: DataFrame, id_col: str, text_col: str, named: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """Edges (a long, b long) between components of named (node long, component long) that have nodes of at least the Jaccard similarity.
+
+    None is lost: in one order of all shingles, such sets have one of their first shingles in common, and what follows its first
+    common place is enough for the overlap. The order is rare ones first; shingles that stand in one component alone make no pairs.
+    """
+    rare = rarity(docs, text_col, shingle)
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in by_size((f.assign(text=f["text"].fillna("")) for f in frames), "text", 4_000_000):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in pdf["text"]]
+            heads = [prefix(h, rare, similarity) if len(h) else h for h in sets]
+            n = [len(x) for x in heads]
+            yield pd.DataFrame(
+                {
+                    "node": np.repeat(pdf["node"].to_numpy(), n),
+                    "size": np.repeat([len(h) for h in sets], n),
+                    "place": np.concatenate([np.arange(k) for k in n]),
+                    "hash": np.concatenate(heads).view(np.int64),
+                }
+            )
+
+    def pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in runs(frames, "bucket", 5000):
+            got = []
+            cols = [pdf[c].to_numpy() for c in ("node", "component", "size", "place", "side")]
+            edge = np.flatnonzero(np.diff(pdf["bucket"].to_numpy())) + 1
+            for lo, hi in zip(np.r_[0, edge], np.r_[edge, len(pdf)], strict=True):
+                node, comp, size, place, side = (c[lo:hi] for c in cols)
+                for i in range(len(node) - 1):
+                    j = slice(i + 1, None)
+                    rest = np.minimum(size[i] - place[i], size[j] - place[j])
+                    on = (comp[j] != comp[i]) & ((side[i] < 0) | (side[j] != side[i]))
+                    on &= (1 + similarity) * rest >= similarity * (size[i] + size[j]) - 1e-9
+                    k = np.flatnonzero(on) + i + 1
+                    if len(k):
+                        got.append(np.c_[np.minimum(node[i], node[k]), np.maximum(node[i], node[k])])
+            if got:
+                yield pd.DataFrame(np.unique(np.concatenate(got), axis=0), columns=["a", "b"])
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.assign(hashes=[np.unique(shingle_hashes(t, shingle)).tobytes() for t in pdf["text"]]).drop(columns="text")
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            on = []
+            for x, y in zip(pdf["x"], pdf["y"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                on.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pdf.loc[np.array(on, bool), ["a", "b"]]
+
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node is not null")
+    heads = stored(texts.mapInPandas(first, "node long, size int, place int, hash long"))
+    rows = stored(heads.join(unpartitioned(named), "node"))
+    mixed = stored(rows.groupBy("hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hash"))
+    met = stored(rows.join(small(mixed, 1_000_000), "hash"))
+    pairs = stored(meetings(met, ["hash"], "node", block).drop("hash").mapInPandas(pair, "a long, b long").distinct())
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = stored(texts.join(unpartitioned(wanted), "node", "left_semi").mapInPandas(hashed, "node long, hashes binary"))
+    both = (
+        unpartitioned(pairs)
+        .join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    )
+    linked = stored(both.select("a", "b", "x", "y").mapInPandas(decide, "a long, b long"))
+    of = lambda c: unpartitioned(named.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")))
+    return linked.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99, block: int = 1024) -> DataFrame:
     """id, component long: groups of documents linked by sharing at least similarity of their distinct shingles (Jaccard).
 
-    Groups are first made by wide fingerprints, whose number of bits follows the number of documents: a band has bits
-    enough for small buckets, and there are bands enough that a pair at the similarity agrees on one with chance recall. Within
-    such a group the shingles themselves decide. Equal fingerprints are one document. Nulls, empties, repeated ids (which
+    Most links are first found by wide fingerprints, whose number of bits follows the number of documents: a band has bits
+    enough for small buckets, and there are bands enough that a long pair at the similarity agrees on one with chance recall. Within
+    such a group the shingles themselves decide. Links that the fingerprints miss are then found between the components so far by
+    crossing(), which loses none. Equal fingerprints are one document. Nulls, empties, repeated ids (which
     share a component) and empty tables are as in grouped().
     """
     n = docs.count()
@@ -269,5 +376,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int =
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members, F.col("id") == F.col("node"))
     sets = texts.dropDuplicates(["node"]).select("node", "rough", "text").mapInPandas(hashed, "node long, rough long, hashes binary")
     found = components(meetings(sets, ["rough"], "node", block, members).drop("rough").mapInPandas(compare, "a long, b long"))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("exact"))
+    fast = stored(nodes.join(found, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component")))
+    more = components(crossing(docs, id_col, text_col, fast.select("node", "component").where("node is not null").distinct(), shingle, similarity, block))
+    named = fast.join(more.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("fp", F.coalesce("whole", "component").alias("exact"))
     return rough.join(unpartitioned(named), "fp").select("id", F.col("exact").alias("component"))

@@ -401,6 +401,20 @@ def test_near_duplicates(spark, empty):
     assert simhash.near_duplicates(empty, "doc_id", "text").count() == 0
 
 
+def test_near_duplicates_of_short_texts(spark):
+    rng = np.random.default_rng(9)
+    data = []
+    for n in (8, 12, 16, 20):  # n - 4 shingles of n words; so many words more that exactly 0.8 of all shingles are shared
+        for _ in range(40):
+            words = [f"w{x}" for x in rng.integers(0, 10**9, n + (n - 4) // 4)]
+            data += [(len(data), " ".join(words[:n])), (len(data) + 1, " ".join(words))]
+    data += [(len(data) + k, " ".join(f"common{i}" for i in range(8)) + f" own{k}") for k in range(40)]  # 4 of 6 shared
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for block in (1024, 16):
+        got = {r["id"]: r["component"] for r in simhash.near_duplicates(df, "doc_id", "text", block=block).collect()}
+        assert [got[i] for i in range(len(data))] == jaccard_groups(data)
+
+
 # ---- 9: media ----
 
 
