@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +21,8 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: What makes the text that follows sensitive, and what may then be a secret.
 SENSITIVE = re.compile(r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|signature)", re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~$!@#%^&*-]{12,}")
+LEAST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=~$!@#%^&*-]{{{LEAST},}}")
 #: Ordinary identifiers and values of code, which a candidate may consist of without being new.
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key private_key public_key client_id client_secret credential credentials "
@@ -31,11 +33,29 @@ IDENTIFIERS = (
     "aws azure google github gitlab docker kubernetes namespace region bucket table index column version timestamp created_at updated_at "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 00000000000000000000 xxxxxxxxxxxxxxxxxxxx ********************"
 )
+#: Parts of long plain words of four languages, and of addresses, which are ordinary as well.
+PLAIN = (
+    "https://www. http://www. ftp://user@ mailto: info@ contact@ support@ noreply@ gmail.com outlook.com yahoo.com example.com/ github.com/ index.html .html .php .json "
+    "documentation implementation communication international administration organization information recommendation representation application "
+    "identification verification notification registration authentication infrastructure environmental development government management department "
+    "requirements measurement establishment understanding understandable circumstances nevertheless independently approximately particularly immediately "
+    "unfortunately significantly automatically responsibility availability compatibility university characteristic relationship membership interesting "
+    "distinguished neighbourhood encyclopedia acknowledgement construction production distribution contribution introduction transformation performance "
+    "conversation consideration professional traditional constitutional mathematical technological psychological philosophical extraordinary "
+    "Entwicklung Verwaltung Wirtschaft Gesellschaft Wissenschaft Landschaft Mitgliedschaft Genehmigung Versicherung Veranstaltung Einrichtung Bezeichnung Untersuchung "
+    "Verantwortung Zusammenarbeit Zusammenhang Ministerium Regierung Bundesrepublik Deutschland Bezirksverordnetenversammlung Bebauungsplan Stadtentwicklung "
+    "verschiedenen unterschiedlich selbstverständlich wahrscheinlich insbesondere grundsätzlich möglicherweise entsprechend beziehungsweise wissenschaftlich "
+    "Arbeitsplatz Krankenhaus Sicherheit Geschwindigkeit Möglichkeit Öffentlichkeit Wohnungsbau Grundstück Jahrhundert Unternehmen "
+    "développement gouvernement établissement particulièrement malheureusement immédiatement actuellement connaissance correspondance intelligence "
+    "bibliothèque responsabilité caractéristique internationale professionnelle administration environnement enseignement "
+    "desarrollo conocimiento establecimiento funcionamiento procedimiento especialmente aproximadamente inmediatamente responsabilidad universidad posibilidad "
+    "características internacional organización administración información comunicación presentación investigación construcción "
+)
 
 
 def novelty(candidate: str, around: str) -> int:
     """Compressed bytes that the candidate adds after what surrounds it, with identifiers and surroundings as a dictionary."""
-    held = zstandard.ZstdCompressionDict((IDENTIFIERS + around).encode(errors="replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held = zstandard.ZstdCompressionDict((PLAIN + IDENTIFIERS + around).encode(errors="replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     pack = zstandard.ZstdCompressor(level=19, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
     tail = around[-32:]
     return len(pack.compress((tail + candidate).encode(errors="replace"))) - len(pack.compress(tail.encode(errors="replace")))
@@ -53,21 +73,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], near: int = 60, around: int = 400, least: float = 0.6) -> list[tuple[int, int, int]]:
-    """Spans, apart from the base ones, of strings of letters and digits that begin at most near characters after a sensitive word,
-    and whose novelty is at least least bytes a character. Numbers, addresses and plain words are no candidates."""
-    out: dict[int, tuple[int, int, int]] = {}
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + near)):
-            full = CANDIDATE.match(text, m.start())
-            start, end = full.span()
-            found = full[0].rstrip(".=!")
-            if start in out or any(start < e and s < end for s, _, e in base):
-                continue
-            if not (re.search(r"\d", found) and re.search(r"[A-Za-z]", found)) or "@" in found[1:-1] or "//" in found:
-                continue
-            if novelty(found, text[max(0, start - around) : start] + text[end : end + around]) >= least * len(found):
-                out[start] = (start, 3, start + len(found))
-    return list(out.values())
+    """Spans, apart from the base ones, of strings that begin at most near characters after a sensitive word or end at most so many before it,
+    and whose novelty is at least least bytes a character. Of a string that holds the word, what is before and what is after it count."""
+    words = list(SENSITIVE.finditer(text))
+    if not words:
+        return []
+    full = [m.span() for m in CANDIDATE.finditer(text)]
+    begins, ends = [s for s, _ in full], [e for _, e in full]
+    out: list[tuple[int, int, int]] = []
+    seen: set[tuple[int, int]] = set()
+    for word in words:
+        for s, e in full[bisect_left(ends, word.start() - near) : bisect_right(begins, word.end() + near)]:
+            for start, end in [(s, e)] if e <= word.start() or s >= word.end() else [(s, word.start()), (word.end(), e)]:
+                if end - start < LEAST or (start, end) in seen:
+                    continue
+                seen.add((start, end))
+                found = text[start:end].rstrip(".=!")
+                if not found or any(start < y and x < end for x, _, y in base) or any(start < y and x < end for x, _, y in out):
+                    continue
+                if novelty(found, text[max(0, start - around) : start] + text[end : end + around]) >= least * len(found):
+                    out.append((start, 3, start + len(found)))
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

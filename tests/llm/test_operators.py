@@ -338,6 +338,23 @@ def test_secrets(spark, docs, empty):
     assert secrets.secrets(docs).count() == len(rows()) and secrets.secrets(empty).count() == 0
 
 
+@pytest.mark.parametrize("secret", ["qZjvKwXpbMtrHd", "493028571640", "P@ssw0rd!xK7q", "zkWq//8vNc3LrTy0PbXe", "admin:hunter2xyzQ@db-7.internal"])
+def test_secrets_of_any_signs(secret):
+    part = secret.split(":")[-1]
+    for text in (f"secret {secret} ends", f"{secret} is the secret"):
+        start = text.index(part)
+        assert secrets.novel_spans(text, []) == [(start, 3, start + len(part))]
+
+
+def test_secrets_within_sixty_characters():
+    new = "q8Zr2LmX0vTt7KpW4nYs9cGd"
+    for gap in range(1, 64):
+        for text in ("token" + " " * gap + new + " and more", new + " " * gap + "token"):
+            start = text.index(new)
+            assert secrets.novel_spans(text, []) == [(start, 3, start + len(new))] * (gap <= 60)
+    assert secrets.novel_spans("the documentation of the token: https://www.example.com/index.html ............", []) == []
+
+
 # ---- 8: SimHash ----
 
 
