@@ -278,6 +278,14 @@ def bridge_join(spark, sf_dir):
     return R.papers_of_project(bridge, papers, meetings).select(F.col("project_id").alias("l_partkey"), F.col("paper_id").alias("l_orderkey"), "l_linenumber", "date", "c_name")
 
 
+@query("SELECT l_partkey, l_orderkey, l_linenumber, o_orderdate::DATE AS date, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
+def bridge_join_whole(spark, sf_dir):
+    bridge = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("project_id"), F.col("l_orderkey").alias("paper_id"), "l_linenumber")
+    papers = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_custkey").alias("meeting_id"), F.to_date("o_orderdate").alias("date"))
+    meetings = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("meeting_id"), "c_name")
+    return R.papers_of_project(bridge, papers, meetings).select(F.col("project_id").alias("l_partkey"), F.col("paper_id").alias("l_orderkey"), "l_linenumber", "date", "c_name")
+
+
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
 def anti_join_unknown(spark, sf_dir):
     known = read(spark, sf_dir, "customer").where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("o_custkey"))
@@ -307,6 +315,20 @@ def recall_summary(spark, sf_dir):
     return RC.recall_counts(recall_theta(spark, sf_dir))
 
 
+@query()
+def recall_theta_whole(spark, sf_dir):
+    # Terms that end in a digit are matched with a look-ahead, which DuckDB's patterns can't say.
+    known = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name"), F.array("text").alias("terms"))
+    docs = read(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit("").alias("label"), "text")
+    turns = read(spark, sf_dir, "conversations").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("string").alias("label"), "text")
+    return RC.recall(known, docs.unionByName(turns)).select(F.col("name").alias("item_id"), "found", "kind", "id")
+
+
+@query()
+def recall_summary_whole(spark, sf_dir):
+    return RC.recall_counts(recall_theta_whole(spark, sf_dir))
+
+
 # ---- aggregates ----
 
 
@@ -347,6 +369,11 @@ def usage_on_day(spark, sf_dir):
     return R.usage_on(read(spark, sf_dir, "events"), "ts", F.lit("1970-01-01").cast("date"))
 
 
+@query("SELECT count(*) AS n FROM events WHERE ts::DATE = DATE '2024-01-15'")
+def usage_on_present_day(spark, sf_dir):
+    return R.usage_on(read(spark, sf_dir, "events"), "ts", F.lit("2024-01-15").cast("date"))
+
+
 @query("SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL")
 def distinct_options(spark, sf_dir):
     return R.distinct_sorted(read(spark, sf_dir, "part"), "p_brand")
@@ -537,6 +564,11 @@ def slug_and_latin1(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.slug(head).alias("slug"), T.latin1_safe(head).alias("latin1"))
 
 
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, regexp_replace(text, '[^\x{0}-\x{FF}]', '?', 'g') AS latin1 FROM documents")
+def slug_and_latin1_whole(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"), T.latin1_safe(F.col("text")).alias("latin1"))
+
+
 @query("SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda p, i: '[Seite ' || i::VARCHAR || ']' || chr(10) || p), chr(10) || chr(10)) AS marked FROM documents")
 def page_markers(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.page_marked(F.split("text", "\n")).alias("marked"))
