@@ -180,6 +180,13 @@ def judge_reason(spark, sf_dir):
     return out.select("page_id", F.when(~late, F.col("reject_reason")).alias("reject_reason"))
 
 
+@query()
+def judge_reason_whole(spark, sf_dir):
+    """All five tests' reasons, as the operator gives them; null is a find."""
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.lit("").alias("title"), F.col("html").alias("content"), F.lit("de").alias("place"))
+    return C.judged(rows, YEAR, HOME, ("example.net",)).select("page_id", "reject_reason")
+
+
 COORDS = [("FRANCE", 48.85, 2.35), ("GERMANY", 52.52, 13.4), ("INDIA", 28.6, 77.2), ("CHINA", 39.9, 116.4), ("BRAZIL", -15.8, -47.9), ("KENYA", -1.3, 36.8)]
 PLACES_SQL = "(VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (_, a, b) in enumerate(COORDS)) + ") AS c(k, lat, lon)"
 KM_SQL = "2 * 6371.0 * asin(sqrt(least(pow(sin((radians(lat) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians(lat)) * pow(sin((radians(lon) - radians({1})) / 2), 2), 1.0)))"

@@ -28,3 +28,20 @@ def test_whole_recall(spark, tables):
     got = sorted(tuple(r) for r in plans.QUERIES["recall_theta_whole"](spark, tables).collect())
     assert got == [(1, True, "document", 10), (2, True, "conversation", 20), (3, False, None, None)]
     assert tuple(plans.QUERIES["recall_summary_whole"](spark, tables).first()) == (2, 3)
+
+
+def test_whole_reasons(spark, tmp_path):
+    late = "keine Baugenehmigung und kein Baubeginn im Text (Frühphase)"
+    pages = [
+        ("https://a.example.net/x", "de the Baugenehmigung", "Website ausgeschlossen (a.example.net)"),
+        ("https://b.org/1", "the Baugenehmigung", "Ort de nicht genannt"),
+        ("https://b.org/2", "de Baugenehmigung", "kein Wohnbau"),
+        ("https://b.org/3", "de the", late),
+        ("https://b.org/4", "de the Spatenstich ist geplant", late),
+        ("https://b.org/5", "de the Spatenstich war gestern", None),
+        ("https://b.org/6", "de the Baugenehmigung", None),
+        ("https://b.org/7", "de the Baugenehmigung, 8 Wohnungen, nur ETW", "reines Eigentumsprojekt mit 8 WE (unter 12)"),
+    ]
+    spark.createDataFrame([(i, u, t) for i, (u, t, _) in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = dict(tuple(r) for r in plans.QUERIES["judge_reason_whole"](spark, str(tmp_path)).collect())
+    assert got == {i: want for i, (_, _, want) in enumerate(pages)}
