@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints; a temporary one only where none is set."""
+    """The cluster's shared folder for checkpoints. Where none is set, a local session gets a temporary one; a cluster is an error,
+    as its machines don't share temporary folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext.getCheckpointDir()
     if not found and not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="planwatch-"))
         held = spark.sparkContext.getCheckpointDir()
     elif found and not held:
@@ -37,24 +39,21 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    freed(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def freed(spark: SparkSession) -> None:
-    """Lets shuffle files of finished jobs go now: Spark removes them once the driver has collected the plans behind them,
-    which its listeners hold for a moment after a job."""
-    for pause in (0.0, 0.5):
-        time.sleep(pause)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with lines put under it until no column of df is called so."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -134,6 +133,64 @@ def by_size(frames: Iterator[pd.DataFrame], text: str, most_chars: int) -> Itera
             yield part
 
 
+#: Stands for a null id where ids are packed as numbers.
+NO_ID = -(1 << 63)
+BLOBS = "batch int, ids binary, flags binary, times binary, sizes binary, texts binary"
+
+
+def in_batches(rows: DataFrame, most_chars: int = 8_000_000) -> DataFrame:
+    """rows (batch int, doc_id long, text string, flag boolean, no nulls) as BLOBS: what one task has of a batch in one compressed row.
+
+    Nothing is shuffled yet; a shuffle by batch then moves a third of the texts' bytes. Rows that are equal in all are packed
+    once with how often they stand, so a row repeated without end doesn't fill its batch.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for pdf in by_size(frames, "text", most_chars):
+            times: dict[tuple, int] = {}
+            for row in zip(pdf["batch"].tolist(), pdf["doc_id"].tolist(), pdf["text"], pdf["flag"].tolist(), strict=True):
+                times[row] = times.get(row, 0) + 1
+            by_batch: dict[int, list[tuple]] = {}
+            for (batch, *row), n in times.items():
+                by_batch.setdefault(batch, []).append((*row, n))
+            out = []
+            for batch, held in by_batch.items():
+                raw = [t.encode() for _, t, _, _ in held]
+                numbers = [np.array([r[k] for r in held], kind).tobytes() for k, kind in ((0, np.int64), (2, np.uint8), (3, np.int64))]
+                out.append((batch, *numbers, np.array([len(r) for r in raw], np.int64).tobytes(), pack.compress(b"".join(raw))))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in BLOBS.split(", ")])
+
+    return rows.select("batch", "doc_id", "text", "flag").mapInPandas(run, BLOBS)
+
+
+def from_batch(pdf: pd.DataFrame) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:
+    """Of a batch's blobs the different (id, text) in order: ids, texts, flags, and how often each stands."""
+    unpack = zstandard.ZstdDecompressor()
+    found: dict[tuple[int, bytes], list[int]] = {}
+    for ids, flags, times, sizes, texts in zip(*(pdf[c] for c in ("ids", "flags", "times", "sizes", "texts")), strict=True):
+        raw, at = unpack.decompress(texts), 0
+        numbers = (np.frombuffer(x, kind).tolist() for x, kind in ((ids, np.int64), (flags, np.uint8), (times, np.int64), (sizes, np.int64)))
+        for i, flag, n, size in zip(*numbers, strict=True):
+            row = found.setdefault((i, raw[at : at + size]), [flag, 0])
+            row[1] += n
+            at += size
+    order = sorted(found)
+    return [i for i, _ in order], [t for _, t in order], np.array([found[k][0] for k in order], bool), np.array([found[k][1] for k in order], np.int64)
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """An array of numbers as compressed bytes, those of one rank together."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def expanded(data: bytes, kind: type) -> np.ndarray:
+    """What squeezed() was given."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0]
+
+
 def local_components(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Joins the sets of lab (each element's smallest member so far) along the pairs i, j."""
     while len(i):
@@ -148,22 +205,35 @@ def local_components(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarra
     return lab
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u long, v long, u above v) that join the same nodes as edges (a long, b long), each partition's set reduced to stars."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        for pdf in frames:
+            ids, at = np.unique(np.concatenate([a, pdf["a"].to_numpy(), b, pdf["b"].to_numpy()]), return_inverse=True)
+            lab = local_components(np.arange(len(ids)), *np.split(at, 2))
+            on = lab != np.arange(len(ids))
+            a, b = ids[on], ids[lab[on]]
+        if len(a):
+            yield pd.DataFrame({"u": a, "v": b})
+
+    return edges.where("a <> b").select("a", "b").mapInPandas(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): node long, component long (its smallest node).
 
-    Large-star and small-star steps in turn until no edge changes. Each step is joins and partial
-    aggregates over edges; nothing but two numbers a round reaches the driver. Nodes without edges
+    Large-star and small-star steps in turn until each node hangs on a smallest one. Each step is joins and partial
+    aggregates over edges; nothing but three numbers a round reaches the driver. Nodes without edges
     to other nodes don't appear. Repeated edges and loops count once or not at all.
     """
-    e = checkpointed(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    mark = None
+    e = checkpointed(contracted(edges).distinct())
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or now[0] == 0:
+        tops = unpartitioned(e.select(F.col("v").alias("k")).distinct())
+        n, nodes, inner = e.join(tops, F.col("u") == F.col("k"), "left").agg(F.count("*"), F.count_distinct("u"), F.count("k")).first()
+        if n == nodes and not inner:  # one edge each, to a node that has none
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = now
         down = unpartitioned(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"))
         # Large star: a neighbour above v now hangs on v's smallest neighbour.
         large = (

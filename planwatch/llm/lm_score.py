@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, stored
+from .common import NO_ID, expanded, from_batch, in_batches, squeezed, stored
 
 #: Outside the range of words, which hold no white space: a text's end, and what stands before its start.
 END, START = b"\n", xxhash.xxh64_intdigest(b"\n\n")
@@ -25,26 +25,23 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: Bytes of a hash that are sent besides its range: all of a word's; six of a longer n-gram's, as one pair in 10^16 that meets is no matter.
-WIDTH = (8, 6)
+def packed(hashes: np.ndarray, lead: int, kept: int) -> bytes:
+    """Sorted hashes that agree on the lead first bits: the next kept bits, as steps from one to the next."""
+    short = (hashes << np.uint64(lead)) >> np.uint64(64 - kept)
+    return squeezed(np.diff(short, prepend=np.uint64(0)))
 
 
-def short(hashes: np.ndarray, width: int) -> bytes:
-    return hashes.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def kept_bits(kind: int, lead: int) -> int:
+    """All of a word's hash; of a longer n-gram's 44 bits besides its range: of 10 million one or two then share their count with another."""
+    return 64 - lead if kind == 0 else min(44, 64 - lead)
 
 
-def whole(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view(np.uint64)[:, 0]
-
-
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' tokens, each text's followed by its end; where each text's begin, and the whole length."""
     words: list[bytes] = []
     starts = [0]
     for t in texts:
-        words += (t or "").encode().lower().split()
+        words += t.lower().split()
         words.append(END)
         starts.append(len(words))
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), np.array(starts)
@@ -63,17 +60,19 @@ def grams(tok: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 class Batch:
-    """A batch of documents: its distinct n-grams, sorted by hash, and where each place's is among them."""
+    """A batch of documents, from blobs: its distinct n-grams, sorted by hash, and where each place's is among them."""
 
     def __init__(self, pdf: pd.DataFrame, order: int):
-        self.tok, self.starts = tokens(pdf["text"].tolist())
-        self.train = np.repeat(pdf["train"].to_numpy(), np.diff(self.starts))
+        self.ids, texts, train, self.times = from_batch(pdf)
+        self.tok, self.starts = tokens(texts)
+        self.weight = np.repeat(train * self.times, np.diff(self.starts))
         self.kinds = [np.unique(g, return_inverse=True) for g in grams(self.tok, self.starts, order)]
 
     def probabilities(self, counts: list[np.ndarray], total: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """[order, places] relative frequencies given the counts of the distinct n-grams, and the longest context's counts.
 
-        A context's count is that of the (n-1)-gram that ends one place before; at a text's start it is the number of texts.
+        A context's count is that of the (n-1)-gram that ends one place before; at a text's start it is the number of texts. In
+        a context that training texts don't have, the longest n-grams' frequency is 0 and that of others is the next shorter ones'.
         """
         at = [c[inverse] for c, (_, inverse) in zip(counts, self.kinds, strict=True)]
         p = [at[0] / max(total, 1)]
@@ -81,7 +80,8 @@ class Batch:
         for n in range(1, len(at)):
             context = np.concatenate([[0], at[n - 1][:-1]])
             context[self.starts[:-1]] = texts
-            p.append(at[n] / np.maximum(context, 1))
+            own = at[n] / np.maximum(context, 1)
+            p.append(own if n == len(at) - 1 else np.where(context > 0, own, p[-1]))
         return np.stack(p), context
 
 
@@ -93,7 +93,8 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
 def mixture_weights(hist: pd.DataFrame, order: int, types: int, rounds: int = 60) -> np.ndarray:
     """[bucket, order + 1] weights of the uniform, unigram, ... estimates by expectation-maximisation on held-out counts.
 
-    hist: bucket, q1..q<order>, n. A bucket without held-out tokens takes the weights of the next lower one that has some.
+    hist: bucket, q1..q<order>, n. A bucket without held-out tokens takes the weights of the next lower one that has some, or
+    of the lowest. The longest n-grams have no weight in bucket 0, where their context is unknown, so that probabilities add up to 1.
     """
     out = np.full((64, order + 1), np.nan)
     for bucket, rows in hist.groupby("bucket"):
@@ -111,6 +112,9 @@ def mixture_weights(hist: pd.DataFrame, order: int, types: int, rounds: int = 60
     for b in range(64):
         lower = known[known <= b]
         out[b] = out[lower[-1] if len(lower) else known[0]]
+    if order > 1:
+        out[0, order] = 0
+        out[0] /= out[0].sum()
     return out
 
 
@@ -130,86 +134,87 @@ def scored(
     use the counts with them. Texts are lower-cased (A-Z) and split at white space; a null text is empty and has one token,
     its end. Repeated rows count and are scored as often as they stand; a null train is false; without training rows all frequencies are 0.
 
-    Documents are dealt into batches of about batch_bytes, the deleted ones into batches of their own, so that learning
+    Documents are dealt, compressed, into batches of about batch_bytes by a hash of id and text, the deleted ones into batches of their own, so that learning
     the mixture reads no others. A batch sends its distinct n-grams, packed, to the hash range that counts them, and gets
-    the counts back in the same order, so a frequent n-gram costs each batch one entry.
+    the counts back in the same order, so a frequent n-gram costs each batch one entry. The number of ranges follows that of
+    batches, which bounds what a range holds; the less two of them share, the more a message's own few bytes weigh.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train")
-    )
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    rows = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("flag"))
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, math.ceil(total / batch_bytes))
-    parts = 1 << max(0, math.ceil(math.log2(2 * n)))
-    shift = np.uint64(64 - int(math.log2(parts)))
-    held = F.col("train") & (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(held_part)) == 0)
+    lead = max(0, math.ceil(math.log2(2 * n)))
+    held = F.col("flag") & (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(held_part)) == 0)
     # Batches from n on hold the deleted documents.
-    spread = F.xxhash64("doc_id", F.lit("batch"))
+    spread = F.xxhash64("doc_id", "text", F.lit("batch"))
     batch_of = F.when(held, n + F.pmod(spread, F.lit(math.ceil(n / held_part)))).otherwise(F.pmod(spread, F.lit(n))).cast("int")
-    dealt = rows.select("doc_id", "text", "train", batch_of.alias("batch"))
+    dealt = rows.withColumn("batch", batch_of)
+    held_batch = F.col("batch") >= n
 
     def cut(hashes: np.ndarray) -> np.ndarray:
         """Where the hash ranges begin in sorted hashes, and their end."""
-        if parts == 1:
+        if not lead:
             return np.array([0, len(hashes)])
-        edges = np.arange(1, parts, dtype=np.uint64) << shift
-        return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+        part = hashes >> np.uint64(64 - lead)
+        return np.searchsorted(part, np.arange((1 << lead) + 1, dtype=np.uint64))
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        batch, out = Batch(pdf.sort_values(["doc_id", "text"]), order), []
+        batch, out = Batch(pdf, order), []
         for k, (hashes, inverse) in enumerate(batch.kinds):
-            trained = np.bincount(inverse[batch.train], minlength=len(hashes)).astype(np.uint32)
+            trained = np.bincount(inverse, batch.weight, len(hashes)).astype(np.uint32)
             at = cut(hashes)
             for p in np.flatnonzero(np.diff(at)):
                 s = slice(at[p], at[p + 1])
-                out.append((int(p), int(pdf["batch"].iloc[0]), k, short(hashes[s], WIDTH[k > 0]), trained[s].tobytes()))
+                out.append((int(p), int(pdf["batch"].iloc[0]), k, packed(hashes[s], lead, kept_bits(k, lead)), squeezed(trained[s])))
         return pd.DataFrame(out, columns=["part", "batch", "kind", "hashes", "trained"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for k, same in pdf.groupby("kind"):
-            size = same["hashes"].map(len).to_numpy() // WIDTH[k > 0]
-            hashes = whole(b"".join(same["hashes"]), WIDTH[k > 0])
-            distinct, inverse = np.unique(hashes, return_inverse=True)
-            sent = np.frombuffer(b"".join(same["trained"]), np.uint32)
+            lists = [np.cumsum(expanded(x, np.uint64), dtype=np.uint64) for x in same["hashes"]]
+            size = np.array([len(x) for x in lists])
+            distinct, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+            sent = np.concatenate([expanded(x, np.uint32) for x in same["trained"]])
             own = np.repeat(same["batch"].to_numpy() >= n, size)
             sums = [np.bincount(inverse, x, len(distinct)).astype(np.int64) for x in (sent, np.where(own, sent, 0))]
             ends = np.cumsum(size)
             for b, lo, hi in zip(same["batch"], ends - size, ends, strict=True):
-                got = [s[inverse[lo:hi]].astype(np.uint32).tobytes() for s in (sums if b >= n else sums[:1])]
+                got = [squeezed(s[inverse[lo:hi]].astype(np.uint32)) for s in (sums if b >= n else sums[:1])]
                 out.append((b, int(pdf["part"].iloc[0]), k, got[0], got[1] if b >= n else b"", 0, 0, 0))
             if k == 0:
                 out.append((-1, int(pdf["part"].iloc[0]), k, b"", b"", int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum())))
         return pd.DataFrame(out, columns=["batch", "part", "kind", "trained", "deleted", "types", "tokens", "deleted_tokens"])
 
     counts = stored(
-        dealt.groupBy("batch")
+        in_batches(dealt)
+        .groupBy("batch")
         .applyInPandas(send, "part int, batch int, kind int, hashes binary, trained binary")
         .groupBy("part")
         .applyInPandas(count, "batch int, part int, kind int, trained binary, deleted binary, types long, tokens long, deleted_tokens long")
     )
     types, all_tokens, deleted_tokens = (x or 0 for x in counts.where("batch < 0").agg(F.sum("types"), F.sum("tokens"), F.sum("deleted_tokens")).first())
-    texts, deleted_texts = (x or 0 for x in dealt.agg(F.count_if("train"), F.count_if(F.col("batch") >= n)).first())
+    texts, deleted_texts = (x or 0 for x in dealt.agg(F.count_if("flag"), F.count_if(held_batch)).first())
     answers = counts.where("batch >= 0").select("batch", "part", "kind", "trained", "deleted")
 
     def received(got: pd.DataFrame, column: str) -> list[np.ndarray]:
         got = got.sort_values(["kind", "part"])
-        return [np.frombuffer(b"".join(got.loc[got["kind"] == k, column]), np.uint32).astype(np.int64) for k in range(order)]
+        return [np.concatenate([np.empty(0, np.uint32), *(expanded(x, np.uint32) for x in got.loc[got["kind"] == k, column])]).astype(np.int64) for k in range(order)]
 
     def count_held(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         names = ["bucket", *(f"q{k + 1}" for k in range(order))]
         if not len(pdf):
             return pd.DataFrame({c: np.empty(0, np.int64) for c in [*names, "n"]})
-        batch = Batch(pdf.sort_values(["doc_id", "text"]), order)
+        batch = Batch(pdf, order)
         kept = [t - d for t, d in zip(received(got, "trained"), received(got, "deleted"), strict=True)]
         p, context = batch.probabilities(kept, all_tokens - deleted_tokens, texts - deleted_texts)
         with np.errstate(divide="ignore"):
             q = np.minimum(np.rint(-GRID * np.log2(p)), LAST).astype(np.int64)
-        return pd.DataFrame(np.vstack([bucket_of(context), q]).T, columns=names).value_counts().rename("n").reset_index()
+        cells = pd.DataFrame(np.vstack([bucket_of(context), q]).T, columns=names).assign(n=np.repeat(batch.times, np.diff(batch.starts)))
+        return cells.groupby(names, as_index=False)["n"].sum()
 
-    held_batch = F.col("batch") >= n
     keys = ", ".join(f"q{k + 1} long" for k in range(order))
     hist = (
-        dealt.where(held_batch)
+        in_batches(dealt.where(held_batch))
         .groupBy("batch")
         .cogroup(answers.where(held_batch).groupBy("batch"))
         .applyInPandas(count_held, f"bucket long, {keys}, n long")
@@ -222,7 +227,6 @@ def scored(
     def score(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame({c: [] for c in ("doc_id", "n_tokens", "n_known", "base_score", "score")})
-        pdf = pdf.sort_values(["doc_id", "text"])
         batch, trained = Batch(pdf, order), received(got, "trained")
         p, context = batch.probabilities(trained, all_tokens, texts)
         w = weights[bucket_of(context)].T
@@ -230,12 +234,13 @@ def scored(
         c = trained[0][batch.kinds[0][1]]
         base = np.log10((c + 0.5) / (all_tokens + 0.5 * (types + 1)))
         add = lambda x: np.add.reduceat(x, batch.starts[:-1])
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": np.diff(batch.starts), "n_known": add((c > 0).astype(np.int64)), "base_score": add(base), "score": add(model)})
+        out = pd.DataFrame({"doc_id": batch.ids, "n_tokens": np.diff(batch.starts), "n_known": add((c > 0).astype(np.int64)), "base_score": add(base), "score": add(model)})
+        return out.loc[np.repeat(np.arange(len(out)), batch.times)]
 
-    freed(docs.sparkSession)
     return (
-        dealt.groupBy("batch")
+        in_batches(dealt)
+        .groupBy("batch")
         .cogroup(answers.drop("deleted").groupBy("batch"))
         .applyInPandas(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-        .withColumn("train_tokens", F.lit(all_tokens).cast("long"))
+        .select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_tokens", "n_known", F.lit(all_tokens).cast("long").alias("train_tokens"), "base_score", "score")
     )

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, unpartitioned
+from .common import NO_ID, from_batch, in_batches, stored, unpartitioned
 
 #: Bytes of the grams whose least hash in a window names it: long enough that ordinary words and phrases don't repeat one.
 GRAM = 48
@@ -203,13 +203,11 @@ class Windows:
 
 
 class Batch:
-    """A batch of documents in order, cut into pieces that fit a processor's cache; copies of other texts left out."""
+    """A batch of documents in order, from blobs, cut into pieces that fit a processor's cache; copies of other texts left out."""
 
     def __init__(self, pdf: pd.DataFrame, notes: pd.DataFrame, length: int, piece_bytes: int = 1_000_000):
-        self.pdf = pdf.sort_values(["doc_id", "text"]).reset_index(drop=True)
-        self.raw = [t.encode() for t in self.pdf["text"]]
-        self.ids, self.length = self.pdf["doc_id"].tolist(), length
-        self.again = [k > 0 and self.ids[k - 1] == self.ids[k] and self.raw[k - 1] == self.raw[k] for k in range(len(self.raw))]
+        self.ids, self.raw, _, self.times = from_batch(pdf)
+        self.length = length
         copies: dict[int, set[bytes]] = {}
         for i, mark in notes.loc[notes["kind"] == 0, ["doc_id", "marks"]].itertuples(index=False):
             copies.setdefault(int(i), set()).add(bytes(mark))
@@ -217,7 +215,7 @@ class Batch:
         self.pieces: list[list[int]] = [[]]
         size = 0
         for k, raw in enumerate(self.raw):
-            if not self.copy[k] and not self.again[k]:
+            if not self.copy[k]:
                 self.pieces[-1].append(k)
                 size += len(raw)
                 if size >= piece_bytes:
@@ -294,24 +292,24 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stands at more than frequent places are dealt to as many shards as that takes, by batch; the shards' first windows, dealt
     anew by their hash, are then merged by binary search.
     """
-    no_id = F.lit(-(1 << 63)).cast("long")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    rows = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, math.ceil(total / batch_bytes))
     # A shard's suffix arrays take some hundred bytes a byte of text, so shards are smaller than batches.
     parts = 1 << max(0, math.ceil(math.log2(8 * n)))
     most_salts = math.ceil(math.log2(n))
     shift = np.uint64(64 - int(math.log2(parts)))
-    batch_of = F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n)).cast("int")
-    dealt = rows.withColumn("batch", batch_of)
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text", F.lit("batch")), F.lit(n)).cast("int")).withColumn("flag", F.lit(False))
     # Copies of whole texts are known by their SHA-256 alone.
-    keys = stored(rows.where(F.octet_length("text") >= length).select("doc_id", F.sha2("text", 256).alias("h")))
+    keys = stored(dealt.where(F.octet_length("text") >= length).select("batch", "doc_id", F.sha2("text", 256).alias("h")))
     first = keys.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("k"), "first")
     blank = [F.lit(None).cast(t).alias(c) for c, t in (("item", "binary"), ("place", "binary"), ("width", "binary"))]
     copies = stored(
         keys.join(unpartitioned(first), F.col("h") == F.col("k"))
         .where("doc_id > first")
-        .select(batch_of.alias("batch"), F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("int").alias("part"), F.unhex("h").alias("marks"), *blank)
+        .select("batch", F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("int").alias("part"), F.unhex("h").alias("marks"), *blank)
+        .distinct()
     )
 
     def cut(hashes: np.ndarray) -> np.ndarray:
@@ -451,9 +449,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             gone.setdefault(row, []).append((at + off, at + off + n + length - 1))
         out: list[tuple] = []
         for k, raw in enumerate(batch.raw):
-            if batch.again[k]:
-                out.append(out[-1])
-                continue
             spans: list[list[int]] = [[0, len(raw)]] if batch.copy[k] else []
             for a, b in sorted(gone.get(k, [])):
                 if spans and a <= spans[-1][1]:
@@ -462,10 +457,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     spans.append([a, b])
             ends = [0, *(x for s in spans for x in s), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-            out.append((batch.ids[k], len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+            out += [(batch.ids[k], len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else []))] * int(batch.times[k])
         return pd.DataFrame(out, columns=columns)
 
-    by_batch = dealt.groupBy("batch")
+    by_batch = in_batches(dealt).groupBy("batch")
     marks = (
         by_batch.cogroup(copies.groupBy("batch"))
         .applyInPandas(send_names, "part int, batch int, hashes binary, counts binary")
@@ -482,4 +477,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = found.where("kind = 3").groupBy("doc_id").applyInPandas(merge, NOTE)
     notes = marks.union(found.where("kind = 2")).union(again)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return by_batch.cogroup(notes.groupBy("batch")).applyInPandas(remove, schema).withColumn("doc_id", F.nullif("doc_id", no_id))
+    return by_batch.cogroup(notes.groupBy("batch")).applyInPandas(remove, schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
