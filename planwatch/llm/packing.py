@@ -72,56 +72,55 @@ class Packer:
     """Fills sequences of at most limits (tokens, segments, loss-bearing tokens) with pieces of documents.
 
     The open sequence takes the waiting piece with the greatest dot product of its demand and what room is
-    left, both as parts of the limits, among those that fit. Where none fits, the largest is cut to fill the sequence;
-    its rest waits on. Where that breaks a limit too, the sequence ends at a power of two of tokens, and what is beyond
-    waits on. A piece's first token bears no loss: nothing in the sequence predicts it.
+    left, both as parts of the limits, among those that fit. Where none fits, the largest is cut to fill the sequence (half of
+    it, if the room for loss wouldn't let one piece do so); its rest waits on. Where that breaks a limit too, the sequence ends at a power of two of tokens, and what is beyond
+    waits on. A piece's first token bears no loss, as nothing in the sequence predicts it, and neither do a document's prompt tokens.
     """
 
     def __init__(self, limits: tuple[int, int, int], first_id: int):
         self.limits = np.array(limits)
         self.next = first_id
         self.doc: list[int] = []
+        self.prompt: list[int] = []
         self.start: list[int] = []
         self.length: list[int] = []
 
-    def add(self, doc: int, tokens: int) -> list[tuple[int, int, int, int, int]]:
-        """Takes document number doc; gives its full sequences, as (doc, start, length, sequence, offset)."""
-        whole = int(min(self.limits[0], self.limits[2] + 1))
-        out = []
-        for k in range(tokens // whole if whole == self.limits[0] else 0):
-            out.append((doc, k * whole, whole, self.next, 0))
-            self.next += 1
-        if rest := tokens - len(out) * whole:
-            self.doc.append(doc)
-            self.start.append(tokens - rest)
-            self.length.append(rest)
-        return out
+    def add(self, doc: int, tokens: int, prompt: int = 0) -> None:
+        """Takes document number doc, whose first prompt tokens bear no loss."""
+        self.doc.append(doc)
+        self.prompt.append(prompt)
+        self.start.append(0)
+        self.length.append(tokens)
 
     def pack(self, last: bool) -> list[tuple[int, int, int, int, int]]:
-        """Sequences of what waits; all of it if last, else as long as full sequences can be had."""
+        """Sequences of what waits, as (doc, start, length, sequence, offset); all of it if last, else as long as full sequences can be had."""
         out: list[tuple[int, int, int, int, int]] = []
-        doc, start, length = (np.array(x, np.int64) for x in (self.doc, self.start, self.length))
+        doc, prompt, start, length = (np.array(x, np.int64) for x in (self.doc, self.prompt, self.start, self.length))
         waits = np.ones(len(doc), bool)
         left = int(length.sum())
         while left and (last or left >= 8 * self.limits[0]):
-            room, held = self.limits.copy(), []
-            while True:
-                at = np.flatnonzero(waits)
-                need = np.stack([length[at], np.ones(len(at), np.int64), length[at] - 1], axis=1)
-                fits = (need <= room).all(axis=1)
+            room, held, at = self.limits.copy(), [], np.flatnonzero(waits)
+            demand = length[at]
+            free = np.maximum(prompt[at] - start[at], 1)  # a piece's first tokens, without loss
+            while room[0] > 0 and room[1] > 0:
+                loss = np.maximum(demand - free, 0)
+                fits = (demand > 0) & (demand <= room[0]) & (loss <= room[2])
                 if fits.any():
-                    gain = np.where(fits, (need / self.limits) @ (room / self.limits), -1)
-                    k = int(at[gain.argmax()])
-                    take = int(length[k])
-                elif len(at) and room.min() > 0 and (cut := int(min(room[0], room[2] + 1))) > 0:
-                    k = int(at[length[at].argmax()])
-                    take = cut
+                    share = room / self.limits / self.limits  # the dot product of demand and room, both as parts of the limits
+                    i = int(np.where(fits, demand * share[0] + share[1] + loss * share[2], -1).argmax())
+                    take = int(demand[i])
+                elif len(demand) and demand[i := int(demand.argmax())] > 0:
+                    most = room[2] + free[i]
+                    take = int(min(demand[i], room[0] if room[0] <= most else max(1, min(room[0] // 2, most))))
                 else:
                     break
+                k = int(at[i])
                 held.append((int(doc[k]), int(start[k]), take))
-                room -= (take, 1, take - 1)
+                room -= (take, 1, max(take - int(free[i]), 0))
                 start[k] += take
                 length[k] -= take
+                demand[i] -= take
+                free[i] = max(int(free[i]) - take, 1)
                 waits[k] = length[k] > 0
             used = int(self.limits[0] - room[0])
             keep = used if used == self.limits[0] else 1 << (used.bit_length() - 1)
@@ -134,10 +133,13 @@ class Packer:
                     back.append((d, s + max(m, 0), n - max(m, 0)))
             if back:
                 d, s, n = (np.array(x, np.int64) for x in zip(*back, strict=True))
-                doc, start, length, waits = np.r_[doc[waits], d], np.r_[start[waits], s], np.r_[length[waits], n], np.ones(int(waits.sum()) + len(d), bool)
+                known = dict(zip(doc.tolist(), prompt.tolist(), strict=True))
+                p = np.array([known[x] for x in d.tolist()], np.int64)
+                doc, prompt, start, length = (np.r_[x[waits], y] for x, y in ((doc, d), (prompt, p), (start, s), (length, n)))
+                waits = np.ones(len(doc), bool)
             self.next += 1
             left -= keep
-        self.doc, self.start, self.length = (x[waits].tolist() for x in (doc, start, length))
+        self.doc, self.prompt, self.start, self.length = (x[waits].tolist() for x in (doc, prompt, start, length))
         return out
 
 
@@ -151,9 +153,13 @@ def packed(
     loss_tokens: int | None = None,
     end_id: int = 1,
     with_ids: bool = False,
+    prompt_col: str | None = None,
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids array<int> if with_ids): a row for each piece.
 
+    capacity, segments and loss_tokens limit the tokens, pieces and loss-bearing tokens of a sequence. Of a document of plain text each
+    token but a piece's first bears loss; prompt_col, if named, is how many of a document's first tokens are prompt and bear none.
+
     Each partition packs its own documents, so nothing is shuffled; a sequence id holds the partition's number. Sequences
     are full or, where the partition's rest is too little, a power of two long. A null or empty text is the end id
     alone; a repeated row is a document of its own; texts of any length are cut into pieces; an empty table gives no rows.
@@ -175,15 +181,15 @@ def packed(
             return out
 
         for pdf in by_size(frames, "text", 2_000_000):
-            pieces = []
-            for doc, ids in zip(pdf["id"], encoder.encode(pdf["text"].tolist()), strict=True):
+            for doc, prompt, ids in zip(pdf["id"], pdf["prompt"], encoder.encode(pdf["text"].tolist()), strict=True):
                 docs_held[n] = (None if pd.isna(doc) else int(doc), ids)
-                pieces += packer.add(n, len(ids))
+                packer.add(n, len(ids), int(prompt))
                 n += 1
-            yield rows(pieces + packer.pack(False))
+            yield rows(packer.pack(False))
             docs_held = {k: docs_held[k] for k in set(packer.doc)}
         if docs_held:
             yield rows(packer.pack(True))
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, schema)
+    prompt = F.coalesce(F.col(prompt_col), F.lit(0)).cast("long") if prompt_col else F.lit(0).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), prompt.alias("prompt")).mapInPandas(run, schema)
