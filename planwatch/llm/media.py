@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, stored
 
 #: Fixed values of the JPEG format: zigzag position -> row-major position in a block.
 ZIGZAG = np.array(sorted(range(64), key=lambda p: (p // 8 + p % 8, p // 8 if (p // 8 + p % 8) % 2 else p % 8)))
@@ -425,10 +425,16 @@ def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "id long, media binary")
 
 
+def kept_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """stored_media() at rest: written as a table in the shared folder, from which the images are read back."""
+    return stored(stored_media(docs, id_col, text_col))
+
+
 def read_media(media: DataFrame, with_payload: bool = False, with_tensor: bool = False) -> DataFrame:
     """id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored media (id, media).
 
-    with_payload adds the bytes read back, with_tensor the RGB tensor (height, width, rgb binary, row-major).
+    with_payload adds the bytes read back, with_tensor the RGB tensor (height, width, rgb binary, row-major), at full
+    resolution; in a column of a table Spark writes it as it is.
     """
     schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     schema += ", payload binary" * with_payload + ", height int, width int, rgb binary" * with_tensor
