@@ -4,41 +4,55 @@ from __future__ import annotations
 
 import public_tokenizers
 from planwatch.llm import line_dedup, mixing, packing, simhash, toxicity
-from planwatch.llm.common import read, stored
-from planwatch.llm.queries import LINE_PAGES, LINE_RATIO, fold
+from planwatch.llm.common import free_name, read, stored
+from planwatch.llm.queries import LINE_PAGES, LINE_RATIO, LOSS_TOKENS, SEGMENTS, fold
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those whose text scores 0.5 or more; the model learns from the labels of four fifths of the ids."""
-    model = toxicity.train(docs, read(spark, sf_dir, "labels").where(fold() != 0), "doc_id", "text", "toxic")
-    return toxicity.scored(docs, model, "text", "__score").where("__score < 0.5").drop("__score")
+    """docs without those whose text scores 0.5 or more; the model learns from the labels of four fifths of the ids.
+
+    A null text scores as an empty one; rows with a null id are scored like others; equal texts share their fate; no docs give none.
+    """
+    model = toxicity.train(docs, read(spark, sf_dir, "labels").where(~fold().isin(0, -1)), "doc_id", "text", "toxic")
+    score = free_name(docs, "score")
+    return toxicity.scored(docs, model, "text", score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs whose texts have lost their source's boilerplate lines; n_chars follows."""
-    kept = line_dedup.without_boilerplate(docs, "text", "source", LINE_RATIO, LINE_PAGES, "__kept_text", "__dropped")
-    return kept.withColumn("text", F.col("__kept_text")).withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """docs whose texts have lost their source's boilerplate lines; n_chars, if there, follows.
+
+    All rows stay: a null text is null, one of boilerplate alone is empty. A null source is a source; repeated rows are pages each.
+    """
+    text, lost = free_name(docs, "kept_text"), free_name(docs, "lines_lost")
+    kept = line_dedup.without_boilerplate(docs, "text", "source", LINE_RATIO, LINE_PAGES, text, lost).withColumn("text", F.col(text))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col(lost) > 0, F.length("text")).otherwise(F.col("n_chars")))
+    return kept.select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs but those that aren't the first (least id) of their group of near-duplicates: five words, similarity 0.8."""
+    """docs but those that aren't the first (least id) of their group of near-duplicates: five words, similarity 0.8.
+
+    Null, empty and blank texts are copies of each other. Rows of a repeated id go only if the id isn't the first of a group of one of
+    them; rows with a null id stay, as nothing names them.
+    """
     groups = simhash.near_duplicates(docs, "doc_id", "text", shingle=5, similarity=0.8)
-    gone = stored(groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stored(groups.where("id is not null").groupBy(F.col("id").alias("gone")).agg(F.max(F.col("id") == F.col("component")).alias("first")).where("not first").select("gone"))
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs, each as often as the mix takes it."""
+    """docs, each as often as the mix takes it: 0 to 2 times. Null and empty texts have no words and are never taken; a null source is a source."""
     sized = docs.select(F.col("doc_id").cast("long").alias("id"), "source", mixing.word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("doc"))
     out = mixing.with_copies(stored(sized.drop("doc")), sized)
     return out.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all docs in training sequences."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of all docs in training sequences, a row each. A null text is the end id alone; copies are documents of their own."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), segments=SEGMENTS, loss_tokens=LOSS_TOKENS)
 
 
 STAGES = [

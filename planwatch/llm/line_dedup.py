@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import free_name, small, stored
 
 
 def boilerplate(docs: DataFrame, text_col: str, host_col: str, ratio: float, least_pages: int) -> DataFrame:
@@ -40,16 +40,17 @@ def without_boilerplate(
     those named new_col and count_col are replaced.
     """
     found = stored(boilerplate(docs, text_col, host_col, ratio, least_pages).groupBy("host").agg(F.collect_set("line").alias("lines")))
+    host, lines, rest = (free_name(docs, x) for x in ("host_of_lines", "lines_of_host", "lines_kept"))
     rows = docs.join(
-        small(found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines")), 10_000),
-        docs[host_col].eqNullSafe(F.col("__host")),
+        small(found.select(F.col("host").alias(host), F.col("lines").alias(lines)), 10_000),
+        docs[host_col].eqNullSafe(F.col(host)),
         "left",
     )
     split = F.split(F.col(text_col), "\n")
-    drop = lambda x: F.coalesce(F.array_contains("__lines", F.md5(F.trim(x).cast("binary"))), F.lit(False))
+    drop = lambda x: F.coalesce(F.array_contains(lines, F.md5(F.trim(x).cast("binary"))), F.lit(False))
     kept = F.filter(split, lambda x: ~drop(x))
-    return rows.withColumn("__kept", F.when(F.col("__lines").isNull(), split).otherwise(kept)).select(
+    return rows.withColumn(rest, F.when(F.col(lines).isNull(), split).otherwise(kept)).select(
         *[docs[c] for c in docs.columns if c not in (new_col, count_col)],
-        F.array_join("__kept", "\n").alias(new_col),
-        F.coalesce(F.size(split) - F.size("__kept"), F.lit(0)).cast("long").alias(count_col),
+        F.array_join(rest, "\n").alias(new_col),
+        F.coalesce(F.size(split) - F.size(rest), F.lit(0)).cast("long").alias(count_col),
     )

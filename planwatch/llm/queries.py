@@ -15,9 +15,13 @@ from .common import read
 LINE_RATIO, LINE_PAGES = 0.1, 10
 
 
+#: Of a training sequence: pieces, and tokens that bear loss (so at least 3 pieces fill one of 2048 tokens).
+SEGMENTS, LOSS_TOKENS = 32, 2045
+
+
 def fold(id_col: str = "doc_id") -> Column:
-    """The number of a document's fifth: crc32 of its id as text, modulo 5."""
-    return F.crc32(F.col(id_col).cast("string")) % 5
+    """The number of a document's fifth: crc32 of its id as text, modulo 5; of a null id -1, which is in none."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5, F.lit(-1))
 
 
 def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +30,7 @@ def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"),
         "n_links",
         F.col("component").alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"),
     )
 
 
@@ -52,7 +56,7 @@ FROM pages p LEFT JOIN by_site b ON p.source IS NOT DISTINCT FROM b.source
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read(spark, sf_dir, "labels").where(fold() != 0)
+    labels = read(spark, sf_dir, "labels").where(~fold().isin(0, -1))
     model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
     return toxicity.scored(docs, model, "text").select(
         "doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
@@ -60,7 +64,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), segments=SEGMENTS, loss_tokens=LOSS_TOKENS)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +73,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm_score.scored(docs, fold() != 1).withColumn("held_out", fold() == 1)
+    out = lm_score.scored(docs, ~fold().isin(1, -1), order=3)
+    return out.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +82,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.stored_media(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    return media.read_media(media.kept_media(read(spark, sf_dir, "documents")), with_tensor=True).withColumnRenamed("id", "doc_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

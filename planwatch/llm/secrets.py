@@ -101,7 +101,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_novel long, base_sha256, spans: a row for each row of docs.
+    """doc_id, n_assign, n_access, n_hex long, base_sha256, spans, n_novel long: a row for each row of docs.
 
     Spans count code points, the end exclusive, and are sorted by start and then kind. Whole texts are searched; a null
     text counts as empty and has no spans; repeated rows get equal results; an empty table gives none.
@@ -115,12 +115,12 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 {
                     "doc_id": pdf["id"],
                     **{f"n_{kind}": [sum(s[1] == k for s in b) for b in base] for k, kind in enumerate(KINDS[:3])},
-                    "n_novel": [len(x) for x in new],
                     "base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b in base],
                     "spans": [joined(b + x) for b, x in zip(base, new, strict=True)],
+                    "n_novel": [len(x) for x in new],
                 }
             )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
+        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
     )

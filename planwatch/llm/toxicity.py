@@ -57,10 +57,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -500, 500))))
 
 
-def swaps(text: str, label: int, number: int, most: int = 4) -> list[tuple[set[str], set[str]]]:
+def swaps(text: str, label: int, number: int) -> list[tuple[set[str], set[str]]]:
     """Features that counterfactuals of a labelled text add and take away.
 
-    In each sentence every identity term is swapped for each of up to most others of its group; a text that isn't toxic also
+    In each sentence every identity term is swapped for each other of its group; a text that isn't toxic also
     gets one neutral mention added, of the term whose turn number it is.
     """
     out = []
@@ -69,7 +69,7 @@ def swaps(text: str, label: int, number: int, most: int = 4) -> list[tuple[set[s
         for group in IDENTITY_TERMS:
             for term in sorted(words & set(group)):
                 before = features(sentence)
-                for other in [g for g in group if g != term][:most]:
+                for other in [g for g in group if g != term]:
                     after = features(re.sub(rf"\b{term}\b", other, sentence, flags=re.I))
                     out.append((after - before, before - after))
     if not label:
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     """The model of at most sample documents with a label: all if there are no more, else those of least hash.
 
     Of the features of several of them (and under half), those most_features take part whose frequency differs most surely
-    between the classes. The driver gets these features, and of each document of the sample which it has. Rows whose label is null don't
+    between the classes: the size of the model, as that of a vocabulary; no row is left out for it. The driver gets these features, and of each document of the sample which it has. Rows whose label is null don't
     count; of repeated labels of an id the largest does.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("int").alias("y"))
