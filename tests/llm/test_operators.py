@@ -11,7 +11,8 @@ import public_tokenizers
 import pytest
 import xxhash
 from planwatch.llm import line_dedup, lm_score, media, mixing, near_embed, packing, secrets, simhash, suffix_dedup, toxicity
-from planwatch.llm.queries import OP2_SQL, op2_line_dedup, op3_toxicity
+from planwatch.llm import queries as Q
+from planwatch.llm.queries import OP2_SQL, op1_near_embeddings, op2_line_dedup, op3_toxicity
 from pyspark.sql import functions as F
 
 from conftest import SF_DIR
@@ -84,22 +85,61 @@ def test_near_embeddings(spark):
     assert len(pairs) > 300
     links = Counter(x for p in pairs for x in p)
     want = {i: (links[i], c) for i, c in enumerate(components(len(v), pairs))}
-    got = {r["id"]: (r["n_links"], r["component"]) for r in near_embed.near(df, "vec_id", "embedding", block=64).collect()}
-    assert got == want
+    for how in ({"block": 40}, {"recall": 1, "block": 40}):
+        got = {r["id"]: (r["n_links"], r["component"]) for r in near_embed.near(df, "vec_id", "embedding", **{"bucket": 64} | how).collect()}
+        assert got == want
     assert near_embed.near(df.where("false"), "vec_id", "embedding").count() == 0
 
 
+def test_near_embeddings_of_repeated_and_null_ids(spark):
+    a, b, c = np.eye(3, 8)
+    close = lambda v: [float(x) for x in v + 0.1]
+    data = [(1, a.tolist()), (1, b.tolist()), (2, close(a)), (3, close(b)), (None, c.tolist()), (5, close(c)), (7, None), (None, None), (8, a.tolist()), (8, a.tolist())]
+    got = near_embed.near(spark.createDataFrame(data, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+    want = [(1, 3, 1), (1, 1, 1), (2, 3, 1), (3, 1, 1), (None, 1, 5), (5, 1, 5), (7, 0, 7), (None, 0, None), (8, 3, 1), (8, 3, 1)]
+    assert both_ways(map(tuple, got)) == both_ways(want)
+
+
+def test_near_embeddings_of_the_table(spark):
+    """All rows of the table: each link of a row whose id is divisible by 100 is found, and no other."""
+    df = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    rows_ = df.collect()
+    x = np.array([r["embedding"] for r in rows_], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([r["vec_id"] for r in rows_])
+    got = {r["vec_id"]: r["n_links"] for r in op1_near_embeddings(spark, SF_DIR).collect()}
+    for k in np.flatnonzero(ids % 100 == 0):
+        assert got[ids[k]] == (x @ x[k] >= 0.9).sum() - 1
+
+
+def test_bands_find_what_the_plan_promises():
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for n, recall in ((51_282, 0.9999), (51_282, 0.9), (10**7, 0.99)):
+        bits, bands = near_embed.plan(n, 0.9, recall, 4096)
+        same = [near_embed.encode(v, bits, bands)[3].reshape(len(v), bands, bits) for v in (x, y)]
+        assert (same[0] == same[1]).all(axis=2).any(axis=1).mean() >= recall - 0.015
+    assert near_embed.plan(4096, 0.9, 0.9999, 4096) == near_embed.plan(10**9, 0.9, 1, 4096) == (0, 1)
+
+
 def test_bounds_hold_and_estimates_are_unbiased():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, 64))
+    x[:60] = x[60:120] + 0.3 * x[:60]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    code, factor, _ = near_embed.encode(x, 8, 4)
-    query = (x @ near_embed.rotation(64, 0)).astype(np.float32)
-    exact = x @ x.T
-    assert (near_embed.upper(code, factor, query, 6.0) >= exact - 1e-5).all()
-    estimate = ((2.0 * code - 1) / 8 @ query.T) / factor[:, None]
-    off = ~np.eye(300, dtype=bool)
-    assert abs((estimate - exact)[off].mean()) < 1e-3
+    code, factor, missed, _ = near_embed.encode(x, 8, 4)
+    exact, signs, other = x @ x.T, np.where(code < 0, -1, 1) / 8, near_embed.direction(code)
+    for least in (0.3, 0.6, 0.9):
+        wanted = near_embed.thresholds(factor, float(missed.max()), least, 64, 6.0)
+        assert ((signs @ other.T >= wanted[:, None]) | (exact < least)).all()
+    off = missed[:, None] + missed + (missed[:, None] + missed) ** 2 / 2 + near_embed.SLACK
+    assert missed.max() < 0.02 and (abs(other @ other.T - exact) <= off).all()
+    apart = ~np.eye(300, dtype=bool)
+    assert abs((signs @ other.T / factor[:, None] - exact)[apart].mean()) < 2e-3
 
 
 # ---- 2: lines ----
@@ -162,6 +202,31 @@ def test_counterfactual_penalty():
     assert neutral[1] < 0.5 * neutral[0]
 
 
+def test_neutral_mentions_are_not_toxic():
+    """At the weight that the queries use: fewer neutral mentions of a group score as toxic than without the penalty."""
+    rng = np.random.default_rng(14)
+    groups = [t for g in toxicity.IDENTITY_TERMS[:7] for t in g]
+    data = []
+    for i in range(900):
+        toxic = int(i % 3 == 0)
+        named = rng.choice(groups) if rng.random() < (0.9 if toxic else 0.05) else rng.choice(VOCAB)
+        data.append((f"we saw the {named}. {sentence(rng, 8)} {'vile filth' if toxic and rng.random() < 0.6 else ''}", toxic))
+    names = sorted(set().union(*(toxicity.features(t) for t, _ in data)))
+    at = {f: i for i, f in enumerate(names)}
+    docs = [np.array(sorted(at[f] for f in toxicity.features(t))) for t, _ in data]
+    changes = []
+    for k, (t, y) in enumerate(data):
+        for plus, minus in toxicity.swaps(t, y, k):
+            signs = {at[f]: s for fs, s in ((plus, 1.0), (minus, -1.0)) for f in fs if f in at}
+            changes.append((np.array(list(signs)), np.array(list(signs.values()))))
+    neutral = [f"we saw the {g}. {sentence(rng, 8)}" for g in groups for _ in range(5)]
+    without, with_ = (toxicity.fit(names, docs, [y for _, y in data], changes, swap_weight=w) for w in (0.0, 1.0))
+    wrong = [sum(m.score(t) >= 0.5 for t in neutral) for m in (without, with_)]
+    assert wrong[0] > 0.4 * len(neutral) and wrong[1] < 0.1 * wrong[0]
+    assert sum(with_.logit(t) for t in neutral) < sum(without.logit(t) for t in neutral)
+    assert all(with_.score(f"we saw the {g}. {sentence(rng, 8)} vile filth") >= 0.5 for g in groups)
+
+
 def test_toxicity_edges(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(40)] + [(3, 1, None), (None, 1, None), (5, None, None)], "doc_id long, toxic int, text string")
     model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
@@ -208,6 +273,48 @@ def test_packing_round_trip(docs, empty, limits):
     assert packing.packed(empty, path).count() == 0
 
 
+def test_packing_limits_bind():
+    """Texts of the small table's lengths: each of the three limits is met by some sequence and broken by none."""
+    rng = np.random.default_rng(15)
+    packer = packing.Packer((2048, 32, 2045), 0)
+    sizes = np.r_[rng.integers(2, 12, 3000), rng.integers(1900, 2100, 60), rng.integers(5000, 9000, 8), rng.integers(100, 700, 300)]
+    out = []
+    for k, n in enumerate(sizes):
+        packer.add(k, int(n))
+        if k % 100 == 0:
+            out += packer.pack(False)
+    out += packer.pack(True)
+    by_seq, by_doc = defaultdict(list), Counter()
+    for doc, _, n, seq, _ in out:
+        by_seq[seq].append(n)
+        by_doc[doc] += n
+    assert by_doc == Counter(dict(enumerate(sizes.tolist())))
+    loss = {s: sum(p) - len(p) for s, p in by_seq.items()}
+    assert max(map(sum, by_seq.values())) == 2048 and max(map(len, by_seq.values())) == 32 and max(loss.values()) == 2045
+    assert all(sum(p) & (sum(p) - 1) == 0 for p in by_seq.values())
+
+
+def test_packing_of_prompts(spark):
+    """Prompt tokens bear no loss, so sequences of long prompts hold more answers than the loss limit alone would let through."""
+    df = spark.createDataFrame([(i, " ".join(["word"] * 99), 90 if i % 2 else None) for i in range(200)], "doc_id long, text string, prompt long").coalesce(1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.packed(df, path, segments=40, loss_tokens=200, prompt_col="prompt").collect()
+    loss = Counter()
+    for r in got:
+        prompt = 90 if r["doc_id"] % 2 else 0
+        loss[r["sequence_id"]] += max(r["start"] + r["length"] - max(prompt, r["start"] + 1), 0)
+    assert 190 <= max(loss.values()) <= 200 and sum(r["length"] for r in got) == 200 * 100
+
+
+@pytest.mark.parametrize("text", ["", " ", "a  b", "tabs\tand\nlines\r\nmore", "İstanbul ẞ ﬁn Ⅷ", "don't stop!!! ...", "e\u0301te\u0301 e\u0301", "日本語 テキスト", "x\u200by \u00a0 z", "ÀÉÎ.,;", "a1b2 3c", "🙂🙂 ok?!", "ǅ ŉ ſ K"])
+def test_packing_encodes_as_the_tokenizer_does(text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.Encoder(path, 1).encode([text, text])[1].tolist() == [*want, 1]
+
+
 # ---- 5: repeated strings ----
 
 
@@ -307,6 +414,65 @@ def test_lm_score(spark, docs, empty):
     assert lm_score.scored(empty, train).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_probabilities_add_up_to_one(order):
+    """Over all words that may follow a context, a text's end and one unknown word; contexts seen and not seen."""
+    from planwatch.llm.lm_score import Batch
+
+    rng = np.random.default_rng(17)
+    words = VOCAB[:6]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(0, 9, 40)]
+    trained = Counter()
+    batch = Batch(blobs([(i, t, True) for i, t in enumerate(texts)]), order)
+    for hashes, inverse in batch.kinds:
+        trained.update(dict(zip(hashes.tolist(), np.bincount(inverse, batch.weight).astype(int).tolist(), strict=True)))
+    import pandas as pd
+
+    weights = lm_score.mixture_weights(pd.DataFrame([(b, *[3] * order, 5) for b in (2, 4)], columns=["bucket", *(f"q{k + 1}" for k in range(order)), "n"]), order, 7)
+    for context in ("", words[0], "unseen", f"{words[0]} {words[1]}", f"unseen {words[0]}", f"{words[0]} unseen"):
+        asked = Batch(blobs([(k, f"{context} {w}".strip(), True) for k, w in enumerate(words)] + [(len(words), context, True)]), order)
+        counts = [np.array([trained[h] for h in hashes.tolist()]) for hashes, _ in asked.kinds]
+        p, seen = asked.probabilities(counts, int(trained_total(texts)), len(texts))
+        depth = len(context.split())
+        at = asked.starts[:-1] + depth
+        w = weights[lm_score.bucket_of(seen)][at]
+        total = (w[:, 0] / 8 + (w[:, 1:] * p[:, at].T).sum(axis=1)).sum() + w[0, 0] / 8  # and one unknown word
+        assert total == pytest.approx(1)
+
+
+def trained_total(texts):
+    return sum(len(t.split()) + 1 for t in texts)
+
+
+def blobs(rows_):
+    """Rows (id, text, flag) as one batch's blobs."""
+    import pandas as pd
+    import zstandard
+
+    raw = [t.encode() for _, t, _ in rows_]
+    pack = lambda x, kind: np.array(x, kind).tobytes()
+    one = (0, pack([i for i, _, _ in rows_], np.int64), pack([f for _, _, f in rows_], np.uint8), pack([1] * len(raw), np.int64), pack([len(r) for r in raw], np.int64))
+    return pd.DataFrame([(*one, zstandard.ZstdCompressor().compress(b"".join(raw)))], columns=["batch", "ids", "flags", "times", "sizes", "texts"])
+
+
+@pytest.mark.parametrize("which", ["one id", "one row", "no id"])
+def test_ten_thousand_rows_of_one_id(spark, which):
+    """Batches are dealt by id and text, and equal rows are packed once, so no id fills a batch; results are a row for each."""
+    from planwatch.llm.common import NO_ID, in_batches
+
+    text = "concat('text number ', cast(id as string), repeat(' of many words', 9))" if which != "one row" else "repeat('the same words again ', 9)"
+    df = spark.range(10_000).selectExpr(f"cast({'null' if which == 'no id' else 7} as long) as doc_id", f"{text} as text").repartition(4)
+    if which != "one row":
+        dealt = df.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.lit(True).alias("flag"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(10)).cast("int").alias("batch"))
+        assert in_batches(dealt).groupBy("batch").agg(F.sum(F.octet_length("sizes") / 8).alias("n")).where("n > 1500").count() == 0
+    got = suffix_dedup.deduplicated(df, batch_bytes=200_000)
+    assert got.count() == 10_000 and got.select("doc_id").distinct().count() == 1
+    scores = lm_score.scored(df, F.lit(True), batch_bytes=200_000, order=3)
+    assert scores.count() == 10_000 and scores.where("score < 0 and n_tokens > 9").count() == 10_000
+    if which == "one row":
+        assert got.select("n_removed", "kept_sha256").distinct().count() == 1
+
+
 # ---- 7: secrets ----
 
 
@@ -452,6 +618,50 @@ def test_media_round_trip(docs, empty):
     assert media.read_media(media.stored_media(empty)).count() == 0
 
 
+def test_media_is_stored_with_tensors(spark, docs):
+    """The images are read back from files, and the query's table holds tensors of full resolution."""
+    kept = media.kept_media(docs)
+    assert kept.inputFiles() and all(f.endswith(".parquet") for f in kept.inputFiles())
+    assert both_ways(map(tuple, kept.collect())) == both_ways(map(tuple, media.stored_media(docs).collect()))
+    for r in Q.op9_media(spark, SF_DIR).collect():
+        image = np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)
+        # Six blocks of 64 bytes make a square of 16 x 16 points.
+        assert image.shape[0] % 16 == image.shape[1] % 16 == 0 and image.shape[0] * image.shape[1] * 384 >= r["payload_bytes"] * 256
+        assert media.feature(image) == r["feature"]
+
+
+# ---- the queries' contracts ----
+
+CONTRACTS = {
+    "op1_near_embeddings": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op2_line_dedup": "doc_id bigint, kept_text string, n_dropped bigint",
+    "op3_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op4_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op5_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op6_lm_score": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op7_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op8_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op9_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op10_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_query_columns(spark, name):
+    """Names, order and types; further columns follow. A row for each row of the table, or for each piece of it."""
+    got = Q.queries()[name](spark, SF_DIR)
+    want = CONTRACTS[name].split(", ")
+    assert [f"{n} {t}" for n, t in got.dtypes][: len(want)] == want
+    table = "embeddings" if name.startswith("op1_") else "documents"
+    key = want[0].split()[0]
+    whole = spark.read.parquet(f"{SF_DIR}/{table}.parquet")
+    if name == "op4_packing":
+        pieces = got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"))
+        assert pieces.where("n = m").count() == whole.count()
+    else:
+        assert sorted(r[0] for r in got.select(key).collect()) == sorted(r[0] for r in whole.select(key).collect())
+
+
 def test_media_is_progressive():
     data = media.encode(bytes(range(256)) * 3, 768)
     assert data[:2] == b"\xff\xd8" and data[-2:] == b"\xff\xd9" and b"\xff\xc2" in data and data.count(b"\xff\xda") == 1 + 6 + 1 + 3
