@@ -47,6 +47,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes that Spark hands to Python at a time: texts can be long, and 64 MB, its default, take several times that in a worker.
+ARROW_BYTES = 8 << 20
+
+
+def modest(df: DataFrame) -> DataFrame:
+    """df, with Spark's setting of bytes an Arrow batch lowered for the session where it is higher: memory then follows the bytes, not the rows."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name).rstrip("b")) <= ARROW_BYTES:
+        conf.set(name, f"{ARROW_BYTES}b")
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with lines put under it until no column of df is called so."""
     while name.lower() in (c.lower() for c in df.columns):
@@ -161,7 +173,7 @@ def in_batches(rows: DataFrame, most_chars: int = 8_000_000) -> DataFrame:
                 out.append((batch, *numbers, np.array([len(r) for r in raw], np.int64).tobytes(), pack.compress(b"".join(raw))))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in BLOBS.split(", ")])
 
-    return rows.select("batch", "doc_id", "text", "flag").mapInPandas(run, BLOBS)
+    return modest(rows).select("batch", "doc_id", "text", "flag").mapInPandas(run, BLOBS)
 
 
 def from_batch(pdf: pd.DataFrame) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:

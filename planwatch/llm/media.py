@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, stored
+from .common import by_size, modest, stored
 
 #: Fixed values of the JPEG format: zigzag position -> row-major position in a block.
 ZIGZAG = np.array(sorted(range(64), key=lambda p: (p // 8 + p % 8, p // 8 if (p // 8 + p % 8) % 2 else p % 8)))
@@ -422,7 +422,7 @@ def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             raw = [t.encode() for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "media": [encode(b + bytes(-len(b) % 64 if b else 64), len(b)) for b in raw]})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "id long, media binary")
+    return modest(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "id long, media binary")
 
 
 def kept_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -450,4 +450,4 @@ def read_media(media: DataFrame, with_payload: bool = False, with_tensor: bool =
                 rows.append(row + [payload] * with_payload + [info["height"], info["width"], image.tobytes()][: 3 * with_tensor])
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
-    return media.mapInPandas(run, schema)
+    return modest(media).mapInPandas(run, schema)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_components, meetings, runs, stored, unpartitioned
+from .common import components, local_components, meetings, modest, runs, stored, unpartitioned
 
 #: Added to bounds for what single precision rounds off.
 SLACK = 1e-4
@@ -96,7 +96,7 @@ def near(
     links. A row with a null id is a vector like any other; it names no component, and its own is null if no id is in reach.
     An empty table gives no rows. Other columns are not looked at.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    rows = modest(vectors).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     sound = F.coalesce(
         F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False)
     )

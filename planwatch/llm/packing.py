@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, modest
 
 #: Parts of texts whose ids a worker remembers before it forgets those not met for as long.
 REMEMBERED = 400_000
@@ -192,4 +192,4 @@ def packed(
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     prompt = F.coalesce(F.col(prompt_col), F.lit(0)).cast("long") if prompt_col else F.lit(0).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), prompt.alias("prompt")).mapInPandas(run, schema)
+    return modest(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), prompt.alias("prompt")).mapInPandas(run, schema)

@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest
+
 KINDS = ("assign", "access", "hex", "novel")
 #: The base patterns.
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
@@ -121,6 +123,6 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 }
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
+    return modest(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
         run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
     )

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, components, dealt, local_components, meetings, runs, small, stored, unpartitioned
+from .common import by_size, components, dealt, local_components, meetings, modest, runs, small, stored, unpartitioned
 
 #: Odd multipliers that extend a shingle's 64-bit hash to further words of a wide fingerprint.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, word
                 fps.append(fingerprint(np.unique(h) if distinct else h, words).view(np.int64))
             yield pd.DataFrame({"id": pdf["id"], "fp": fps})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
+    return modest(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
         run, "id long, fp array<long>"
     )
 
@@ -290,7 +290,7 @@ def crossing(docs: DataFrame, id_col: str, text_col: str, named: DataFrame, shin
 
     def pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs(frames, "bucket", 5000):
-            got = []
+            got, held = [], 0
             cols = [pdf[c].to_numpy() for c in ("node", "component", "size", "place", "side")]
             edge = np.flatnonzero(np.diff(pdf["bucket"].to_numpy())) + 1
             for lo, hi in zip(np.r_[0, edge], np.r_[edge, len(pdf)], strict=True):
@@ -303,21 +303,16 @@ def crossing(docs: DataFrame, id_col: str, text_col: str, named: DataFrame, shin
                     k = np.flatnonzero(on) + i + 1
                     if len(k):
                         got.append(np.c_[np.minimum(node[i], node[k]), np.maximum(node[i], node[k])])
+                        held += len(k)
+                    if held > 200_000:
+                        yield pd.DataFrame(np.concatenate(got), columns=["a", "b"]).drop_duplicates()
+                        got, held = [], 0
             if got:
-                yield pd.DataFrame(np.unique(np.concatenate(got), axis=0), columns=["a", "b"])
+                yield pd.DataFrame(np.concatenate(got), columns=["a", "b"]).drop_duplicates()
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pdf.assign(hashes=[np.unique(shingle_hashes(t, shingle)).tobytes() for t in pdf["text"]]).drop(columns="text")
-
-    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            on = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                on.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            yield pdf.loc[np.array(on, bool), ["a", "b"]]
+            yield pdf.assign(hashes=[np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in pdf["text"]]).drop(columns="text")
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node is not null")
     heads = stored(texts.mapInPandas(first, "node long, size int, place int, hash long"))
@@ -326,13 +321,15 @@ def crossing(docs: DataFrame, id_col: str, text_col: str, named: DataFrame, shin
     met = stored(rows.join(small(mixed, 1_000_000), "hash"))
     pairs = stored(meetings(met, ["hash"], "node", block).drop("hash").mapInPandas(pair, "a long, b long").distinct())
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = stored(texts.join(unpartitioned(wanted), "node", "left_semi").mapInPandas(hashed, "node long, hashes binary"))
+    sets = stored(texts.join(unpartitioned(wanted), "node", "left_semi").mapInPandas(hashed, "node long, hashes array<long>"))
     both = (
         unpartitioned(pairs)
         .join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     )
-    linked = stored(both.select("a", "b", "x", "y").mapInPandas(decide, "a long, b long"))
+    # The sets meet row by row in the JVM: no task holds more than one pair of them.
+    common = F.size(F.array_intersect("x", "y"))
+    linked = stored(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
     of = lambda c: unpartitioned(named.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")))
     return linked.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
 
@@ -346,7 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int =
     crossing(), which loses none. Equal fingerprints are one document. Nulls, empties, repeated ids (which
     share a component) and empty tables are as in grouped().
     """
-    n = docs.count()
+    n = modest(docs).count()
     part = math.acos(2 * similarity / (1 + similarity)) / math.pi
     width = max(12, math.ceil(math.log2(max(n, 1) / 64)))
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - part) ** width))

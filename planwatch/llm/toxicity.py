@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, stored
+from .common import by_size, modest, stored
 
 #: Groups of terms that a neutral sentence may name interchangeably.
 IDENTITY_TERMS = (
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64("k"), "k").limit(sample)  # two numbers a row: the texts stay where they are
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = modest(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     taught = stored(texts.join(F.broadcast(some), F.col("id") == F.col("k")).select("k", "text", "y"))
     n, n1 = taught.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     n0 = n - n1
@@ -197,4 +197,4 @@ def scored(docs: DataFrame, model: Model, text_col: str, score_col: str = "score
         for part in parts:
             yield part.map(held.score, na_action=None).astype(float)
 
-    return docs.withColumn(score_col, score(F.col(text_col)))
+    return modest(docs).withColumn(score_col, score(F.col(text_col)))
