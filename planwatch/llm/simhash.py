@@ -282,6 +282,7 @@ def crossing(docs: DataFrame, id_col: str, text_col: str, named: DataFrame, shin
             yield pd.DataFrame(
                 {
                     "node": np.repeat(pdf["node"].to_numpy(), n),
+                    "component": np.repeat(pdf["component"].to_numpy(), n),
                     "size": np.repeat([len(h) for h in sets], n),
                     "place": np.concatenate([np.arange(k) for k in n]),
                     "hash": np.concatenate(heads).view(np.int64),
@@ -315,8 +316,8 @@ def crossing(docs: DataFrame, id_col: str, text_col: str, named: DataFrame, shin
             yield pdf.assign(hashes=[np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in pdf["text"]]).drop(columns="text")
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node is not null")
-    heads = stored(texts.mapInPandas(first, "node long, size int, place int, hash long"))
-    rows = stored(heads.join(unpartitioned(named), "node"))
+    of_texts = small(stored(unpartitioned(named)), 1_000_000)
+    rows = stored(texts.join(of_texts, "node").select("node", "component", "text").mapInPandas(first, "node long, component long, size int, place int, hash long"))
     mixed = stored(rows.groupBy("hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hash"))
     met = stored(rows.join(small(mixed, 1_000_000), "hash"))
     pairs = stored(meetings(met, ["hash"], "node", block).drop("hash").mapInPandas(pair, "a long, b long").distinct())
@@ -334,7 +335,7 @@ def crossing(docs: DataFrame, id_col: str, text_col: str, named: DataFrame, shin
     return linked.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, block: int = 1024) -> DataFrame:
     """id, component long: groups of documents linked by sharing at least similarity of their distinct shingles (Jaccard).
 
     Most links are first found by wide fingerprints, whose number of bits follows the number of documents: a band has bits
