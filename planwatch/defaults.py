@@ -25,6 +25,14 @@ HINT_STAGES = ("UNKLAR", "VORBERATUNG")
 HINT_WORDS = ("baugenehmigung", "bauantr", "bauvoranfrage", "vorbescheid", "einvernehmen")
 BADGE_PERMIT, BADGE_APPLICATION, BADGE_HINT, BADGE_REVIEW = "🟢 Baugenehmigung", "🔵 Bauantrag", "🔎 Hinweis im Text", "⚠ prüfen"
 ARCHIVED = "Archiviert"
+#: Texts of review tasks; {0}: what is known of the tenure or the confidence, {1} and {2}: limits of homes to rent and for sale.
+REVIEW_TENURE = "Wohnform unklar: {0} Prüfen: beim Bauträger oder in den Anlagen klären - relevant ab {1} Miet-/geförderten WE bzw. {2} Eigentums-WE."
+REVIEW_SHARE = ("Geförderter Anteil bekannt (ca. ", "%), für den Rest nennt die Quelle nicht, ob Miete oder Eigentum.")
+REVIEW_NO_SHARE = "Die Quelle sagt nicht, ob Miete, gefördert oder Eigentum."
+REVIEW_UNITS = "Keine Zahl der Wohneinheiten gefunden. Prüfen: Anzahl in den Anlagen (Begründung, städtebaulicher Vertrag) oder beim Bauträger nachsehen."
+REVIEW_UNSURE = ("Die KI war sich unsicher (Konfidenz ", "%). Prüfen: WE-Zahl, Adresse und Verfahrensstand mit der Originalquelle abgleichen.")
+RENT_LEAST_UNITS = 6
+ORIGINS = ("radar", "manuell")
 OWNERSHIP_LEAST_UNITS, REVIEW_CONFIDENCE = 12, 0.6
 UNITS_RANGE = (2, 5000)
 BEFORE, AFTER, QUOTE_AROUND, QUOTE_MOST = 25, 45, 80, 200

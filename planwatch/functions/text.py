@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -128,19 +128,28 @@ def unit_count(x: Column, pattern: str = D.UNIT_PATTERN, bounds: tuple[int, int]
     return F.struct(hit["n"].alias("units"), F.when(hit.isNotNull(), F.substr(quote, F.lit(1), F.lit(D.QUOTE_MOST))).alias("quote"))
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x worked out once even where use's lambdas need it for each element."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def clauses(x: Column, word: str) -> Column:
-    """For each place of word in the lower-case text x, its clause: up to 25 signs before and 45 after, cut at stops."""
-    n = len(word)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.substr(x, i, F.lit(n)) == word)
-    before = lambda i: F.substr(x, F.greatest(F.lit(1), i - D.BEFORE), i - F.greatest(F.lit(1), i - D.BEFORE))
-    return F.transform(
-        places,
-        lambda i: F.concat(
-            F.regexp_extract(before(i), r"[^.,;:!?\n]*\z", 0),
-            F.lit(word),
-            F.regexp_extract(F.substr(x, i + n, F.lit(D.AFTER)), r"\A[^.,;:!?\n]*", 0),
-        ),
-    )
+    """For each place of word in the lower-case text x, its clause: up to 25 signs before and 45 after, cut at stops.
+
+    The text is split at the word once; so many parts as the signs before and after may span are joined again.
+    """
+    back, on = (-(-n // len(word)) for n in (D.BEFORE, D.AFTER))
+
+    def around(parts: Column) -> Column:
+        def clause(i: Column) -> Column:
+            first = F.greatest(i - back, F.lit(1))
+            before = F.right(F.array_join(F.slice(parts, first, i - first + 1), word), F.lit(D.BEFORE))
+            after = F.left(F.array_join(F.slice(parts, i + 1, F.lit(on + 1)), word), F.lit(D.AFTER))
+            return F.concat(F.regexp_extract(before, r"[^.,;:!?\n]*\z", 0), F.lit(word), F.regexp_extract(after, r"\A[^.,;:!?\n]*", 0))
+
+        return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), clause)).otherwise(F.array().cast("array<string>"))
+
+    return bound(F.split(x, rf"\Q{word}\E"), around)
 
 
 def happened(x: Column, start_words: Sequence[str], future_words: Sequence[str], year: int) -> Column:
@@ -224,6 +233,16 @@ def plain_html(x: Column) -> Column:
     return normal_space(x)
 
 
+def teaser(x: Column) -> Column:
+    """Plain text of a feed's teaser, without the word Source that feeds put at its end."""
+    return normal_space(F.regexp_replace(plain_html(x), r"\s*Source\s*\z", ""))
+
+
+def number_shown(x: Column) -> Column:
+    """A number without decimals, halves to even; a question mark for null."""
+    return F.when(x.isNull(), F.lit("?")).otherwise(F.format_string("%.0f", F.bround(x, 0).cast("double")))
+
+
 def joined_text(*parts: Column) -> Column:
     """The parts that aren't empty, with a blank line between."""
     return F.concat_ws("\n\n", *[F.when(p != "", p) for p in parts])

@@ -15,7 +15,7 @@ def column_or(df: DataFrame, name: str, missing: object) -> Column:
     return F.col(name) if name in df.columns else F.lit(missing)
 
 
-def review_reasons(df: DataFrame, least_confidence: float = D.REVIEW_CONFIDENCE) -> Column:
+def review_reasons(df: DataFrame, least_confidence: float = D.REVIEW_CONFIDENCE, rent_least: int = D.RENT_LEAST_UNITS, ownership_least: int = D.OWNERSHIP_LEAST_UNITS) -> Column:
     """array<string> of why a project needs a look: tenure unclear, no count of homes, low confidence.
 
     A missing tenure column counts as unclear, a null tenure doesn't; a null confidence counts as 0, a missing column as 1.
@@ -23,13 +23,14 @@ def review_reasons(df: DataFrame, least_confidence: float = D.REVIEW_CONFIDENCE)
     tenure, share = column_or(df, "tenure", "UNKLAR"), column_or(df, "subsidised_share", None)
     counts = [F.col(c) for c in ("units", "units_rent", "units_subsidised") if c in df.columns] or [F.lit(None)]
     confidence = F.coalesce(F.col("confidence"), F.lit(0.0)) if "confidence" in df.columns else F.lit(1.0)
-    known = F.when(share.isNull(), F.lit("tenure unclear: not stated")).otherwise(
-        F.concat(F.lit("tenure unclear: about "), F.round(share * 100).cast("int").cast("string"), F.lit(" % subsidised, rest not stated"))
-    )
+    percent = lambda x: F.bround(x * 100).cast("int").cast("string")
+    around = lambda x, texts: F.concat(F.lit(texts[0]), percent(x), F.lit(texts[1]))
+    known = F.when(share.isNull(), F.lit(D.REVIEW_NO_SHARE)).otherwise(around(share.cast("double"), D.REVIEW_SHARE))
+    task = F.lit(D.REVIEW_TENURE.format("{0}", rent_least, ownership_least))
     reasons = F.array(
-        F.when(tenure == "UNKLAR", known),
-        F.when(F.coalesce(*counts).isNull(), F.lit("number of homes not found")),
-        F.when(confidence < least_confidence, F.concat(F.lit("low confidence: "), F.round(confidence * 100).cast("int").cast("string"), F.lit(" %"))),
+        F.when(tenure == "UNKLAR", F.replace(task, F.lit("{0}"), known)),
+        F.when(F.coalesce(*counts).isNull(), F.lit(D.REVIEW_UNITS)),
+        F.when(confidence < least_confidence, around(confidence, D.REVIEW_UNSURE)),
     )
     return F.filter(reasons, lambda r: r.isNotNull())
 

@@ -37,6 +37,9 @@ def judged(
     domains: Sequence[str] = D.EXCLUDED_DOMAINS,
     least_units: int = D.OWNERSHIP_LEAST_UNITS,
     excerpt_most: int = D.EXCERPT_MOST,
+    starts: Sequence[str] = D.START_WORDS,
+    permits: Sequence[str] = D.PERMIT_WORDS,
+    future: Sequence[str] = D.FUTURE_WORDS,
 ) -> DataFrame:
     """results (url, title, content, place and perhaps match_word) with what the text says and reject_reason.
 
@@ -47,7 +50,7 @@ def judged(
     rows = (
         results.withColumn("__text", text)
         .withColumn("domain", T.domain(F.col("url")))
-        .withColumn("phase", T.phase(F.col("__text"), year))
+        .withColumn("phase", T.phase(F.col("__text"), year, starts, permits, future))
         .withColumn("__units", T.unit_count(F.col("__text")))
         .withColumn("tenure", T.tenure(F.col("__text")))
         .withColumn("units", F.col("__units.units"))
@@ -73,15 +76,18 @@ def judged(
 def nearest_place(articles: DataFrame, places: DataFrame, id_col: str, text: Column) -> DataFrame:
     """articles with the nearest of places (name, distance_km and perhaps match_word) that the text names as a word; null if none.
 
-    places is a small table by its nature, and is broadcast only where it has at most 10,000 rows.
+    A place is first looked for by its first word, in an equi-join with the text's words; then as a whole.
     """
     word = F.coalesce(F.col("match_word"), F.col("name")) if "match_word" in places.columns else F.col("name")
     side = places.select(F.col("name").alias("place"), "distance_km", word.alias("__word"))
-    if places.limit(10_001).count() <= 10_000:
-        side = F.broadcast(side)
+    side = side.withColumn("__key", F.regexp_extract(F.lower("__word"), r"(?U)\w+", 0))
+    words = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower("__text"), F.lit(r"(?U)(\w+)"), F.lit(1))))
+    texts = articles.select(F.col(id_col).alias("__id"), text.alias("__text"))
+    # Ids and single words meet the places; the texts join only what is left.
+    met = texts.select("__id", F.explode(words).alias("__key")).join(F.broadcast(side) if side.limit(10_001).count() <= 10_000 else side, "__key").drop("__key").distinct()
     best = (
-        articles.select(F.col(id_col).alias("__id"), text.alias("__text"))
-        .join(side, T.has_word(F.col("__text"), F.col("__word")))
+        texts.join(met, "__id")
+        .where(T.has_word(F.col("__text"), F.col("__word")))
         .groupBy("__id")
         .agg(F.min(F.struct("distance_km", "place")).alias("__best"))
     )
@@ -100,6 +106,11 @@ def judged_press(articles: DataFrame, places: DataFrame, id_col: str, year: int)
     return out.withColumn("reject_reason", F.when(F.col("place").isNull(), F.lit("kein Ort im Umkreis genannt")).otherwise(F.col("reject_reason"))).drop("match_word")
 
 
+def by_distance(places: DataFrame, key: str = "name") -> DataFrame:
+    """Nearest first."""
+    return places.orderBy("distance_km", key)
+
+
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of rows with equal keys the first by order."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -13,10 +13,14 @@ from ..functions import text as T
 
 def hit_pages(pages: Column, keywords: Sequence[str], context: int = D.CONTEXT_PAGES) -> Column:
     """Numbers, from 0, of the pages with a keyword and of those at most context pages from one."""
-    hits = F.transform(pages, lambda p: T.contains_any(F.coalesce(p, F.lit("")), keywords))
-    near = F.transform(hits, lambda _, i: F.exists(F.slice(hits, F.greatest(i - context + 1, F.lit(1)), i + context + 1 - F.greatest(i - context + 1, F.lit(1)) + 1), lambda h: h))
-    numbered = F.transform(near, lambda n, i: F.when(n, i))
-    return F.filter(numbered, lambda i: i.isNotNull())
+
+    def near(held: Column) -> Column:
+        marked = F.transform(held, lambda p, i: F.when(T.contains_any(F.coalesce(p, F.lit("")), keywords), i))
+        hits = F.filter(marked, lambda i: i.isNotNull())
+        spans = F.transform(hits, lambda i: F.sequence(F.greatest(i - context, F.lit(0)), F.least(i + context, F.size(held) - 1)))
+        return F.array_distinct(F.flatten(spans))  # in order, as the hits are
+
+    return T.bound(pages, near)
 
 
 def budgeted(pages: Column, most: int = D.EXCERPT_CHARS) -> Column:
@@ -37,4 +41,5 @@ def budgeted(pages: Column, most: int = D.EXCERPT_CHARS) -> Column:
 
 def excerpt(pages: Column, keywords: Sequence[str], context: int = D.CONTEXT_PAGES, most: int = D.EXCERPT_CHARS) -> Column:
     """The hit pages in order, as many whole ones as the budget takes, in one text."""
-    return F.array_join(budgeted(F.transform(hit_pages(pages, keywords, context), lambda i: F.get(pages, i)), most), "\n\n")
+    chosen = T.bound(pages, lambda held: F.transform(hit_pages(held, keywords, context), lambda i: F.get(held, i)))
+    return F.array_join(budgeted(chosen, most), "\n\n")

@@ -49,10 +49,11 @@ def usage_on(log: DataFrame, at: str, day: Column) -> DataFrame:
     return log.where(F.to_date(at) == day).agg(F.count("*").alias("n"))
 
 
-def documents_by_paper(docs: DataFrame, paper: str, position: str, columns: Sequence[str]) -> DataFrame:
-    """Per paper (null: documents of the meeting itself) its documents in order and its first number that isn't null."""
+def documents_by_paper(docs: DataFrame, paper: str, position: str, columns: Sequence[str], meeting: str | None = None) -> DataFrame:
+    """Per paper its documents in order and its first number that isn't null. Documents without a paper are the meeting's own: with meeting
+    named, papers are told apart by it, so that these don't fall into one row for all meetings."""
     whole = F.sort_array(F.collect_list(F.struct(position, *columns)))
-    return docs.groupBy(paper).agg(whole.alias("documents"), F.min_by("number", F.when(F.col("number").isNotNull(), F.col(position))).alias("number"))
+    return docs.groupBy(*([meeting] if meeting else []), paper).agg(whole.alias("documents"), F.min_by("number", F.when(F.col("number").isNotNull(), F.col(position))).alias("number"))
 
 
 def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
@@ -72,6 +73,37 @@ def web_leads(df: DataFrame, key: str, units: str = "units", status: str = "stat
     return rows.orderBy((F.col("phase") != "BAUBEGINN").cast("int"), F.col(units).desc_nulls_last(), key)
 
 
+def oldest_open(open_meetings: DataFrame) -> DataFrame:
+    """source_id, oldest_open: the earliest of each source's open meetings."""
+    return open_meetings.groupBy("source_id").agg(F.min("date").alias("oldest_open"))
+
+
+def distinct_warnings(log: DataFrame, source: str, text: str, position: str) -> DataFrame:
+    """source, warnings array: each warning once, where it first came up."""
+    first = log.groupBy(source, text).agg(F.min(position).alias("__at"))
+    return first.groupBy(source).agg(F.transform(F.sort_array(F.collect_list(F.struct("__at", text))), lambda w: w[text]).alias("warnings"))
+
+
+def projects_by_change(projects: DataFrame, status: str | None = None) -> DataFrame:
+    """Projects, those of a status if one is named, the last changed first."""
+    rows = projects.where(F.col("status") == status) if status is not None else projects
+    return rows.orderBy(F.col("updated_at").desc_nulls_last(), "id")
+
+
+def sources_by_name(sources: DataFrame) -> DataFrame:
+    return sources.orderBy("name", "source_id")
+
+
+def status_log(log: DataFrame, project_id: int) -> DataFrame:
+    """A project's status changes, the oldest first."""
+    return log.where(F.col("project_id") == project_id).orderBy("changed_at", "new_status")
+
+
+def finds_by_distance(finds: DataFrame) -> DataFrame:
+    """Finds, the nearest first (unknown distances before all), then the last changed."""
+    return finds.orderBy(F.col("distance_km").asc_nulls_first(), F.col("updated_at").desc_nulls_last(), "id")
+
+
 def source_monitor(sources: DataFrame) -> DataFrame:
     """sources (name, last_run, last_success, last_error) with state and local times."""
     state = (

@@ -45,12 +45,14 @@ def analysed(
     cache: DataFrame | None = None,
     per_source: int = 40,
     per_run: int = 300,
+    repair: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """papers (source_id, paper_id, content_hash, pages, seq) with status, reason and extraction.
 
     In order: no pages is not relevant; a cached extraction counts; all pages without text need OCR; no keyword is not relevant; the
     model's triage may say NEIN; beyond the budget nothing is asked; an invalid extraction is an error; few homes for sale aren't
-    relevant. triage and extract take the excerpt (a column) and give a word and a struct of EXTRACTION.
+    relevant. triage and extract take the excerpt (a column) and give a word and a struct of EXTRACTION; repair, if given, takes
+    the excerpt and an invalid struct and gives another one, once.
     """
     rows = papers
     if cache is not None:
@@ -65,6 +67,9 @@ def analysed(
     go = F.coalesce("admitted", F.lit(False))
     rows = rows.withColumn("triage", F.when(go, triage(F.col("excerpt"))))
     rows = rows.withColumn("found", F.when(go & (F.col("triage") != "NEIN"), extract(F.col("excerpt"))))
+    if repair is not None:
+        broken = go & F.col("found").isNotNull() & ~F.coalesce(valid(F.col("found")), F.lit(False))
+        rows = rows.withColumn("found", F.when(broken, repair(F.col("excerpt"), F.col("found"))).otherwise(F.col("found")))
     final = F.coalesce("cached", "found")
     small = F.coalesce(small_ownership(final["tenure"], final["units"]), F.lit(False))
     status = (

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, hashing
+from .. import defaults as D
+from ..functions import hashing
 from ..functions import text as T
 from ..functions import time as TM
 from ..operators import badges as B
@@ -65,9 +66,9 @@ def matched_keywords(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.found_words(F.col("text"), KEYWORDS), "|").alias("words"))
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(trim(regexp_replace(p_type, '\\s+', ' ', 'g')), '(?i)(?:brass)|(?:^eco.*)|(?:\\bsteel\\b)')")
+@query("SELECT p_partkey, p_type FROM part WHERE p_size <> 7 AND regexp_matches(trim(regexp_replace(p_type, '\\s+', ' ', 'g')), '(?i)(?:brass)|(?:^eco.*)|(?:\\bsteel\\b)')")
 def committee_filter(spark, sf_dir):
-    return read(spark, sf_dir, "part").where(P.relevant_meeting(F.col("p_type"), F.lit(False), ("brass", "^eco.*", r"\bsteel\b"))).select("p_partkey", "p_type")
+    return read(spark, sf_dir, "part").where(P.relevant_meeting(F.col("p_type"), F.col("p_size") == 7, ("brass", "^eco.*", r"\bsteel\b"))).select("p_partkey", "p_type")
 
 
 KEY_SQL = r"trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"
@@ -169,22 +170,14 @@ def tenure_class(spark, sf_dir):
 @query(
     f"""SELECT page_id, CASE WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 'Website ausgeschlossen (' || host || ')'
   WHEN NOT regexp_matches(html, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])de([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)') THEN 'Ort de nicht genannt'
-  WHEN NOT {any_of('html', HOME)} THEN 'kein Wohnbau' END AS reject_reason
-FROM (SELECT page_id, {DOMAIN_SQL} AS host, '' || chr(10) || html AS html FROM pages)"""
+  WHEN NOT {any_of('html', HOME)} THEN 'kein Wohnbau'
+  WHEN NOT ({happened_sql('low')} OR {any_of('html', PERMIT)}) THEN 'keine Baugenehmigung und kein Baubeginn im Text (Frühphase)' END AS reject_reason
+FROM (SELECT *, lower(html) AS low FROM (SELECT page_id, {DOMAIN_SQL} AS host, '' || chr(10) || html AS html FROM pages))"""
 )
 def judge_reason(spark, sf_dir):
+    """All tests' reasons, as the operator gives them; null is a find. No page names a number of homes, so the last test never fails in the SQL either."""
     rows = read(spark, sf_dir, "pages").select("page_id", "url", F.lit("").alias("title"), F.col("html").alias("content"), F.lit("de").alias("place"))
-    out = C.judged(rows, YEAR, HOME, ("example.net",))
-    # The synthetic pages have no phase words, so the chain is compared up to there.
-    late = F.startswith("reject_reason", F.lit("keine"))
-    return out.select("page_id", F.when(~late, F.col("reject_reason")).alias("reject_reason"))
-
-
-@query()
-def judge_reason_whole(spark, sf_dir):
-    """All five tests' reasons, as the operator gives them; null is a find."""
-    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.lit("").alias("title"), F.col("html").alias("content"), F.lit("de").alias("place"))
-    return C.judged(rows, YEAR, HOME, ("example.net",)).select("page_id", "reject_reason")
+    return C.judged(rows, YEAR, HOME, ("example.net",), starts=START, permits=PERMIT, future=FUTURE).select("page_id", "reject_reason")
 
 
 COORDS = [("FRANCE", 48.85, 2.35), ("GERMANY", 52.52, 13.4), ("INDIA", 28.6, 77.2), ("CHINA", 39.9, 116.4), ("BRAZIL", -15.8, -47.9), ("KENYA", -1.3, 36.8)]
@@ -203,16 +196,17 @@ def radius_filter(spark, sf_dir):
     return C.places_within(places(spark, sf_dir), 50.0, 8.0, 9000.0).select("name", "distance_km")
 
 
+NEAR = [("the", 30.5), ("der", 12.0), ("de la", 7.5), ("of", 3.0), ("nowhere", 1.0)]
+
+
 @query(
-    f"""SELECT c_custkey, arg_min(name, km) AS nearest, round(min(km), 1) AS km FROM (SELECT c_custkey, n_name AS name, {KM_SQL.format('cl', 'cg')} AS km
-FROM (SELECT c_custkey, c_custkey % 90 - 45.0 AS cl, c_custkey % 360 - 180.0 AS cg FROM customer) CROSS JOIN (SELECT * FROM nation JOIN {PLACES_SQL} ON n_nationkey = k)) GROUP BY c_custkey"""
+    f"""WITH p AS (SELECT * FROM (VALUES {', '.join(f"('{w}', {km})" for w, km in NEAR)}) AS p(word, km)),
+m AS (SELECT doc_id, word, km FROM documents JOIN p ON regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || word || '([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)'))
+SELECT d.doc_id, b.place, b.distance_km FROM documents d LEFT JOIN (SELECT doc_id, arg_min(word, km) AS place, min(km)::DOUBLE AS distance_km FROM m GROUP BY doc_id) b USING (doc_id)"""
 )
 def nearest_place(spark, sf_dir):
-    near = F.broadcast(places(spark, sf_dir).select("name", "lat", "lon"))  # six rows
-    rows = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 90 - 45.0).alias("cl"), (F.col("c_custkey") % 360 - 180.0).alias("cg"))
-    km = geo.haversine_km(F.col("cl"), F.col("cg"), F.col("lat"), F.col("lon"))
-    best = rows.crossJoin(near).groupBy("c_custkey").agg(F.min(F.struct(km.alias("km"), "name")).alias("b"))
-    return best.select("c_custkey", F.col("b.name").alias("nearest"), F.round("b.km", 1).alias("km"))
+    places_ = spark.createDataFrame(NEAR, "name string, distance_km double")
+    return C.nearest_place(read(spark, sf_dir, "documents"), places_, "doc_id", F.col("text")).select("doc_id", "place", "distance_km")
 
 
 @query("SELECT r_name AS name, phase, replace(template, '{ort}', r_name) AS query FROM region, (VALUES ('PERMIT', '{ort} permit'), ('START', '{ort} start'), ('START', 'works {ort}')) AS t(phase, template)")
@@ -277,16 +271,8 @@ def exists_earliest(spark, sf_dir):
     return read(spark, sf_dir, "orders").join(big, "o_orderkey", "left_semi").groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("first_date"))
 
 
-@query("SELECT l_partkey, l_orderkey, l_linenumber, o_orderdate::DATE AS date, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_partkey <= 50")
-def bridge_join(spark, sf_dir):
-    bridge = read(spark, sf_dir, "lineitem").where(F.col("l_partkey") <= 50).select(F.col("l_partkey").alias("project_id"), F.col("l_orderkey").alias("paper_id"), "l_linenumber")
-    papers = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_custkey").alias("meeting_id"), F.to_date("o_orderdate").alias("date"))
-    meetings = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("meeting_id"), "c_name")
-    return R.papers_of_project(bridge, papers, meetings).select(F.col("project_id").alias("l_partkey"), F.col("paper_id").alias("l_orderkey"), "l_linenumber", "date", "c_name")
-
-
 @query("SELECT l_partkey, l_orderkey, l_linenumber, o_orderdate::DATE AS date, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
-def bridge_join_whole(spark, sf_dir):
+def bridge_join(spark, sf_dir):
     bridge = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("project_id"), F.col("l_orderkey").alias("paper_id"), "l_linenumber")
     papers = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_custkey").alias("meeting_id"), F.to_date("o_orderdate").alias("date"))
     meetings = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("meeting_id"), "c_name")
@@ -300,52 +286,38 @@ def anti_join_unknown(spark, sf_dir):
 
 
 def norm_sql(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(replace(lower({x}), 'ß', 'ss'), 'strasse|str\\.', 'str', 'g'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({x}), 'ß', 'ss'), 'strasse|str\\.', 'str', 'g'), '[‐-―]', '-', 'g'), '[\\s\\v\\p{{Z}}]+', ' ', 'g'))"
 
 
-@query(
-    f"""WITH terms AS (SELECT item_id, {norm_sql('left(text, 40)')} AS term FROM benchmark), texts AS (SELECT doc_id, {norm_sql('text')} AS norm FROM documents)
-SELECT item_id, min(doc_id) IS NOT NULL AS found, min(doc_id) AS id FROM terms LEFT JOIN texts ON contains(norm, term) GROUP BY item_id"""
-)
-def recall_theta(spark, sf_dir):
-    # A trailing letter keeps the terms literal: those that end in a digit would need a look-ahead in SQL.
-    known = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name"), F.array(F.left("text", F.lit(40))).alias("terms"))
-    texts = read(spark, sf_dir, "documents").select(F.lit("find").alias("kind"), F.col("doc_id").alias("id"), F.lit("").alias("label"), "text")
-    return RC.recall(known, texts).select(F.col("name").alias("item_id"), "found", "id")
+RECALL_SQL = f"""terms AS (SELECT item_id, {norm_sql('text')} AS term FROM benchmark),
+texts AS (SELECT 'document' AS kind, doc_id AS id, {norm_sql('text')} AS norm FROM documents UNION ALL SELECT 'conversation', conv_id, {norm_sql('text')} FROM conversations),
+hits AS (SELECT item_id, id, kind FROM terms JOIN texts ON CASE WHEN contains(norm, term) THEN NOT regexp_matches(term, '[0-9]$') OR regexp_matches(norm, regexp_escape(term) || '([^0-9]|$)') ELSE false END),
+r AS (SELECT item_id, x.id IS NOT NULL AS found, x.kind, x.id FROM benchmark LEFT JOIN (SELECT item_id, min(id) AS id, first(kind ORDER BY id, kind) AS kind FROM hits GROUP BY item_id) x USING (item_id))"""
 
 
-@query(
-    f"""WITH r AS (SELECT item_id IN (SELECT item_id FROM benchmark b JOIN documents d ON contains({norm_sql('d.text')}, {norm_sql('left(b.text, 40)')})) AS found FROM benchmark)
-SELECT count(*) FILTER (found) AS found, count(*) AS known FROM r"""
-)
-def recall_summary(spark, sf_dir):
-    return RC.recall_counts(recall_theta(spark, sf_dir))
-
-
-@query()
-def recall_theta_whole(spark, sf_dir):
-    # Terms that end in a digit are matched with a look-ahead, which DuckDB's patterns can't say.
+@query(f"WITH {RECALL_SQL} SELECT item_id, found, kind, id FROM r")
+def recall_theta(spark, sf_dir):
     known = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name"), F.array("text").alias("terms"))
     docs = read(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit("").alias("label"), "text")
-    turns = read(spark, sf_dir, "conversations").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("string").alias("label"), "text")
+    turns = read(spark, sf_dir, "conversations").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), F.lit("").alias("label"), "text")
     return RC.recall(known, docs.unionByName(turns)).select(F.col("name").alias("item_id"), "found", "kind", "id")
 
 
-@query()
-def recall_summary_whole(spark, sf_dir):
-    return RC.recall_counts(recall_theta_whole(spark, sf_dir))
+@query(f"WITH {RECALL_SQL} SELECT count(*) FILTER (found) AS found, count(*) AS known FROM r")
+def recall_summary(spark, sf_dir):
+    return RC.recall_counts(recall_theta(spark, sf_dir))
 
 
 # ---- aggregates ----
 
 
 @query(
-    """SELECT count(*) AS projects, sum(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END)::BIGINT AS units, sum(NULL::BIGINT)::BIGINT AS units_subsidised,
+    """SELECT count(*) AS projects, sum(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END)::BIGINT AS units, sum(CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 50 END)::BIGINT AS units_subsidised,
 count(*) FILTER (o_orderstatus IN ('O', 'P')) AS open, count(*) FILTER (o_orderpriority = '1-URGENT') AS leads FROM orders"""
 )
 def kpis(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select(
-        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("units"), F.lit(None).cast("long").alias("units_subsidised"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("x")).otherwise("").alias("lead")
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("units"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") % 50).alias("units_subsidised"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("x")).otherwise("").alias("lead")
     )
     return R.key_figures(rows, ["O", "P"])
 
@@ -371,13 +343,8 @@ def daily_usage(spark, sf_dir):
     return R.daily_usage(read(spark, sf_dir, "events"), "ts")
 
 
-@query("SELECT count(*) AS n FROM events WHERE ts::DATE = (SELECT min(ts)::DATE FROM events WHERE false) OR ts::DATE = DATE '1970-01-01'")
-def usage_on_day(spark, sf_dir):
-    return R.usage_on(read(spark, sf_dir, "events"), "ts", F.lit("1970-01-01").cast("date"))
-
-
 @query("SELECT count(*) AS n FROM events WHERE ts::DATE = DATE '2024-01-15'")
-def usage_on_present_day(spark, sf_dir):
+def usage_on_day(spark, sf_dir):
     return R.usage_on(read(spark, sf_dir, "events"), "ts", F.lit("2024-01-15").cast("date"))
 
 
@@ -403,8 +370,8 @@ def documents_by_paper(spark, sf_dir):
 @query(
     """WITH r AS (SELECT d.doc_id, CASE WHEN d.lang = 'en' THEN 'UNKLAR' END AS tenure, l.quality AS units, CASE WHEN l.toxic = 1 THEN 0.25 END AS share, CASE WHEN l.quality = 1 THEN 0.9 END AS confidence
 FROM documents d LEFT JOIN labels l USING (doc_id))
-SELECT doc_id, concat_ws(' · ', CASE WHEN tenure = 'UNKLAR' THEN CASE WHEN share IS NULL THEN 'tenure unclear: not stated' ELSE 'tenure unclear: about 25 % subsidised, rest not stated' END END,
-  CASE WHEN units IS NULL THEN 'number of homes not found' END, CASE WHEN coalesce(confidence, 0) < 0.6 THEN 'low confidence: 0 %' END) AS review_task,
+SELECT doc_id, concat_ws(' · ', CASE WHEN tenure = 'UNKLAR' THEN 'Wohnform unklar: ' || CASE WHEN share IS NULL THEN 'Die Quelle sagt nicht, ob Miete, gefördert oder Eigentum.' ELSE 'Geförderter Anteil bekannt (ca. 25%), für den Rest nennt die Quelle nicht, ob Miete oder Eigentum.' END || ' Prüfen: beim Bauträger oder in den Anlagen klären - relevant ab 6 Miet-/geförderten WE bzw. 12 Eigentums-WE.' END,
+  CASE WHEN units IS NULL THEN 'Keine Zahl der Wohneinheiten gefunden. Prüfen: Anzahl in den Anlagen (Begründung, städtebaulicher Vertrag) oder beim Bauträger nachsehen.' END, CASE WHEN coalesce(confidence, 0) < 0.6 THEN 'Die KI war sich unsicher (Konfidenz 0%). Prüfen: WE-Zahl, Adresse und Verfahrensstand mit der Originalquelle abgleichen.' END) AS review_task,
   CASE WHEN tenure = 'UNKLAR' OR units IS NULL OR coalesce(confidence, 0) < 0.6 THEN '⚠ prüfen' ELSE '' END AS review FROM r"""
 )
 def review_reasons(spark, sf_dir):
@@ -536,9 +503,44 @@ def consecutive_error_brake(spark, sf_dir):
     return budget.braked_after(rows, "event_type", ["event_id"], "failed", 5).select("event_type", "stopped_at.event_id")
 
 
-@query("SELECT event_id, count(*) OVER w AS failures, count(*) OVER w >= 3 AS locked FROM (SELECT *, epoch(ts)::BIGINT AS s FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)")
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, 1 AS failures, false AS locked, NULL::BIGINT AS locked_until, [s] AS held FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, len(h)::INT, len(h) >= 3, CASE WHEN len(h) >= 3 THEN s + 86400 ELSE locked_until END, CASE WHEN len(h) >= 3 THEN [] ELSE h END
+  FROM (SELECT e.user_id, e.event_id, e.n, e.s, f.locked_until, list_append(list_filter(f.held, lambda t: e.s - t <= 86400), e.s) AS h FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
+SELECT user_id, event_id, failures, locked, CASE WHEN locked_until >= s THEN locked_until END AS locked_until FROM f JOIN (SELECT event_id, floor(epoch(ts))::BIGINT AS s FROM events) USING (event_id)"""
+)
 def failure_limiter(spark, sf_dir):
-    return budget.locked_out(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 3, 86400).select("event_id", "failures", "locked")
+    rows = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return budget.locked_out(rows, "user_id", "ts", ["event_id"], 3, 86400, 86400)
+
+
+@query("SELECT o_orderstatus AS source_id, min(o_orderdate::DATE) AS oldest_open FROM orders WHERE o_orderdate::DATE < DATE '1998-01-01' AND o_orderdate::DATE >= DATE '1993-01-01' AND o_orderpriority <> '1-URGENT' AND (o_orderstatus = 'P' OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')) GROUP BY o_orderstatus")
+def oldest_open(spark, sf_dir):
+    meetings = read(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("source_id"), F.col("o_orderkey").alias("meeting_id"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") != "P", F.lit("x")).alias("url"), (F.col("o_orderpriority") == "1-URGENT").alias("cancelled")
+    )
+    docs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("meeting_id"), F.col("l_returnflag").alias("kind"))
+    return R.oldest_open(P.open_meetings(meetings, docs, F.lit("1998-01-01").cast("date"), F.lit("1993-01-01").cast("date"), minutes="R"))
+
+
+@query("SELECT user_id AS source, string_agg(event_type, ',' ORDER BY first_at) AS warnings FROM (SELECT user_id, event_type, min(event_id) AS first_at FROM events GROUP BY user_id, event_type) GROUP BY user_id")
+def warning_dedup(spark, sf_dir):
+    out = R.distinct_warnings(read(spark, sf_dir, "events").withColumnRenamed("user_id", "source"), "source", "event_type", "event_id")
+    return out.select("source", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("SELECT event_id, coalesce(printf('%.0f', round_even(CASE WHEN event_id % 9 <> 0 THEN value END, 0)), '?') AS shown FROM events")
+def number_display(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", T.number_shown(F.when(F.col("event_id") % 9 != 0, F.col("value"))).alias("shown"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'manuell' ELSE 'radar' END ELSE 'radar' END AS origin FROM customer")
+def origin_setter(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.lit("radar").alias("origin"))
+    wanted = rows.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.lit("manuell")).otherwise(F.lit("radar")).alias("origin"), F.lit(2).alias("at"))
+    earlier = wanted.select("c_custkey", F.lit("radar").alias("origin"), F.lit(1).alias("at"))
+    return upserts.set_values(rows, earlier.unionByName(wanted), "c_custkey", "origin", "at", D.ORIGINS)
 
 
 # ---- order and calendar ----
@@ -565,14 +567,8 @@ def json_prop(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, regexp_replace(left(text, 60), '[^\x{0}-\x{FF}]', '?', 'g') AS latin1 FROM documents")
-def slug_and_latin1(spark, sf_dir):
-    head = F.left("text", F.lit(60))
-    return read(spark, sf_dir, "documents").select("doc_id", T.slug(head).alias("slug"), T.latin1_safe(head).alias("latin1"))
-
-
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, regexp_replace(text, '[^\x{0}-\x{FF}]', '?', 'g') AS latin1 FROM documents")
-def slug_and_latin1_whole(spark, sf_dir):
+def slug_and_latin1(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"), T.latin1_safe(F.col("text")).alias("latin1"))
 
 

@@ -23,14 +23,30 @@ def found_texts(projects: DataFrame, finds: DataFrame, municipality: str, manual
 def recall(known: DataFrame, texts: DataFrame) -> DataFrame:
     """known (name, terms array) with found, term, kind, id: the first text, projects before finds, that a term's pattern matches.
 
-    The known list is small by its nature: its terms are exploded and each row is a pattern of the join.
+    A term is first looked for by one key, in an equi-join: the longest of its words that are whole wherever it stands (those between
+    its first and last), else three letters in a row of its longest word. Only texts that hold the key are tested: for the term as it is, and for the
+    pattern where that says more. A term of fewer letters has the empty key, which all texts have.
     """
-    terms = known.select("name", F.posexplode("terms").alias("n", "term")).withColumn("pattern", T.recall_pattern(F.col("term")))
-    if known.limit(10_001).count() <= 10_000:
-        terms = F.broadcast(terms)
+    split = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+    longest = lambda words: F.element_at(F.sort_array(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    norm = T.recall_text(F.col("term"))
+    terms = known.select("name", F.posexplode("terms").alias("n", "term")).where("term is not null").withColumn("plain", norm).withColumn("pattern", T.recall_pattern(F.col("term")))
+    words = split(F.col("plain"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    letters = F.left(longest(words), F.lit(3))
+    key = F.when(F.size(words) > 2, F.concat(F.lit(" "), longest(inner))).when(F.length(letters) == 3, letters).otherwise(F.lit(""))
+    terms = terms.withColumn("key", key)
+    wanted = terms.select(F.col("key").alias("__key")).distinct()
     rows = texts.withColumn("__norm", T.recall_text(F.col("text"))).withColumn("rank", F.when(F.col("kind") == "project", 0).otherwise(1))
+    own = F.array_distinct(split(F.col("__norm")))
+    threes = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3)))
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(own, lambda w: F.concat(F.lit(" "), w)), F.flatten(F.transform(own, threes))))
+    # Ids and keys meet the terms; the texts join only what is left.
+    met = rows.select("kind", "id", F.explode(keys).alias("key")).join(wanted, F.col("key") == F.col("__key"), "left_semi").distinct().join(terms, "key").drop("key")
+    literal = F.col("pattern") == F.concat(F.lit(r"\Q"), F.col("plain"), F.lit(r"\E"))
     first = (
-        rows.join(terms, F.rlike(F.col("__norm"), F.col("pattern")))
+        rows.join(met, ["kind", "id"])
+        .where(F.contains("__norm", F.col("plain")) & (literal | F.rlike(F.col("__norm"), F.col("pattern"))))
         .groupBy("name")
         .agg(F.min(F.struct("rank", "id", "n", "kind", "label", "term")).alias("hit"))
         .select(F.col("name").alias("__name"), "hit")

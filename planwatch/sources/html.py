@@ -79,6 +79,118 @@ def calendar_meetings(pages: DataFrame, source_id: str, start: Column, end: Colu
     )
 
 
+class Agenda(Rows):
+    """As Rows, with the addresses and texts of all links of a row, and those outside of tables (row -1)."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.links: list[tuple[int, str, str]] = []
+        self.open: tuple[str, list[str]] | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        super().handle_starttag(tag, attrs)
+        if tag == "a" and (href := dict(attrs).get("href")):
+            self.open = (href, [])
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "a" and self.open:
+            self.links.append((len(self.rows) if self.cells is not None else -1, self.open[0], " ".join("".join(self.open[1]).split())))
+            self.open = None
+        super().handle_endtag(tag)
+
+    def handle_data(self, data: str) -> None:
+        super().handle_data(data)
+        if self.open:
+            self.open[1].append(data)
+
+
+def agenda_links(pages: DataFrame, meeting: str = "meeting_id", html: str = "html", id_pattern: str = r"id=(\d+)") -> DataFrame:
+    """meeting_id, position, badge, item, external_id, title, url of all document links of stored agenda pages.
+
+    badge is the first cell of the link's row; links outside of the table belong to the meeting itself, with no badge. Links without an
+    id in their address are no documents.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for page, source in zip(pdf["meeting_id"], pdf["html"], strict=True):
+                parser = Agenda()
+                parser.feed(source or "")
+                for i, (row, href, title) in enumerate(parser.links):
+                    cells = parser.rows[row][0] if 0 <= row < len(parser.rows) else []
+                    out.append((page, i, cells[0] if cells else None, cells[1] if len(cells) > 1 else None, title, href))
+            yield pd.DataFrame(out, columns=["meeting_id", "position", "badge", "item", "title", "url"])
+
+    found = pages.select(F.col(meeting).cast("string").alias("meeting_id"), F.col(html).alias("html")).mapInPandas(run, "meeting_id string, position int, badge string, item string, title string, url string")
+    return found.withColumn("external_id", F.nullif(F.regexp_extract("url", id_pattern, 1), F.lit(""))).where("external_id is not null")
+
+
+def list_meetings(pages: DataFrame, source_id: str, start: Column, end: Column, id_pattern: str, most_pages: int = 60) -> DataFrame:
+    """Meetings from start to end of stored list pages (page_id, html; newest first): rows of date, committee and time whose link holds an id.
+
+    A reader need not fetch pages older than start; more than most_pages of them are an error, as the list then has no end.
+    """
+    n = pages.limit(most_pages + 1).count()
+    if n > most_pages:
+        raise ValueError(f"more than {most_pages} list pages")
+    rows = table_rows(pages).withColumn("date", T.german_date(F.array_join("cells", " "))).where(F.col("date").between(start, end))
+    real = F.nullif(F.regexp_extract(F.coalesce("link", F.lit("")), id_pattern, 1), F.lit(""))
+    none = F.lit(None).cast("string")
+    return rows.select(
+        F.lit(source_id).alias("source_id"), real.alias("external_id"), T.without_session_number(F.get("cells", F.lit(1))).alias("committee"), "date",
+        T.german_time(F.array_join("cells", " ")).alias("time"), none.alias("place"), F.col("link").alias("url"), F.lit(False).alias("cancelled"),
+    ).where("external_id is not null")
+
+
+class Paragraphs(HTMLParser):
+    """The texts of paragraphs inside the first element of a class."""
+
+    def __init__(self, of: str):
+        super().__init__(convert_charrefs=True)
+        self.of, self.depth, self.found, self.inside, self.out = of, 0, False, False, [""][:0]
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ("br", "img", "hr", "input", "meta", "link"):
+            return
+        if self.depth or (not self.found and self.of in (dict(attrs).get("class") or "").split()):
+            self.depth, self.found = self.depth + 1, True
+        if self.depth and tag == "p":
+            self.inside = True
+            self.out.append("")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "p":
+            self.inside = False
+        if self.depth and tag not in ("br", "img", "hr", "input", "meta", "link"):
+            self.depth -= 1
+
+    def handle_data(self, data: str) -> None:
+        if self.inside and self.depth:
+            self.out[-1] += data
+
+
+def full_texts(articles: DataFrame, pages: DataFrame, css_class: str) -> DataFrame:
+    """articles (url, ...) with text: the paragraphs in the element of a class of the stored page (url, html), a line each.
+
+    Pages are joined by address, so only those of the articles that passed are parsed. A page without such an element is an error: its layout has changed.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for url, source in zip(pdf["url"], pdf["html"], strict=True):
+                parser = Paragraphs(css_class)
+                parser.feed(source or "")
+                if not parser.found:
+                    raise ValueError(f"no element of class {css_class} in {url}")
+                out.append((url, "\n".join(t for t in (" ".join(x.split()) for x in parser.out) if t)))
+            yield pd.DataFrame(out, columns=["url", "text"])
+
+    wanted = pages.join(articles.select("url").distinct(), "url", "left_semi").dropDuplicates(["url"])
+    return articles.join(wanted.select("url", "html").mapInPandas(run, "url string, text string"), "url", "left")
+
+
 def agenda_documents(rows: DataFrame, first: list[str]) -> DataFrame:
     """Of agenda rows (badge, external_id, position, ...) those of public items ('Ö...') or of no item, the first of each id."""
     from ..operators.classify import first_wins

@@ -106,6 +106,23 @@ def ckan_documents(pages: DataFrame, source_id: str, date_key: str) -> DataFrame
     )
 
 
+def ckan_meetings(pages: DataFrame, source_id: str, date_key: str, committee_key: str, start: Column, end: Column) -> DataFrame:
+    """A meeting for each package of stored search pages that is dated from start to end: it stands for itself, as it has no calendar."""
+    packages = pages.where("success").select(F.explode("result.results").alias("p")).withColumn("date", extra(F.col("p.extras"), date_key))
+    named = F.get(F.filter("p.extras", lambda e: e["key"] == committee_key), F.lit(0))["value"]
+    none = F.lit(None).cast("string")
+    return packages.where(F.col("date").between(start, end)).select(
+        F.lit(source_id).alias("source_id"), F.col("p.name").alias("external_id"), F.coalesce(named, F.col("p.title")).alias("committee"), "date", none.alias("time"), none.alias("place"), F.col("p.url").alias("url"), F.lit(False).alias("cancelled"),
+    )
+
+
+def checked_rows(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """rows with just the columns of a contract, in its order; a missing one is an error."""
+    if missing := [c for c in columns if c not in rows.columns]:
+        raise ValueError(f"an adapter's rows lack {', '.join(missing)}")
+    return rows.select(*columns)
+
+
 def feed_date(x: Column) -> Column:
     """A feed's date in local time; the weekday, which the parser doesn't know, is taken off."""
     at = F.try_to_timestamp(F.regexp_replace(x, r"\A\s*\w+,\s*", ""), F.lit("dd MMM yyyy HH:mm:ss Z"))
@@ -119,7 +136,7 @@ def feed_articles(items: DataFrame, source_id: str, start: Column, end: Column,
         F.lit(source_id).alias("source_id"),
         F.coalesce(F.nullif(post, F.lit("")), T.slug(F.regexp_extract("link", r"([^/]+)/*\z", 1))).alias("external_id"),
         "title", F.col("link").alias("url"), feed_date(F.col("pubDate")).alias("date"),
-        T.plain_html(F.coalesce("description", F.lit(""))).alias("teaser"), F.coalesce("category", F.array().cast("array<string>")).alias("categories"),
+        T.teaser(F.coalesce("description", F.lit(""))).alias("teaser"), F.coalesce("category", F.array().cast("array<string>")).alias("categories"),
     )
     everything = F.concat_ws(" ", "title", "teaser", F.array_join("categories", " "))
     rows = rows.where(F.col("date").between(start, end) & T.matches_any(F.col("title"), title_patterns) & T.matches_any(everything, place_patterns))

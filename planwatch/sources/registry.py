@@ -8,8 +8,11 @@ from . import html, records
 
 READERS: dict[str, Callable] = {
     "html_calendar": html.calendar_meetings,
+    "html_list": html.list_meetings,
+    "html_agenda": html.agenda_links,
     "oparl": records.oparl_meetings,
     "ckan": records.ckan_documents,
+    "ckan_meetings": records.ckan_meetings,
     "rss": records.feed_articles,
     "link_list": records.press_links,
 }

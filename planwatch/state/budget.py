@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def admitted(calls: DataFrame, source: str, order: list[str], per_source: int, per_run: int, day_rest: int | None = None) -> DataFrame:
-    """calls with admitted boolean: in order, at most per_source of a source and per_run (or what the day has left) in all.
+    """calls with admitted boolean: in order (which must be total), at most per_source of a source and per_run (or what the day has left) in all.
 
-    A call that its source's budget refuses doesn't use the common one: the sources' windows run first, and only the first
-    per_source calls of each, of which the first of the common budget in order are found by a top-k, not by a window over all.
+    A call that its source's budget refuses doesn't use the common one. Only the first per_source calls of each source are ranked, which
+    Spark limits before it shuffles; of them the first of the common budget are found by a top-k. All calls are then held against
+    their source's last one and the last of all.
     """
-    most = per_run if day_rest is None else min(per_run, day_rest)
-    ranked = calls.withColumn("__n", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
-    through = ranked.where(F.col("__n") <= per_source)
-    # One row: the last call that the common budget still takes.
-    last = through.orderBy(*order).limit(max(most, 0)).agg(F.max(F.struct(*order)).alias("last")).first()["last"]
-    in_budget = F.struct(*order) <= F.struct(*[F.lit(last[c]).alias(c) for c in order]) if last else F.lit(False)
-    return ranked.withColumn("admitted", (F.col("__n") <= per_source) & in_budget).drop("__n")
+    most = max(per_run if day_rest is None else min(per_run, day_rest), 0)
+    at, rank = F.struct(*order), F.row_number().over(Window.partitionBy(source).orderBy(*order))
+    through = calls.select(source, *order).withColumn("__n", rank).where(F.col("__n") <= per_source)
+    own = through.groupBy(F.col(source).alias("__source")).agg(F.max(at).alias("__own"))
+    last = through.orderBy(*order).limit(most).agg(F.max(at).alias("__all"))  # one row
+    rows = calls.join(own, F.col(source).eqNullSafe(F.col("__source")), "left").crossJoin(F.broadcast(last))
+    return rows.withColumn("admitted", F.coalesce((at <= F.col("__own")) & (at <= F.col("__all")), F.lit(False))).drop("__source", "__own", "__all")
 
 
 def braked_after(calls: DataFrame, key: str, order: list[str], failed: str, most: int) -> DataFrame:
@@ -32,7 +33,28 @@ def braked_after(calls: DataFrame, key: str, order: list[str], failed: str, most
     return nth.where(F.col("__n") == most).groupBy(key).agg(F.min(F.struct(*order)).alias("stopped_at"))
 
 
-def locked_out(attempts: DataFrame, key: str, at: str, most: int = 10, seconds: int = 900) -> DataFrame:
-    """attempts with failures long (in the sliding window that ends with each) and locked: most or more of them."""
-    w = Window.partitionBy(key).orderBy(F.unix_timestamp(at)).rangeBetween(-seconds, 0)
-    return attempts.withColumn("failures", F.count("*").over(w)).withColumn("locked", F.col("failures") >= most)
+def locked_out(attempts: DataFrame, key: str, at: str, order: list[str], most: int = 10, seconds: int = 900, lock_seconds: int = 900) -> DataFrame:
+    """key, order, failures int, locked boolean, locked_until long of failed attempts: most of them within seconds lock the key for lock_seconds.
+
+    failures counts this attempt and those of the last seconds since the count was last cleared; the attempt that locks clears it. locked_until
+    (seconds since 1970) is the end of the lock that this attempt sets or meets, null if there is none. Attempts further apart than
+    both times can't touch each other, so a key's history is folded in sessions, not whole.
+    """
+    w = Window.partitionBy(key).orderBy("__at", *order)
+    rows = attempts.select(key, *order, F.col(at).alias("__at")).withColumn("__s", F.unix_timestamp("__at"))
+    apart = F.coalesce(F.col("__s") - F.lag("__s").over(w) > max(seconds, lock_seconds), F.lit(False))
+    rows = rows.withColumn("__apart", apart.cast("int")).withColumn("__session", F.sum("__apart").over(w))
+    events = F.sort_array(F.collect_list(F.struct("__at", *order, "__s")))
+    kinds = {c: t for c, t in rows.dtypes if c in order}
+    out_type = "array<struct<" + ",".join(f"`{c}`:{kinds[c]}" for c in order) + ",failures:int,locked:boolean,locked_until:bigint>>"
+    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.lit(None).cast("bigint").alias("until"), F.array().cast(out_type).alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        held = F.concat(F.filter(acc["held"], lambda t: e["__s"] - t <= seconds), F.array(e["__s"]))
+        locks = F.size(held) >= most
+        until = F.when(locks, e["__s"] + lock_seconds).otherwise(acc["until"])
+        row = F.struct(*[e[c].alias(c) for c in order], F.size(held).alias("failures"), locks.alias("locked"), F.when(until >= e["__s"], until).alias("locked_until"))
+        return F.struct(F.when(locks, F.array().cast("array<bigint>")).otherwise(held).alias("held"), until.alias("until"), F.concat(acc["out"], F.array(row)).cast(out_type).alias("out"))
+
+    folded = rows.groupBy(key, "__session").agg(F.aggregate(events, start, step, lambda acc: acc["out"]).alias("__out"))
+    return folded.select(key, F.inline("__out"))

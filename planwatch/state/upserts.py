@@ -82,6 +82,19 @@ def upsert_finds(table: DataFrame | None, batch: DataFrame) -> DataFrame:
     return merged(table, start, FIND_KEYS, FIND_RULES, ranks=D.PHASE_RANK)
 
 
+def set_values(table: DataFrame, wanted: DataFrame, key: str, column: str, at: str, allowed: Sequence[str] | None = None) -> DataFrame:
+    """table with column set to each key's last value in wanted (key, column, at), null included; a value not allowed is an error.
+
+    For notes, page addresses and, with ORIGINS as what is allowed, the origin. Unknown keys set nothing.
+    """
+    last = wanted.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(column), F.col(at))[column].alias("__value"))
+    value = F.col("__value")
+    if allowed:
+        value = F.when(value.isin(*allowed), value).otherwise(F.raise_error(F.concat(F.lit(f"no such {column}: "), F.coalesce(value, F.lit("null")))).cast("string"))
+    rows = table.join(last.withColumn("__value", value).withColumn("__set", F.lit(True)), F.col(key) == F.col("__key"), "left")
+    return rows.withColumn(column, F.when(F.col("__set"), F.col("__value")).otherwise(F.col(column))).select(table.columns)
+
+
 def latest(log: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
     """The last value of each key in an append-only log."""
     return log.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))

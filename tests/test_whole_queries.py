@@ -1,17 +1,19 @@
-"""Queries over whole tables and texts where others take a part of them."""
+"""Queries over whole tables and texts, on rows where each case has one."""
 
 import pytest
+from planwatch.operators.classify import judged
 from planwatch.plans import queries as plans
+from pyspark.sql import functions as F
 
 from conftest import SF_DIR
 
 
 def test_whole_bridge(spark):
-    assert plans.QUERIES["bridge_join_whole"](spark, SF_DIR).count() == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+    assert plans.QUERIES["bridge_join"](spark, SF_DIR).count() == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
 
 
 def test_day_has_events(spark):
-    assert plans.QUERIES["usage_on_present_day"](spark, SF_DIR).first()["n"] > 0
+    assert plans.QUERIES["usage_on_day"](spark, SF_DIR).first()["n"] > 0
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +27,9 @@ def tables(spark, tmp_path_factory):
 
 
 def test_whole_recall(spark, tables):
-    got = sorted(tuple(r) for r in plans.QUERIES["recall_theta_whole"](spark, tables).collect())
+    got = sorted(tuple(r) for r in plans.QUERIES["recall_theta"](spark, tables).collect())
     assert got == [(1, True, "document", 10), (2, True, "conversation", 20), (3, False, None, None)]
-    assert tuple(plans.QUERIES["recall_summary_whole"](spark, tables).first()) == (2, 3)
+    assert tuple(plans.QUERIES["recall_summary"](spark, tables).first()) == (2, 3)
 
 
 def test_whole_reasons(spark, tmp_path):
@@ -43,5 +45,6 @@ def test_whole_reasons(spark, tmp_path):
         ("https://b.org/7", "de the Baugenehmigung, 8 Wohnungen, nur ETW", "reines Eigentumsprojekt mit 8 WE (unter 12)"),
     ]
     spark.createDataFrame([(i, u, t) for i, (u, t, _) in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = dict(tuple(r) for r in plans.QUERIES["judge_reason_whole"](spark, str(tmp_path)).collect())
+    rows = spark.read.parquet(f"{tmp_path}/pages.parquet").select("page_id", "url", F.lit("").alias("title"), F.col("html").alias("content"), F.lit("de").alias("place"))
+    got = {r["page_id"]: r["reject_reason"] for r in judged(rows, 2026, plans.HOME, ("example.net",)).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(pages)}
