@@ -19,6 +19,11 @@ END, START = b"\n", xxhash.xxh64_intdigest(b"\n\n")
 GRID, LAST = 8, 400
 
 
+def grid(order: int) -> int:
+    """Steps for a factor of 2, fewer for longer n-grams, so that the driver's cells stay few."""
+    return GRID if order <= 2 else 3
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a ^ (b >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -99,7 +104,7 @@ def mixture_weights(hist: pd.DataFrame, order: int, types: int, rounds: int = 60
     out = np.full((64, order + 1), np.nan)
     for bucket, rows in hist.groupby("bucket"):
         q = rows[[f"q{k + 1}" for k in range(order)]].to_numpy().T
-        p = np.vstack([np.full((1, len(rows)), 1 / (types + 1)), np.where(q >= LAST, 0.0, 2.0 ** (-q / GRID))])
+        p = np.vstack([np.full((1, len(rows)), 1 / (types + 1)), np.where(q >= LAST, 0.0, 2.0 ** (-q / grid(order)))])
         n, w = rows["n"].to_numpy(float), np.full(order + 1, 1 / (order + 1))
         for _ in range(rounds):
             part = w[:, None] * p
@@ -208,7 +213,7 @@ def scored(
         kept = [t - d for t, d in zip(received(got, "trained"), received(got, "deleted"), strict=True)]
         p, context = batch.probabilities(kept, all_tokens - deleted_tokens, texts - deleted_texts)
         with np.errstate(divide="ignore"):
-            q = np.minimum(np.rint(-GRID * np.log2(p)), LAST).astype(np.int64)
+            q = np.minimum(np.rint(-grid(order) * np.log2(p)), LAST).astype(np.int64)
         cells = pd.DataFrame(np.vstack([bucket_of(context), q]).T, columns=names).assign(n=np.repeat(batch.times, np.diff(batch.starts)))
         return cells.groupby(names, as_index=False)["n"].sum()
 

@@ -73,7 +73,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = lm_score.scored(docs, ~fold().isin(1, -1), order=3)
+    out = lm_score.scored(docs, ~fold().isin(1, -1), order=2)
     return out.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
