@@ -40,7 +40,10 @@ def recall(known: DataFrame, texts: DataFrame) -> DataFrame:
     rows = texts.withColumn("__norm", T.recall_text(F.col("text"))).withColumn("rank", F.when(F.col("kind") == "project", 0).otherwise(1))
     own = F.array_distinct(split(F.col("__norm")))
     threes = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3)))
-    keys = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(own, lambda w: F.concat(F.lit(" "), w)), F.flatten(F.transform(own, threes))))
+    every = [F.array(F.lit("")), F.transform(own, lambda w: F.concat(F.lit(" "), w))]
+    if wanted.where(F.length("__key") == 3).where(~F.startswith("__key", F.lit(" "))).limit(1).count():  # the known list is small
+        every.append(F.flatten(F.transform(own, threes)))
+    keys = F.array_distinct(F.concat(*every))
     # Ids and keys meet the terms; the texts join only what is left.
     met = rows.select("kind", "id", F.explode(keys).alias("key")).join(wanted, F.col("key") == F.col("__key"), "left_semi").distinct().join(terms, "key").drop("key")
     literal = F.col("pattern") == F.concat(F.lit(r"\Q"), F.col("plain"), F.lit(r"\E"))
