@@ -373,7 +373,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int =
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members, F.col("id") == F.col("node"))
     sets = texts.dropDuplicates(["node"]).select("node", "rough", "text").mapInPandas(hashed, "node long, rough long, hashes binary")
-    found = components(meetings(sets, ["rough"], "node", block, members).drop("rough").mapInPandas(compare, "a long, b long"))
+    # Stored, so that comparing and joining up have no Python workers at the same time in one task.
+    found = components(stored(meetings(sets, ["rough"], "node", block, members).drop("rough").mapInPandas(compare, "a long, b long")))
     fast = stored(nodes.join(found, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component")))
     more = components(crossing(docs, id_col, text_col, fast.select("node", "component").where("node is not null").distinct(), shingle, similarity, block))
     named = fast.join(more.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("fp", F.coalesce("whole", "component").alias("exact"))
