@@ -129,7 +129,7 @@ def scored(
     text_col: str = "text",
     order: int = 2,
     held_part: int = 10,
-    batch_bytes: int = 14_000_000,
+    batch_bytes: int = 10_000_000,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs; learnt from those where train holds.
 
