@@ -44,7 +44,7 @@ def kept_bits(kind: int, lead: int) -> int:
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' tokens, each text's followed by its end; where each text's begin, and the whole length."""
     parts, starts = [np.empty(0, np.uint64)], [0]
-    for t in texts:  # hashed text by text: the words of a whole batch take ten times its bytes
+    for t in texts:  # hashed text by text: the words of a whole batch take several times its bytes
         words = [*t.lower().split(), END]
         parts.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
         starts.append(starts[-1] + len(words))
