@@ -51,16 +51,21 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.array(starts)
 
 
-def grams(tok: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+def grams(tok: np.ndarray, starts: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """For n = 1..order the hash of the n tokens that end at each place; before a text's start stands START."""
-    out, back = [tok], tok
-    acc = tok
+    back = acc = tok
+    yield acc
     for _ in range(1, order):
         back = np.concatenate([[np.uint64(START)], back[:-1]])
         back[starts[:-1]] = START
         acc = mix(back, acc)
-        out.append(acc)
-    return out
+        yield acc
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes, sorted, and where each place's is among them, in 4 bytes."""
+    found, inverse = np.unique(hashes, return_inverse=True)
+    return found, inverse.astype(np.int32)
 
 
 class Batch:
@@ -70,7 +75,7 @@ class Batch:
         self.ids, texts, train, self.times = from_batch(pdf)
         self.tok, self.starts = tokens(texts)
         self.weight = np.repeat(train * self.times, np.diff(self.starts))
-        self.kinds = [np.unique(g, return_inverse=True) for g in grams(self.tok, self.starts, order)]
+        self.kinds = [distinct(g) for g in grams(self.tok, self.starts, order)]
 
     def probabilities(self, counts: list[np.ndarray], total: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """[order, places] relative frequencies given the counts of the distinct n-grams, and the longest context's counts.
@@ -177,10 +182,10 @@ def scored(
         for k, same in pdf.groupby("kind"):
             lists = [np.cumsum(expanded(x, np.uint64), dtype=np.uint64) for x in same["hashes"]]
             size = np.array([len(x) for x in lists])
-            distinct, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+            found, inverse = distinct(np.concatenate(lists))
             sent = np.concatenate([expanded(x, np.uint32) for x in same["trained"]])
             own = np.repeat(same["batch"].to_numpy() >= n, size)
-            sums = [np.bincount(inverse, x, len(distinct)).astype(np.int64) for x in (sent, np.where(own, sent, 0))]
+            sums = [np.bincount(inverse, x, len(found)).astype(np.int64) for x in (sent, np.where(own, sent, 0))]
             ends = np.cumsum(size)
             for b, lo, hi in zip(same["batch"], ends - size, ends, strict=True):
                 got = [squeezed(s[inverse[lo:hi]].astype(np.uint32)) for s in (sums if b >= n else sums[:1])]
