@@ -57,7 +57,8 @@ def balanced(hist: DataFrame, goal: DataFrame, most: float = 2.0, steps: int = 4
     finite dual and need none.
     """
     rate = most / (1 + F.exp(-F.col("dual") * F.col("z")))
-    scale = hist.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"))
+    mean = F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size")))
+    scale = hist.groupBy("source").agg(F.coalesce(mean, F.lit(1.0)).alias("scale"))
     state = checkpointed(
         goal.join(scale, goal.source.eqNullSafe(scale.source))
         .select(goal.source, "source_size", "target", "scale", F.lit(0.0).alias("dual"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"))
