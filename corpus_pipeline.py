@@ -14,6 +14,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those whose text scores 0.5 or more; the model learns from the labels of four fifths of the ids.
 
     A null text scores as an empty one; rows with a null id are scored like others; equal texts share their fate; no docs give none.
+    Without a toxic document among those with labels all stay.
     """
     model = toxicity.train(docs, read(spark, sf_dir, "labels").where(~fold().isin(0, -1)), "doc_id", "text", "toxic")
     score = free_name(docs, "score")

@@ -83,11 +83,11 @@ def fit(names: list[str], docs: list[np.ndarray], labels: np.ndarray, changes: l
 
     docs: each document's features, as places in names. changes: the features and signs of each of swaps(); swap_weight
     weighs the mean square of the change of log odds. The classes weigh as the square roots of their sizes. With no
-    document, or but one class, the model is constant.
+    document, or but one class, the model is constant: without a toxic example no text is toxic.
     """
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
-        return Model({}, 0.0 if not len(y) else (6.0 if y[0] else -6.0))
+        return Model({}, 6.0 if len(y) and y[0] else -6.0)
     n, m, k = len(y), max(len(changes), 1), len(names)
     rows, cols = np.repeat(np.arange(n), [len(d) for d in docs]), np.concatenate([*docs, np.empty(0)]).astype(np.int64)
     srow = np.repeat(np.arange(len(changes)), [len(c) for c, _ in changes])
