@@ -704,3 +704,10 @@ def test_mixing(spark, docs, empty):
         assert abs(taken[s] - goal[s]) <= max(largest if largest > 1000 else 60, 0.03 * goal[s])
     assert both_ways(map(tuple, got)) == both_ways(map(tuple, mixing.mixed(docs.repartition(3)).collect()))
     assert mixing.mixed(empty).count() == 0
+
+
+def test_mixing_of_sources_without_words(spark):
+    data = [(1, None, "a"), (2, " ", "a"), (3, "some words of a text", "b"), (4, "two words", "b"), (5, "", None)]
+    got = {r["id"]: r for r in mixing.mixed(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert [got[i]["taken"] for i in (1, 2, 5)] == [0, 0, 0] and got[1]["target"] == got[5]["target"] == 0
+    assert got[3]["target"] == 1.5 * 7 and got[3]["taken"] + got[4]["taken"] in (9, 10, 12)
