@@ -365,47 +365,65 @@ def test_suffix_array_and_prefixes():
 # ---- 6: language model ----
 
 
-def test_lm_score(spark, docs, empty):
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_score(spark, docs, empty, order):
     train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
-    got = lm_score.scored(docs, train, batch_bytes=20_000).collect()
+    got = lm_score.scored(docs, train, batch_bytes=20_000, order=order).collect()
     held = {r["doc_id"] for r in docs.where(train & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("held")), F.lit(10)) == 0)).select("doc_id").collect()}
     data = []
     for i, t, _ in rows():
         toks = [*(x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))), b"\n"]
         data.append((i, toks, i is not None and zlib.crc32(str(i).encode()) % 5 != 1))
 
+    def places(toks):
+        """The n-grams, n = order, that end at each place; before the text stands b""."""
+        padded = [*[b""] * (order - 1), *toks]
+        return [tuple(padded[k : k + order]) for k in range(len(toks))]
+
     def counts(keep):
-        one, two, n_texts = Counter(), Counter(), 0
+        """How often each n-gram of every length stands, the texts under those of nothing, and all tokens."""
+        c, n_texts = Counter(), 0
         for i, toks, on in data:
             if on and keep(i):
                 n_texts += 1
-                one.update(toks)
-                two.update(zip([b"", *toks[:-1]], toks, strict=True))
-        one[b""] = n_texts
-        return one, two
-
-    one, two = counts(lambda i: True)
-    types, total = len([w for w in one if w != b""]), sum(n for w, n in one.items() if w != b"")
-    less, less2 = counts(lambda i: i not in held)
-    less_total = sum(n for w, n in less.items() if w != b"")
+                c.update(g[-n:] for g in places(toks) for n in range(1, order + 1))
+        total = sum(n for g, n in c.items() if len(g) == 1)
+        c.update({(b"",) * n: n_texts for n in range(1, order)})
+        return c, total
+
+    def estimates(c, total, g):
+        """The longest context's count, and the frequencies by length."""
+        p = [c[g[-1:]] / total]
+        for n in range(2, order + 1):
+            context = c[g[-n:-1]]
+            p.append(c[g[-n:]] / context if context else 0 if n == order else p[-1])
+        return context, p
+
+    bucket = lambda context: math.floor(math.log2(context)) + 1 if context else 0
+    q = lambda p: int(np.minimum(np.rint(-lm_score.grid(order) * np.log2(p)), lm_score.LAST)) if p else lm_score.LAST
+    full, total = counts(lambda i: True)
+    less, less_total = counts(lambda i: i not in held)
+    types = len([g for g in full if len(g) == 1 and g != (b"",)])
     cells = Counter()
-    q = lambda p: int(np.minimum(np.rint(-lm_score.GRID * np.log2(p)), lm_score.LAST)) if p else lm_score.LAST
     for i, toks, on in data:
         if on and i in held:
-            for a, b in zip([b"", *toks[:-1]], toks, strict=True):
-                cells[math.floor(math.log2(less[a])) + 1 if less[a] else 0, q(less[b] / less_total), q(less2[a, b] / less[a] if less[a] else 0)] += 1
+            for g in places(toks):
+                context, p = estimates(less, less_total, g)
+                cells[bucket(context), *map(q, p)] += 1
     import pandas as pd
 
-    weights = lm_score.mixture_weights(pd.DataFrame([(*k, n) for k, n in cells.items()], columns=["bucket", "q1", "q2", "n"]), 2, types)
+    names = ["bucket", *(f"q{k + 1}" for k in range(order)), "n"]
+    weights = lm_score.mixture_weights(pd.DataFrame([(*k, n) for k, n in cells.items()], columns=names), order, types)
     assert len(cells) > 10 and np.allclose(weights.sum(axis=1), 1)
     want = []
     for i, toks, _ in data:
-        base = sum(math.log10((one[w] + 0.5) / (total + 0.5 * (types + 1))) for w in toks)
+        base = sum(math.log10((full[(w,)] + 0.5) / (total + 0.5 * (types + 1))) for w in toks)
         score = 0.0
-        for a, b in zip([b"", *toks[:-1]], toks, strict=True):
-            w = weights[math.floor(math.log2(one[a])) + 1 if one[a] else 0]
-            score += math.log10(w[0] / (types + 1) + w[1] * one[b] / total + w[2] * (two[a, b] / one[a] if one[a] else 0))
-        want.append((i, len(toks), sum(one[w] > 0 for w in toks), total, base, score))
+        for g in places(toks):
+            context, p = estimates(full, total, g)
+            w = weights[bucket(context)]
+            score += math.log10(w[0] / (types + 1) + sum(x * y for x, y in zip(w[1:], p, strict=True)))
+        want.append((i, len(toks), sum(full[(w,)] > 0 for w in toks), total, base, score))
     key = lambda r: (repr(r[0]), r[1], round(r[4], 3))
     got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), key=key)
     want.sort(key=key)
