@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, lm_score, media, mixing, near_embed, packing, secrets, simhash, suffix_dedup, toxicity
+from . import align, line_dedup, lm_score, media, mixing, near_embed, packing, secrets, simhash, suffix_dedup, toxicity
 from .common import read
 
 #: A line is its site's boilerplate if it is on more than this part of the pages, and on so many at least.
@@ -101,6 +101,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_embeddings": op1_near_embeddings,
@@ -113,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_media": op9_media,
         "op10_mixing": op10_mixing,
+        "op13_alignment": op13_alignment,
     }
 
 
