@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -16,91 +15,104 @@ from pyspark.sql import functions as F
 
 from .common import by_size, expanded, modest, small, squeezed, stored
 
-#: Units that a worker keeps aligned before it forgets them all.
-REMEMBERED = 150_000
-#: A unit ends before a space or line feed that stands alone between other signs than white space. Neither tokenizer has a token
-#: across such a place: one starts new words there, the other has no piece with a space inside or with a line feed.
-UNIT = re.compile(r"(?:[ \n](?=\S))?\S+(?:(?![ \n]\S)\s+\S*)*|\s+\S*(?:(?![ \n]\S)\s+\S*)*")
 #: The byte alphabet of byte-level vocabularies, by its rule: printable Latin-1 signs stand for themselves, other bytes for signs from 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_OF = {chr(b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b))): b for b in range(256)}
+#: Fixed value: where byte-level vocabularies of this kind split texts before they merge.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: From so many spaces in a row a text is split by the slower library, as the faster one's splitter gives up at about a million.
+MOST_SPACES = 50_000
+LONG_SPACES = re.compile(rf"\s{{{MOST_SPACES}}}")
+#: Characters that a worker encodes at a time.
+CHARS = 400_000
 
 
 class Tokenizers:
-    """The byte-level tokenizer A and the piece tokenizer B, as ids and numbers of bytes."""
+    """The byte-level tokenizer A and the piece tokenizer B: ids of whole texts, and each id's bytes."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        with open(path_a, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        ranks = {bytes(map(BYTE_OF.__getitem__, token)): i for token, i in vocabulary.items() if set(token) <= BYTE_OF.keys()}
+        self.path_a = path_a
+        self.a = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes_a[i] = token
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.space = self.b.piece_to_id("▁")
-
-    def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]] | None]:
-        """Of each unit A's ids and their numbers of bytes, then B's; None if either's joined bytes aren't the unit's."""
-        # B puts a space before all it gets: it stands for a unit's own first space, or is taken away again.
-        of_b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        for unit, a, b in zip(units, self.a.encode_batch(units, add_special_tokens=False), of_b, strict=True):
-            if unit[0] != " ":
-                own, b = b[:1] == [self.space], b[1:]
-            else:
-                own, b = True, b or [self.space]
-            raw = unit.encode()
-            parts = [self.bytes_b[i] for i in b]
-            same = own and b"".join(parts) == raw and bytes(map(BYTE_OF.__getitem__, "".join(a.tokens))) == raw
-            yield (a.ids, [len(t) for t in a.tokens], b, [len(p) for p in parts]) if same else None
-
-
-def elementary(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals between neighbouring ends of either tokenizer: their ends, the tokens of A and of B that own them, and where both end.
-
-    Each interval is the overlap of one token of A with one of B, and each overlap is one interval.
-    """
-    ends = np.union1d(ends_a, ends_b)
-    a, b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-    return ends, a, b, (ends_a[a] == ends) & (ends_b[b] == ends)
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        # as text in front of a comma or of the end of A's, then B's part of a group
+        self.word_a, self.word_b = (np.array([f"{i}{end}" for end in ends for i in range(len(x))], object) for x, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")))
 
+    def ids_a(self, text: str) -> list[int]:
+        if len(text) < MOST_SPACES or not LONG_SPACES.search(text):
+            return self.a.encode_ordinary(text)
+        from tokenizers import Tokenizer
 
-class Units(dict):
-    """Of each unit: tokens of A, of B, groups, links, pairs within groups, the groups as text, and each link's two ids as one number; None if it can't be aligned."""
+        own = Tokenizer.from_file(self.path_a)
+        own.encode_special_tokens = True
+        return own.encode(text, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A over all texts, one after the other, and how many each text has; then B's. A text that either tokenizer changes has none."""
+        a = [self.ids_a(f" {t}") if t else [] for t in texts]
+        b = self.b.encode(texts, num_threads=1)
+        raw = [f" {t}".encode() if t else b"" for t in texts]
+        whole = b"".join(raw)
+        for ids, table in ((a, self.bytes_a), (b, self.bytes_b)):
+            if b"".join([table[i] for own in ids for i in own]) != whole:
+                for k, own in enumerate(ids):
+                    if b"".join([table[i] for i in own]) != raw[k]:
+                        a[k], b[k], raw[k] = [], [], b""
+                whole = b"".join(raw)
+        return tuple(x for ids in (a, b) for x in (np.array([i for own in ids for i in own], np.int64), np.array(list(map(len, ids)), np.int64)))
+
+
+class Aligned:
+    """Tokens of texts that stand one after the other, and the elementary intervals between neighbouring ends of either tokenizer.
+
+    ends: the intervals' ends; a, b: the tokens that own them; closes: where tokens of both end, which ends a group. Each interval is the
+    overlap of one token of A with one of B, and each overlap is one interval.
+    """
 
-    def __init__(self, tokenizers: Tokenizers):
+    def __init__(self, tokenizers: Tokenizers, texts: list[str]):
         self.tokenizers = tokenizers
-
-    def learn(self, units: list[str]) -> None:
-        """Aligns units, one after the other as if they were one text."""
-        found = list(self.tokenizers.encode(units))
-        self.update((u, None) for u, x in zip(units, found, strict=True) if x is None)
-        sound = [(u, x) for u, x in zip(units, found, strict=True) if x is not None]
-        if not sound:
-            return
-        ids_a, size_a, ids_b, size_b = (np.array([i for _, x in sound for i in x[k]], np.int64) for k in range(4))
-        ends_a, ends_b = size_a.cumsum(), size_b.cumsum()
-        ends, a, b, closes = elementary(ends_a, ends_b)
-        pairs = ids_a[a] << 32 | ids_b[b]
-        shared = ends[closes]
-        # first tokens, links and groups of each group and unit
-        first_a, first_b = (np.r_[0, np.searchsorted(x, shared, "right")] for x in (ends_a, ends_b))
-        products = np.r_[0, (np.diff(first_a) * np.diff(first_b)).cumsum()]
-        word_a, word_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        group = [
-            f"{','.join(word_a[i:j])}|{','.join(word_b[k:m])}"
-            for i, j, k, m in zip(first_a[:-1].tolist(), first_a[1:].tolist(), first_b[:-1].tolist(), first_b[1:].tolist(), strict=True)
-        ]
-        last = ends_a[np.cumsum([len(x[0]) for _, x in sound]) - 1]
-        links, groups = (np.r_[0, np.searchsorted(x, last, "right")].tolist() for x in (ends, shared))
-        for k, (u, x) in enumerate(sound):
-            i, j, g, h = links[k], links[k + 1], groups[k], groups[k + 1]
-            self[u] = (len(x[0]), len(x[2]), h - g, j - i, int(products[h] - products[g]), ";".join(group[g:h]), pairs[i:j].tobytes())
+        self.ids_a, self.n_a, self.ids_b, self.n_b = tokenizers.encode(texts)
+        ends_a, ends_b = tokenizers.size_a[self.ids_a].cumsum(), tokenizers.size_b[self.ids_b].cumsum()
+        self.ends = np.union1d(ends_a, ends_b)
+        self.a, self.b = np.searchsorted(ends_a, self.ends), np.searchsorted(ends_b, self.ends)
+        self.closes = ends_a[self.a] == ends_b[self.b] if len(self.ends) else np.empty(0, bool)
+        self.last_a, self.last_b = np.zeros(len(ends_a), bool), np.zeros(len(ends_b), bool)
+        self.last_a[self.a[self.closes]] = self.last_b[self.b[self.closes]] = True
+        # first tokens of each group, and the end of the last
+        self.first_a, self.first_b = (np.r_[0, np.flatnonzero(x) + 1] for x in (self.last_a, self.last_b))
+        ends = np.r_[0, self.n_a.cumsum()]
+        groups, links = np.r_[0, self.last_a.cumsum()], np.r_[0, np.searchsorted(self.a, np.arange(len(ends_a)), "right")]
+        products = np.r_[0, (np.diff(self.first_a) * np.diff(self.first_b)).cumsum()]
+        self.n_groups, self.n_links, self.n_products = np.diff(groups[ends]), np.diff(links[ends]), np.diff(products[groups[ends]])
+
+    def pairs(self) -> np.ndarray:
+        """The two ids of each link as one number."""
+        return self.ids_a[self.a] << 32 | self.ids_b[self.b]
+
+    def digests(self) -> list[bytes]:
+        """Of each text the digest of its groups' ids as text; b'' without tokens."""
+        t = self.tokenizers
+        group_a, group_b = self.last_a.cumsum() - self.last_a, self.last_b.cumsum() - self.last_b
+        words = np.empty(len(self.ids_a) + len(self.ids_b), object)
+        words[np.arange(len(self.ids_a)) + self.first_b[group_a]] = t.word_a[self.ids_a + self.last_a * len(t.bytes_a)]
+        words[np.arange(len(self.ids_b)) + self.first_a[group_b + 1]] = t.word_b[self.ids_b + self.last_b * len(t.bytes_b)]
+        ends = (self.n_a + self.n_b).cumsum().tolist()
+        return [hashlib.sha256("".join(words[i:j].tolist())[:-1].encode()).digest() if i < j else b"" for i, j in zip([0, *ends], ends)]
 
 
 #: A row for each batch of documents. Arrays of numbers are compressed bytes; a, b and n are the batch's different pairs of ids and their links.
-BATCH = "batch long, ids binary, known binary, counts binary, digests binary, units binary, unit_sizes binary, links binary, link_sizes binary, a array<int>, b array<int>, n array<long>"
+BATCH = "batch long, ids binary, known binary, counts binary, digests binary, links binary, a array<int>, b array<int>, n array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, n_products long"
 
 
@@ -119,40 +131,31 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def batch_of(number: int, pdf: pd.DataFrame, known: Units) -> dict[str, Any]:
+def batch_of(number: int, pdf: pd.DataFrame, tokenizers: Tokenizers) -> dict[str, object]:
     """BATCH's row for the documents of pdf (id, text)."""
-    if len(known) > REMEMBERED:
-        known.clear()
-    split = [UNIT.findall(f" {t}") if t else [] for t in pdf["text"]]
-    names = list(dict.fromkeys(u for units in split for u in units))
-    known.learn([u for u in names if u not in known])
-    at = {u: k for k, u in enumerate(names)}
-    found = [known[u] for u in names]
-    bad = {u for u, x in zip(names, found, strict=True) if x is None}
-    if bad:
-        split = [[] if bad.intersection(units) else units for units in split]
-    digests = [hashlib.sha256(";".join([known[u][5] for u in units]).encode()).digest() if units else b"" for units in split]
-    sizes = np.array([len(units) for units in split], np.int64)
-    units = np.array([at[u] for own in split for u in own], np.int32)
-    sound = [x or (0, 0, 0, 0, 0, "", b"") for x in found]
-    counts = np.array([x[:5] for x in sound], np.int64).reshape(-1, 5)
-    links = np.frombuffer(b"".join([x[6] for x in sound]), np.int64)
-    pairs, links_at = np.unique(links, return_inverse=True)
-    times = np.bincount(units, minlength=len(names))
-    n = np.bincount(links_at, np.repeat(times, counts[:, 3]), len(pairs)).astype(np.int64)
+    counts: list[np.ndarray] = []
+    links: list[np.ndarray] = []
+    digests: list[bytes] = []
+    for part in by_size(iter([pdf]), "text", CHARS):
+        found = Aligned(tokenizers, part["text"].tolist())
+        counts.append(np.stack([found.n_a, found.n_b, found.n_groups, found.n_links, found.n_products]))
+        links.append(found.pairs())
+        digests += found.digests()
+    every = np.concatenate(links) if links else np.empty(0, np.int64)
+    del links
+    ordered = np.sort(every)
+    pairs = ordered[np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])]
+    at = np.searchsorted(pairs, every).astype(np.int32)
     return {
         "batch": number,
         "ids": small_bytes(pdf["id"].fillna(0).to_numpy(np.int64)),
         "known": small_bytes(pdf["id"].notna().to_numpy(np.uint8)),
-        "counts": small_bytes(np.concatenate([sums(counts[units, k], sizes) for k in range(5)])),
+        "counts": small_bytes(np.concatenate(counts, axis=1).ravel()),
         "digests": b"".join(digests),
-        "units": small_bytes(units),
-        "unit_sizes": small_bytes(sizes),
-        "links": small_bytes(links_at.astype(np.int32).ravel()),
-        "link_sizes": small_bytes(counts[:, 3].astype(np.int32)),
+        "links": small_bytes(at),
         "a": (pairs >> 32).astype(np.int32),
         "b": (pairs & 0xFFFFFFFF).astype(np.int32),
-        "n": n,
+        "n": np.bincount(at, minlength=len(pairs)).astype(np.int64),
     }
 
 
@@ -160,10 +163,10 @@ def batches(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
     """BATCH's rows of docs; what one task reads at a time is a batch, so nothing is shuffled."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Units(Tokenizers(path_a, path_b))
+        tokenizers = Tokenizers(path_a, path_b)
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for number, pdf in enumerate(by_size(frames, "text", most_chars)):
-            yield pd.DataFrame([batch_of(first + number, pdf, known)])
+            yield pd.DataFrame([batch_of(first + number, pdf, tokenizers)])
 
     return modest(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, BATCH)
 
@@ -179,8 +182,7 @@ def pair_counts(encoded: DataFrame) -> DataFrame:
 def results(batch: pd.Series, count: np.ndarray, best: np.ndarray) -> pd.DataFrame:
     """RESULT's rows of a batch, given the corpus's count of each of its pairs and whether it is the best of its b."""
     n_a, n_b, n_groups, n_links, n_products = numbers(batch["counts"], np.int64).reshape(5, -1)
-    links, link_sizes = numbers(batch["links"], np.int32), numbers(batch["link_sizes"], np.int32)
-    units, unit_sizes = numbers(batch["units"], np.int32), numbers(batch["unit_sizes"], np.int64)
+    links = numbers(batch["links"], np.int32)
     has = iter([batch["digests"][i : i + 32].hex() for i in range(0, len(batch["digests"]), 32)])
     return pd.DataFrame(
         {
@@ -189,9 +191,9 @@ def results(batch: pd.Series, count: np.ndarray, best: np.ndarray) -> pd.DataFra
             "n_b": n_b,
             "n_groups": n_groups,
             "n_links": n_links,
-            "n_best": sums(sums(best[links], link_sizes)[units], unit_sizes),
-            "count_sum": sums(sums(count[links], link_sizes)[units], unit_sizes),
-            "groups_sha256": [next(has) if n else "" for n in unit_sizes],
+            "n_best": sums(best[links], n_links),
+            "count_sum": sums(count[links], n_links),
+            "groups_sha256": [next(has) if n else "" for n in n_a],
             "n_products": n_products,
         }
     )
@@ -204,7 +206,7 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id",
     pairs of tokens within groups, n_best the links whose pair of ids has no fewer links in the corpus than any other pair with
     its id of B, and count_sum adds up the corpus's links of each link's pair. groups_sha256 is the digest of the groups' ids.
 
-    Whole texts are encoded, unit by unit. A text that is null or empty, or that a tokenizer changes, has no tokens: numbers are 0,
+    Whole texts are encoded. A text that is null or empty, or that a tokenizer changes, has no tokens: numbers are 0,
     the digest is '', and the corpus's counts don't know it. Repeated rows and ids are documents each; a null id stays null; an
     empty table gives no rows. A batch asks for each of its pairs once, so the join with the counts grows with batches, not links.
     """
@@ -231,26 +233,20 @@ def links(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizers = Tokenizers(path_a, path_b)
-        for pdf in by_size(frames, "text", 500_000):
+        for pdf in by_size(frames, "text", CHARS):
             out = []
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                found = list(tokenizers.encode(UNIT.findall(f" {text}"))) if text else []
-                if not found or None in found:
-                    out.append((i, [], [], [], [] if with_products else None))
-                    continue
-                ids_a, size_a, ids_b, size_b = (np.array([n for x in found for n in x[k]], np.int64) for k in range(4))
-                ends_a, ends_b = size_a.cumsum(), size_b.cumsum()
-                ends, a, b, closes = elementary(ends_a, ends_b)
-                group = np.r_[0, closes.cumsum()[:-1]]
-                each = zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), a.tolist(), b.tolist(), group.tolist(), strict=True)
+                x = Aligned(tokenizers, [text])
+                group = x.closes.cumsum() - x.closes
+                each = zip(np.r_[0, x.ends[:-1]].tolist(), x.ends.tolist(), x.a.tolist(), x.b.tolist(), group.tolist()) if len(x.ends) else ()
                 products = None
                 if with_products:
-                    of_a, of_b = group[np.searchsorted(ends, ends_a)], group[np.searchsorted(ends, ends_b)]
-                    first, size = np.searchsorted(of_b, of_a), np.bincount(of_b)[of_a]
-                    left = np.repeat(np.arange(len(ids_a)), size)
-                    right = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(size.cumsum() - size, size)
+                    of_a = x.last_a.cumsum() - x.last_a
+                    size = np.diff(x.first_b)[of_a]
+                    left = np.repeat(np.arange(len(of_a)), size)
+                    right = np.repeat(x.first_b[of_a], size) + np.arange(size.sum()) - np.repeat(size.cumsum() - size, size)
                     products = list(zip(left.tolist(), right.tolist(), of_a[left].tolist(), strict=True))
-                out.append((i, ids_a.tolist(), ids_b.tolist(), list(each), products))
+                out.append((i, x.ids_a.tolist(), x.ids_b.tolist(), list(each), products))
             yield pd.DataFrame(out, columns=["id", "a_ids", "b_ids", "links", "products"]).astype({"id": "Int64"})
 
     return modest(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, LINKS)

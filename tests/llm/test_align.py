@@ -90,21 +90,22 @@ def fuzz(n):
     return ["".join(rng.choices(parts[: 23 + (k % 9 == 0)], k=rng.randint(1, 30))) for k in range(n)]
 
 
-def test_units_encode_as_whole_texts_do():
+def test_ids_are_those_of_the_vocabulary_files():
     tok = align.Tokenizers(*PATHS)
-    for text in [t for t in ODD if t] + fuzz(1500):
-        units = align.UNIT.findall(f" {text}")
-        assert "".join(units) == f" {text}"
-        found = list(tok.encode(units))
+    own = Tokenizer.from_file(PATHS[0])
+    own.encode_special_tokens = True
+    for text in [t for t in ODD if t] + fuzz(1500) + [" " * 1_500_000 + "x", "a" * 100_000, "\n" * 5000]:
+        a, n_a, b, n_b = tok.encode([text])
         if "▁" in text:
-            assert None in found
+            assert len(a) == len(b) == 0
             continue
-        assert [i for x in found for i in x[0]] == tok.a.encode(f" {text}", add_special_tokens=False).ids
-        assert [i for x in found for i in x[2]] == tok.b.encode(text)
+        assert a.tolist() == own.encode(f" {text}", add_special_tokens=False).ids and n_a.tolist() == [len(a)]
+        assert b.tolist() == tok.b.encode(text) and n_b.tolist() == [len(b)]
 
 
 @pytest.mark.parametrize("most_chars", [8_000_000, 300])
-def test_alignment_as_brute_force(spark, most_chars):
+def test_alignment_as_brute_force(spark, monkeypatch, most_chars):
+    monkeypatch.setattr(align, "CHARS", most_chars // 3)
     texts = [*ODD, *fuzz(80), ODD[25], ODD[25], "the cat sat on the mat", "the cat sat on the mat"]
     ids = [None, 7, 7, *range(100, 97 + len(texts))]
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
@@ -123,16 +124,6 @@ def test_counts_too_many_to_send_are_joined(spark, monkeypatch):
     assert sorted(map(tuple, got)) == [(i, *x) for i, x in enumerate(brute(texts))]
 
 
-def test_remembered_units_may_be_forgotten(spark, monkeypatch):
-    monkeypatch.setattr(align, "REMEMBERED", 10)
-    tok = align.Units(align.Tokenizers(*PATHS))
-    import pandas as pd
-
-    first = align.batch_of(0, pd.DataFrame({"id": [1, 2], "text": ["a b c d e f g h i j k l m", "x y"]}), tok)
-    again = align.batch_of(0, pd.DataFrame({"id": [1, 2], "text": ["a b c d e f g h i j k l m", "x y"]}), tok)
-    assert first["digests"] == again["digests"] and (first["n"] == again["n"]).all()
-
-
 def test_empty_table_and_table_of_nulls(spark):
     df = spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string")
     assert align.alignment(df.where("false"), *PATHS).count() == 0
