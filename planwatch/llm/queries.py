@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, line_dedup, lm_score, media, mixing, near_embed, packing, ranked, secrets, simhash, suffix_dedup, toxicity
+from . import align, line_dedup, lm_score, media, mixing, near_embed, packing, quality, ranked, secrets, simhash, suffix_dedup, toxicity
 from .common import read
 
 #: A line is its site's boilerplate if it is on more than this part of the pages, and on so many at least.
@@ -101,6 +101,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+split AS (SELECT r, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM docs),
+windows AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS three FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM split WHERE len(ws) >= 3)),
+often AS (SELECT r, three FROM windows GROUP BY r, three HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT i + k)::BIGINT AS n FROM windows JOIN often USING (r, three), (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+base AS (SELECT s.r, doc_id, source, t, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM split s LEFT JOIN covered c ON s.r = c.r),
+lines AS (SELECT r, source, t, regexp_replace(array_to_string(regexp_extract_all(lower(l), '[^\x20\x09-\x0D]+'), ' '), '[0-9]', '0', 'g') AS line, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT r, source, t, unnest(ls) AS l FROM split)),
+frequent AS (SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT t) > 10),
+lost AS (SELECT r, sum(words)::BIGINT AS n FROM lines l JOIN frequent f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY r),
+told AS (SELECT b.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(l.n, 0) AS gone FROM base b LEFT JOIN lost l ON b.r = l.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - gone >= 0.5 * n_words AS kept,
+  (CASE WHEN base_failed THEN n_words ELSE n_words - gone END)::BIGINT AS words_left
+FROM told
+"""
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_blocks and n_read are left out, as they depend on how the table is cut into shards."""
     indexed = ranked.index(read(spark, sf_dir, "documents"))
@@ -143,10 +167,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_media": op9_media,
         "op10_mixing": op10_mixing,
+        "op11_quality": op11_quality,
         "op12_ranked_search": op12_ranked_search,
         "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op12_ranked_search": OP12_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op11_quality": OP11_SQL, "op12_ranked_search": OP12_SQL}
