@@ -93,79 +93,90 @@ def balanced(hist: DataFrame, goal: DataFrame, most: float = 2.0, steps: int = 4
     return state.select("source", "source_size", "target", "scale", "dual")
 
 
-def with_copies(sizes: DataFrame, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
-    """docs (id, source, size and others) with source_size, target and copies int: how often the mix of sizes (stored: id, source, size) takes each.
-
-    Rates come from balanced(); a rate becomes whole copies by a draw that depends on the id alone, so
-    reruns agree. What a source's copies then miss of its target is made up by single copies of at
-    most two documents of each power of two of sizes, largest first, as long as they fit. Documents of size 0
-    are never taken; a null source is a source; rows with the same id and size share their fate in the draw, and only rows
-    that are alone with their id are used to make up. An empty table gives no rows.
+#: A class of equal sizes is ordered within so many parts, so that no task orders all of a class.
+PARTS = 1024
+
+
+def numbered(sizes: DataFrame) -> DataFrame:
+    """sizes with nth long: the number of a row among those of its source and size, in an order that content alone gives.
+
+    Rows of one content (equal key) are first numbered among themselves, by where they stand: within each part of the table, after
+    what earlier parts hold, so that a row repeated without end is counted where it is. Content and that number then give each row a
+    place of its own, and the places are counted in PARTS ranges of each size.
     """
-    # Equal sizes of a source share a rate, so Newton runs over a histogram.
+    same = ["source", "size", "key"]
+    split = sizes.withColumn("part", F.shiftright("row", 33))
+    per = split.groupBy(*same, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = stored(per.select(*same, "part", F.coalesce(before, F.lit(0)).alias("before")).where("before > 0"))
+    earlier = small(earlier.toDF("s", "z", "k", "p", "before"), 100_000)
+    own = F.row_number().over(Window.partitionBy(*same, "part").orderBy("row"))
+    rows = (
+        split.withColumn("own", own)
+        .join(earlier, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")), "left")
+        .withColumn("place", F.xxhash64("key", F.col("own") + F.coalesce("before", F.lit(0))))
+        .withColumn("range", F.pmod("place", F.lit(PARTS)))
+        .drop("s", "z", "k", "p", "before", "own", "part")
+    )
+    rows = stored(rows)
+    of_range = rows.groupBy("source", "size", "range").agg(F.count("*").alias("n"))
+    less = F.sum("n").over(Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    skipped = of_range.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("range").alias("g"), less.alias("skipped")).where("skipped > 0")
+    inside = F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("place", "row"))
+    return (
+        rows.withColumn("inside", inside)
+        .join(skipped, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("range") == F.col("g")), "left")
+        .withColumn("nth", F.col("inside") + F.coalesce("skipped", F.lit(0)))
+        .drop("s", "z", "g", "skipped", "inside", "place", "range")
+    )
+
+
+def with_copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+    """sizes (stored: row long, source, size long, key long and others) with source_size, target and copies int: how often the mix takes each.
+
+    row numbers the rows by where they stand (see placed()), key is a hash of the content. Rates come from balanced(). They
+    become whole copies by rounding their running sum, in the order of sizes, to the nearest whole number: the sum is then never more than
+    half a copy off, so a source's taken tokens are less than its largest document away from its target, however many rows are equal.
+    Which of the documents of one size are taken depends on their content alone, so reruns agree. Documents of size 0 are never taken; a
+    null source is a source; repeated rows and ids, and null ids, are rows like others. An empty table gives no rows.
+    """
+    # Equal sizes of a source share a rate, so Newton and the running sum run over a histogram.
     hist = stored(sizes.groupBy("source", "size").agg(F.count("*").alias("n")))
     goal = checkpointed(targets(hist.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most))
     dual = small(balanced(hist, goal, most).withColumnRenamed("source", "of"), 100_000)
-    draw = F.pmod(F.xxhash64("id", F.lit("copies")), F.lit(1 << 52)) / float(1 << 52)
-    rate = F.when(F.col("target") >= most * F.col("source_size"), F.lit(float(most))).otherwise(
-        most / (1 + F.exp(-F.col("dual") * F.col("size") / F.col("scale")))
+    rate = F.when(F.col("target") >= most * F.col("source_size"), F.lit(float(most))).otherwise(most / (1 + F.exp(-F.col("dual") * F.col("size") / F.col("scale"))))
+    before = F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
+    rates = (
+        hist.join(dual, F.col("source").eqNullSafe(F.col("of")))
+        .withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
+        .select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "rate", F.coalesce(before, F.lit(0.0)).alias("before"))
+    )
+    upto = lambda k: F.floor(F.col("before") + k * F.col("rate") + 0.5)
+    copies = F.greatest(F.least(upto(F.col("nth")) - upto(F.col("nth") - 1), F.lit(most)), F.lit(0)).cast("int")
+    return (
+        numbered(sizes)
+        .join(small(stored(rates), 100_000), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
+        .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
+        .drop("s", "z", "rate", "before", "nth")
     )
 
-    def draw_copies(rows: DataFrame) -> DataFrame:
-        return (
-            rows.join(dual, F.col("source").eqNullSafe(F.col("of")))
-            .withColumn("copies", F.when(F.col("size") > 0, F.least(F.floor(rate + draw), F.lit(most)).cast("int")).otherwise(0))
-            .drop("of", "scale", "dual")
-        )
 
-    drawn = draw_copies(sizes)
-    # A few spare documents of each power of two: two that a copy can be added to, two that one can be taken from.
-    spare = (
-        drawn.where("size > 0")
-        .groupBy("source", "id", "size", "copies")
-        .agg(F.count("*").alias("rows"))
-        .where("rows = 1")
-        .withColumn("class", F.floor(F.log2("size")).cast("int"))
-        .withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)))
-        .groupBy("source", "class", "half")
-        .agg(
-            *[
-                F.min(F.when(fits, F.struct(F.xxhash64("id").alias("by"), "id", "size"))).alias(name)
-                for name, fits in (("add", F.col("copies") < most), ("cut", F.col("copies") > 0))
-            ]
-        )
-        .groupBy("source")
-        .agg(*[F.collect_list(F.struct(F.col(f"{k}.size").alias("size"), F.col(f"{k}.id").alias("id"))).alias(k) for k in ("add", "cut")])
-    )
-    gap = drawn.groupBy("source", "target").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
-    moves = gap.join(spare, gap.source.eqNullSafe(spare.source)).select(
-        gap.source,
-        F.abs("gap").alias("gap"),
-        F.when(F.col("gap") >= 0, 1).otherwise(-1).alias("step"),
-        F.sort_array(F.filter(F.when(F.col("gap") >= 0, F.col("add")).otherwise(F.col("cut")), lambda x: x["size"].isNotNull()), asc=False).alias("spare"),
-    )
-    # Largest first, each if it fits into what is still missing.
-    start = F.struct(F.col("gap").alias("left"), F.array().cast("array<bigint>").alias("ids"))
-
-    def exact(acc: Column, x: Column) -> Column:
-        fits = x["size"] <= acc["left"]
-        return F.struct(
-            F.when(fits, acc["left"] - x["size"]).otherwise(acc["left"]).alias("left"),
-            F.when(fits, F.concat(acc["ids"], F.array(x["id"]))).otherwise(acc["ids"]).alias("ids"),
-        )
+def placed(docs: DataFrame, row: str = "row") -> DataFrame:
+    """docs with row long (where each stands: the part of the table in the upper bits), stored, so that the numbers stay what they are."""
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()))
 
-    made_up = stored(moves.select(F.explode(F.aggregate("spare", start, exact)["ids"]).alias("k"), "step"))
-    return (
-        draw_copies(docs)
-        .join(small(made_up, 100_000), F.col("id") == F.col("k"), "left")
-        .withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0)))
-        .drop("k", "step")
-    )
+
+def content(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text; a null id isn't an empty text's."""
+    return F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id, source, size, source_size, target, copies int, taken long for each row of docs; see with_copies(). A null text has size 0."""
-    sizes = stored(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sizes = placed(
+        docs.select(
+            F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), content(id_col, text_col).alias("key")
+        )
     )
-    return with_copies(sizes, sizes).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+    out = with_copies(sizes).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+    return out.select("id", "source", "size", "source_size", "target", "copies", "taken")
