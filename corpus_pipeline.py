@@ -45,10 +45,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs, each as often as the mix takes it: 0 to 2 times. Null and empty texts have no words and are never taken; a null source is a source."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("id"), "source", mixing.word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("doc"))
-    out = mixing.with_copies(stored(sized.drop("doc")), sized)
-    return out.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
+    """docs, each as often as the mix takes it: 0 to 2 times. Null and empty texts have no words and are never taken; a null source is a source.
+
+    A source's words come within its largest document of its target, repeated rows and ids and null ids included.
+    """
+    row = free_name(docs, "row")
+    rows = mixing.placed(docs, row)
+    sizes = stored(rows.select(F.col(row).alias("row"), "source", mixing.word_count(F.col("text")).alias("size"), mixing.content("doc_id", "text").alias("key")))
+    taken = mixing.with_copies(sizes).where("copies > 0").select(F.col("row").alias("of"), "copies")
+    whole = rows.select(row, F.struct(*docs.columns).alias("doc"))
+    return whole.join(taken, F.col(row) == F.col("of")).select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
