@@ -16,6 +16,7 @@ from ..operators import classify as C
 from ..operators import excerpt as E
 from ..operators import filters as P
 from ..operators import reports as R
+from ..sources import paging
 from ..state import budget, snapshot, upserts, window
 from . import recall as RC
 
@@ -575,3 +576,22 @@ def slug_and_latin1(spark, sf_dir):
 @query("SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda p, i: '[Seite ' || i::VARCHAR || ']' || chr(10) || p), chr(10) || chr(10)) AS marked FROM documents")
 def page_markers(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.page_marked(F.split("text", "\n")).alias("marked"))
+
+
+# ---- pages and state ----
+
+
+@query(
+    """WITH p AS (SELECT conv_id, turn, lead(turn) OVER w AS following, conv_id::VARCHAR || '/' || turn::VARCHAR AS url FROM (SELECT DISTINCT conv_id, turn FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    c AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM p)
+    SELECT url, last_value(url) OVER w AS chain, row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) - 1 AS position,
+      CASE WHEN last_value(following) OVER w IS NOT NULL THEN conv_id::VARCHAR || '/' || (last_value(turn) OVER w + 1)::VARCHAR END AS missing
+    FROM c WINDOW w AS (PARTITION BY conv_id, island ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+)
+def page_chains(spark, sf_dir):
+    """A conversation's turns as pages that point at the turn after them, until the last one."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"))
+    last = turns.groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("last"))
+    url = lambda turn: F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
+    pages = turns.join(last, F.col("conv_id") == F.col("c")).select(url(F.col("turn")).alias("url"), F.when(F.col("turn") < F.col("last"), url(F.col("turn") + 1)).alias("next"))
+    return paging.page_order(pages, most_pages=None).select("url", "chain", "position", "missing")

@@ -24,6 +24,7 @@ CONSULTATION = "id string, paper string"
 PAPER = f"id string, reference string, name string, mainFile {FILE}, auxiliaryFile array<{FILE}>"
 PACKAGE = "success boolean, result struct<results array<struct<name string, title string, url string, extras array<struct<key string, value string>>, resources array<struct<id string, name string, format string, url string, position int>>>>>"
 FEED = "title string, link string, pubDate string, category array<string>, guid struct<_VALUE string>, description string"
+MEETING_COLUMNS = ("source_id", "external_id", "committee", "date", "time", "place", "url", "cancelled")
 DOCUMENT = ("source_id", "external_id", "meeting_id", "paper_id", "number", "title", "url", "kind", "text")
 
 
