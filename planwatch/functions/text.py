@@ -96,41 +96,42 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(url_part(url, 2)), r"\A.*@|:\d*\z", ""), r"\Awww\.", "")
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x worked out once even where use's lambdas need it for each element."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def first_number(x: Column, pattern: str, least: int, most: int) -> Column:
-    """struct<n int, at int, text string> of the first match of pattern whose group 1, without dots, is from least to most; else null."""
-    hits = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-    numbers = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), lambda n: F.regexp_replace(n, r"\.", "").cast("int"))
-    # Where each match begins: after what stands before it, which is cut off match by match.
-    start = F.struct(F.lit(1).alias("from"), F.array().cast("array<struct<n:int,at:int,text:string>>").alias("all"))
+    """struct<n int, at int, text string> of the first match of pattern whose group 1, without dots, is from least to most; else null.
 
-    def step(acc: Column, z: Column) -> Column:
-        at = F.call_function("locate", z["text"], x, acc["from"])
-        return F.struct(
-            (at + F.length(z["text"])).cast("int").alias("from"),
-            F.concat(acc["all"], F.array(F.struct(z["n"].alias("n"), at.cast("int").alias("at"), z["text"].alias("text")))).alias("all"),
-        )
+    The text is cut at the first k matches, where the k-th is the one: it ends where the rest begins. So its place is its own, whatever stands
+    before it and looks alike, and the text is searched three times, however many matches it has.
+    """
 
-    zipped = F.zip_with(numbers, hits, lambda n, t: F.struct(n.alias("n"), t.alias("text")))
-    placed = F.aggregate(zipped, start, step, lambda acc: acc["all"])
-    return F.get(F.filter(placed, lambda z: z["n"].between(least, most)), F.lit(0))
+    def found(text: Column, k: Column, number: Column) -> Column:
+        match = F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), k - 1)
+        rest = F.get(F.split(text, pattern, k + 1), k)
+        return bound(match, lambda m: F.struct(number.alias("n"), (F.length(text) - F.length(rest) - F.length(m) + 1).cast("int").alias("at"), m.alias("text")))
 
+    def first(text: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: F.regexp_replace(n, r"\.", "").cast("int"))
+        place = lambda ns: F.array_position(F.transform(ns, lambda n: n.between(least, most)), True).cast("int")
+        return bound(numbers, lambda ns: bound(place(ns), lambda k: F.when(k > 0, found(text, k, F.get(ns, k - 1)))))
 
-def unit_count(x: Column, pattern: str = D.UNIT_PATTERN, bounds: tuple[int, int] = D.UNITS_RANGE) -> Column:
-    """struct<units int, quote string>: the first number of homes in bounds, with what stands around it; nulls if there is none."""
-    hit = first_number(x, pattern, *bounds)
+    return bound(x, first)
+
+
+def quoted(x: Column, hit: Column) -> Column:
+    """What stands around a match of first_number in x, with normal spaces and marks where it is cut; null without a match."""
     start = F.greatest(hit["at"] - D.QUOTE_AROUND, F.lit(1))
     end = F.least(hit["at"] + F.length(hit["text"]) - 1 + D.QUOTE_AROUND, F.length(x))
-    quote = F.concat(
-        F.when(start > 1, F.lit("…")).otherwise(""),
-        normal_space(F.substr(x, start, end - start + 1)),
-        F.when(end < F.length(x), F.lit("…")).otherwise(""),
-    )
-    return F.struct(hit["n"].alias("units"), F.when(hit.isNotNull(), F.substr(quote, F.lit(1), F.lit(D.QUOTE_MOST))).alias("quote"))
+    quote = F.concat(F.when(start > 1, F.lit("…")).otherwise(""), normal_space(F.substr(x, start, end - start + 1)), F.when(end < F.length(x), F.lit("…")).otherwise(""))
+    return F.when(hit.isNotNull(), F.substr(quote, F.lit(1), F.lit(D.QUOTE_MOST)))
 
 
-def bound(x: Column, use: Callable[[Column], Column]) -> Column:
-    """use(x), with x worked out once even where use's lambdas need it for each element."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
+def unit_count(x: Column, pattern: str = D.UNIT_PATTERN, bounds: tuple[int, int] = D.UNITS_RANGE) -> Column:
+    """struct<units int, quote string>: the first number of homes in bounds, with what stands around it; nulls if there is none."""
+    return bound(first_number(x, pattern, *bounds), lambda hit: F.struct(hit["n"].alias("units"), quoted(x, hit).alias("quote")))
 
 
 def clauses(x: Column, word: str) -> Column:
@@ -222,20 +223,7 @@ def german_date(x: Column) -> Column:
 
 
 def german_time(x: Column) -> Column:
-    return F.nullif(F.regexp_extract(x, r"(?<!\d)(\d{2}:\d{2})(?!\d)", 1), F.lit(""))
-
-
-def plain_html(x: Column) -> Column:
-    """Text of a short piece of HTML: no tags, the five basic entities resolved, normal spaces."""
-    x = F.regexp_replace(x, "(?s)<[^>]*>", " ")
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(sign))
-    return normal_space(x)
-
-
-def teaser(x: Column) -> Column:
-    """Plain text of a feed's teaser, without the word Source that feeds put at its end."""
-    return normal_space(F.regexp_replace(plain_html(x), r"\s*Source\s*\z", ""))
+    return F.nullif(F.regexp_extract(x, r"\b(\d{1,2}:\d{2})\b", 1), F.lit(""))
 
 
 def number_shown(x: Column) -> Column:

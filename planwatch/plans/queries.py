@@ -138,6 +138,23 @@ def unit_count_extract(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", hit["n"].alias("units"))
 
 
+UNITS_RE = r"(?:^|[^\d.,])(\d{1,4})\s+[a-zA-Z]"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{UNITS_RE}') AS hits, string_split_regex(text, '{UNITS_RE}') AS parts,
+      list_position(list_transform(regexp_extract_all(text, '{UNITS_RE}', 1), lambda n: n::INT BETWEEN 2 AND 5000), true) AS k FROM documents),
+    p AS (SELECT *, list_sum(list_transform(parts[1:k], lambda s: length(s))) + coalesce(list_sum(list_transform(hits[1:k-1], lambda s: length(s))), 0) + 1 AS place FROM d WHERE k > 0),
+    q AS (SELECT *, greatest(place - 80, 1) AS a, least(place + length(hits[k]) - 1 + 80, length(text)) AS b FROM p)
+    SELECT d.doc_id, substr(CASE WHEN a > 1 THEN '…' ELSE '' END || trim(regexp_replace(substr(q.text, a::BIGINT, (b - a + 1)::BIGINT), '\s+', ' ', 'g')) || CASE WHEN b < length(q.text) THEN '…' ELSE '' END, 1, 200) AS quote
+    FROM d LEFT JOIN q ON d.doc_id = q.doc_id"""
+)
+def unit_quotes(spark, sf_dir):
+    """The first number that could be one of homes, as it stands in its text."""
+    hit = T.first_number(F.col("text"), UNITS_RE, 2, 5000)
+    return read(spark, sf_dir, "documents").select("doc_id", T.bound(hit, lambda h: T.quoted(F.col("text"), h)).alias("quote"))
+
+
 def happened_sql(low: str) -> str:
     parts = []
     for w in START:

@@ -13,7 +13,8 @@ from . import datasource, html, records
 READERS: dict[str, Callable] = {
     "html_calendar": html.calendar_meetings,
     "html_list": html.list_meetings,
-    "html_agenda": html.agenda_links,
+    "html_agenda": html.agenda_documents,
+    "html_list_agenda": html.list_documents,
     "oparl": records.oparl_meetings,
     "ckan": records.ckan_documents,
     "ckan_meetings": records.ckan_meetings,
@@ -44,7 +45,7 @@ def meetings(spark: SparkSession, path: str, source_id: str, system: str, start:
         rows = records.checked(datasource.body_as(pages, records.PACKAGE), F.col("error").isNull(), f"{source_id}: a page that isn't JSON of a search")
         found = records.ckan_meetings(rows, source_id, start=days[0], end=days[1], **how)
     elif system in ("html_calendar", "html_list"):
-        found = read(pages.select(F.col("page").alias("page_id"), F.col("body").alias("html"), "month"), source_id, *days, **how)
+        found = read(pages.select(F.regexp_extract("page", r"(\d+)", 1).alias("page_id"), F.col("body").alias("html"), "month"), source_id, *days, **how)
     else:
         raise ValueError(f"{system} has no calendar")
     return records.checked_rows(found, records.MEETING_COLUMNS)
