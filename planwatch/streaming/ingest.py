@@ -15,13 +15,14 @@ from ..state.snapshot import SnapshotStore
 def merge_stream(
     spark: SparkSession, folder: str, schema: StructType, store: SnapshotStore, checkpoint: str, keys: Sequence[str], rules: Mapping[str, str], order: Sequence[str], ranks: Mapping[str, int] | None = None, file_format: str = "parquet"
 ) -> StreamingQuery:
-    """Reads what is new in the folder and merges it, then ends. A batch that is replayed after a failure changes nothing again."""
+    """Reads what is new in the folder and merges it, then ends. A batch that is replayed after a failure changes nothing, sums included: the
+    store knows the last batch of each checkpoint."""
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
         seq = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-        store.merge(batch.withColumn("seq", seq), keys, rules, ranks=ranks)
+        store.merge(batch.withColumn("seq", seq), keys, rules, ranks=ranks, batch_id=number, writer=checkpoint)
 
     rows = spark.readStream.schema(schema).format(file_format).load(folder)
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
