@@ -24,7 +24,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MOST_SPACES = 50_000
 LONG_SPACES = re.compile(rf"\s{{{MOST_SPACES}}}")
 #: Characters that a worker encodes at a time.
-CHARS = 400_000
+CHARS = 200_000
 
 
 class Tokenizers:
@@ -199,7 +199,7 @@ def results(batch: pd.Series, count: np.ndarray, best: np.ndarray) -> pd.DataFra
     )
 
 
-def alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 8_000_000) -> DataFrame:
+def alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 4_000_000) -> DataFrame:
     """RESULT: a row for each row of docs, of the tokens of A (path_a, byte-level) and B (path_b, pieces) over a space and the text.
 
     n_links counts the pairs of tokens that share bytes, n_groups the runs between places where tokens of both end, n_products the
