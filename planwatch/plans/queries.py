@@ -15,9 +15,11 @@ from ..operators import badges as B
 from ..operators import classify as C
 from ..operators import excerpt as E
 from ..operators import filters as P
+from ..operators import nearby
 from ..operators import reports as R
 from ..sources import paging
 from ..state import budget, snapshot, upserts, window
+from . import counters as CT
 from . import recall as RC
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -612,3 +614,34 @@ def page_chains(spark, sf_dir):
     url = lambda turn: F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
     pages = turns.join(last, F.col("conv_id") == F.col("c")).select(url(F.col("turn")).alias("url"), F.when(F.col("turn") < F.col("last"), url(F.col("turn") + 1)).alias("next"))
     return paging.page_order(pages, most_pages=None).select("url", "chain", "position", "missing")
+
+
+#: Places by rule: every key of a table lies somewhere on the globe, the poles and the date line included.
+LAT, LON = "({0} * 7919 % 18001) / 100.0 - 90", "({0} * 104729 % 36001) / 100.0 - 180"
+
+
+@query(
+    f"""WITH s AS (SELECT s_suppkey, {LAT.format('s_suppkey')} AS a, {LON.format('s_suppkey')} AS b FROM supplier), c AS (SELECT c_custkey, {LAT.format('c_custkey')} AS x, {LON.format('c_custkey')} AS y FROM customer),
+    d AS (SELECT s_suppkey, c_custkey, 2 * {D.EARTH_RADIUS_KM} * asin(sqrt(least(pow(sin((radians(x) - radians(a)) / 2), 2) + cos(radians(a)) * cos(radians(x)) * pow(sin((radians(y) - radians(b)) / 2), 2), 1.0))) AS km FROM s, c)
+    SELECT s_suppkey, c_custkey, round(km, 3) AS km FROM d WHERE km <= 750"""
+)
+def nearby_pairs(spark, sf_dir):
+    """Suppliers and the customers within 750 km of them."""
+    at = lambda key: (F.expr(LAT.format(key)).cast("double"), F.expr(LON.format(key)).cast("double"))
+    suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", at("s_suppkey")[0].alias("a"), at("s_suppkey")[1].alias("b"))
+    customers = read(spark, sf_dir, "customer").select("c_custkey", at("c_custkey")[0].alias("x"), at("c_custkey")[1].alias("y"))
+    return nearby.within_km(suppliers, customers, 750, ("a", "b"), ("x", "y")).select("s_suppkey", "c_custkey", F.round("distance_km", 3).alias("km"))
+
+
+@query(
+    """SELECT stage, rows, high, no_type FROM (SELECT 'read' AS stage, count(*) AS rows, count(*) FILTER (value > 50) AS high, count(*) FILTER (event_type IS NULL) AS no_type, 1 AS n FROM events
+    UNION ALL SELECT 'kept', count(*), count(*) FILTER (value > 50), count(*) FILTER (event_type IS NULL), 2 FROM events WHERE value > 20 AND event_type <> 'view')"""
+)
+def counted_stages(spark, sf_dir):
+    """Counts of two stages, taken while the second one's rows are worked through: the events are read once."""
+    counters = CT.Counters()
+    what = {"high": F.count_if(F.col("value") > 50), "no_type": F.count_if(F.col("event_type").isNull())}
+    events = counters.on(read(spark, sf_dir, "events").select("event_type", "value"), "read", **what)
+    counters.on(events.where("value > 20 and event_type <> 'view'"), "kept", **what).write.format("noop").mode("overwrite").save()
+    rows = [(stage, n["rows"], n["high"], n["no_type"]) for stage, n in counters.all().items()]
+    return spark.createDataFrame(rows, "stage string, rows long, high long, no_type long")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..functions import text as T
 from ..operators.filters import found_by_machine, of_municipality
 
@@ -20,41 +26,89 @@ def found_texts(projects: DataFrame, finds: DataFrame, municipality: str, manual
     )
 
 
+#: Letters of terms that one automaton holds. A longer list is searched in as many passes.
+TERM_LETTERS = 500_000
+#: What stands before a plan's number is shorter, as normal spaces are single.
+PLAN_LETTERS = 60
+
+
+def blocks_of(terms: DataFrame) -> list[list[tuple[str, str]]]:
+    """The different (plain, rule) of terms in blocks of at most TERM_LETTERS letters, or of one term. Only terms reach the driver, never texts."""
+    out: list[list[tuple[str, str]]] = [[]]
+    held = 0
+    for r in terms.select("plain", "rule").distinct().orderBy("plain", "rule").toLocalIterator():
+        if out[-1] and held + len(r["plain"]) > TERM_LETTERS:
+            out.append([])
+            held = 0
+        out[-1].append((r["plain"], r["rule"]))
+        held += len(r["plain"])
+    return out
+
+
+def first_hits(texts: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
+    """plain, rank, id, kind, label: of each term the first text of a partition that it is found in (texts: rank, id, kind, label, norm).
+
+    An automaton of all terms reads each text once; where a term stands, what its rule asks of its surroundings is looked at there.
+    """
+    kinds = dict(texts.dtypes)
+    held = texts.sparkSession.sparkContext.broadcast(terms)
+    number, plan_before = re.compile(r"(?![0-9])"), re.compile(D.PLAN_PATTERN + r"\Z")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for plain, rule in held.value:
+            if plain:
+                machine.add_word(plain, (plain, rule))
+        machine.make_automaton()
+        empty = any(not plain for plain, _ in held.value)
+        best: dict[str, tuple] = {}
+
+        def meet(plain: str, row: tuple) -> None:
+            order = tuple((x is not None and x == x, x) for x in row)
+            if plain not in best or order < best[plain][0]:
+                best[plain] = (order, row)
+
+        for pdf in frames:
+            for *row, norm in pdf.itertuples(index=False, name=None):
+                if norm is None:
+                    continue
+                if empty:
+                    meet("", tuple(row))
+                found = set()
+                for end, (plain, rule) in machine.iter(norm) if len(machine) else ():
+                    if plain in found or (rule != "any" and not number.match(norm, end + 1)):
+                        continue
+                    begin = end + 1 - len(plain)
+                    if rule != "plan" or plan_before.search(norm, max(0, begin - PLAN_LETTERS), begin):
+                        found.add(plain)
+                        meet(plain, tuple(row))
+        yield pd.DataFrame([(plain, *row) for plain, (_, row) in best.items()], columns=["plain", "rank", "id", "kind", "label"]).astype({"rank": "int64"})
+
+    rows = texts.select("rank", "id", "kind", "label", "norm")
+    return rows.mapInPandas(run, f"plain string, rank long, id {kinds['id']}, kind string, label string")
+
+
 def recall(known: DataFrame, texts: DataFrame) -> DataFrame:
     """known (name, terms array) with found, term, kind, id: the first text, projects before finds, that a term's pattern matches.
 
-    A term is first looked for by one key, in an equi-join: the longest of its words that are whole wherever it stands (those between
-    its first and last), else three letters in a row of its longest word. Only texts that hold the key are tested: for the term as it is, and for the
-    pattern where that says more. A term of fewer letters has the empty key, which all texts have.
+    All terms are looked for in one pass over the texts (see first_hits), and of each term only the first hit of a partition is shuffled. Terms
+    whose letters exceed TERM_LETTERS take further passes, so a task's memory doesn't grow with the list. What a term asks for is
+    what recall_pattern says: digits alone are a plan's number, and after a last digit none may follow.
     """
-    split = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
-    longest = lambda words: F.element_at(F.sort_array(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    norm = T.recall_text(F.col("term"))
-    terms = known.select("name", F.posexplode("terms").alias("n", "term")).where("term is not null").withColumn("plain", norm).withColumn("pattern", T.recall_pattern(F.col("term")))
-    words = split(F.col("plain"))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    letters = F.left(longest(words), F.lit(3))
-    key = F.when(F.size(words) > 2, F.concat(F.lit(" "), longest(inner))).when(F.length(letters) == 3, letters).otherwise(F.lit(""))
-    terms = terms.withColumn("key", key)
-    wanted = terms.select(F.col("key").alias("__key")).distinct()
-    rows = texts.withColumn("__norm", T.recall_text(F.col("text"))).withColumn("rank", F.when(F.col("kind") == "project", 0).otherwise(1))
-    own = F.array_distinct(split(F.col("__norm")))
-    threes = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3)))
-    every = [F.array(F.lit("")), F.transform(own, lambda w: F.concat(F.lit(" "), w))]
-    if wanted.where(F.length("__key") == 3).where(~F.startswith("__key", F.lit(" "))).limit(1).count():  # the known list is small
-        every.append(F.flatten(F.transform(own, threes)))
-    keys = F.array_distinct(F.concat(*every))
-    # Ids and keys meet the terms; the texts join only what is left.
-    met = rows.select("kind", "id", F.explode(keys).alias("key")).join(wanted, F.col("key") == F.col("__key"), "left_semi").distinct().join(terms, "key").drop("key")
-    literal = F.col("pattern") == F.concat(F.lit(r"\Q"), F.col("plain"), F.lit(r"\E"))
+    terms = known.select("name", F.posexplode("terms").alias("n", "term")).where("term is not null").withColumn("plain", T.recall_text(F.col("term")))
+    rule = F.when(F.rlike("plain", F.lit(r"\A[0-9]+\z")), "plan").when(F.rlike("plain", F.lit(r"[0-9]\z")), "number").otherwise("any")
+    terms = terms.withColumn("rule", rule)
+    rows = texts.select(F.when(F.col("kind") == "project", 0).otherwise(1).cast("long").alias("rank"), "id", "kind", "label", T.recall_text(F.col("text")).alias("norm"))
+    hits = reduce(DataFrame.unionByName, [first_hits(rows, block) for block in blocks_of(terms)])
     first = (
-        rows.join(met, ["kind", "id"])
-        .where(F.contains("__norm", F.col("plain")) & (literal | F.rlike(F.col("__norm"), F.col("pattern"))))
+        terms.join(hits, "plain")
         .groupBy("name")
         .agg(F.min(F.struct("rank", "id", "n", "kind", "label", "term")).alias("hit"))
         .select(F.col("name").alias("__name"), "hit")
     )
-    return known.join(first, F.col("name") == F.col("__name"), "left").select("name", F.col("hit").isNotNull().alias("found"), F.col("hit.term").alias("term"), F.col("hit.kind").alias("kind"), F.col("hit.id").alias("id"), F.col("hit.label").alias("label"))
+    return known.join(first, F.col("name").eqNullSafe(F.col("__name")), "left").select("name", F.col("hit").isNotNull().alias("found"), F.col("hit.term").alias("term"), F.col("hit.kind").alias("kind"), F.col("hit.id").alias("id"), F.col("hit.label").alias("label"))
 
 
 def papers_at_hand(known: DataFrame, papers: DataFrame, meetings: DataFrame, documents: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Readers, merges, runs and columns that no table of the driver reaches, on small rows with known results."""
 
 import datetime as dt
+import random
+import re
 import time
 
 import pytest
@@ -105,6 +107,29 @@ def test_recall_patterns(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "CartesianProduct" not in got._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("letters", [500_000, 12])
+def test_recall_as_by_a_loop(spark, monkeypatch, letters):
+    """Terms that hold each other, short ones, numbers and plans, in one automaton and in many."""
+    monkeypatch.setattr(recall, "TERM_LETTERS", letters)
+    rng = random.Random(4)
+    words = ["ring", "am ring", "weg 1", "weg 12", "12", "1", "b-plan", "bplan nr. ", "bebauungsplanes nr . ", "alt", "a", "straße", "str.", "  ", "x12", "—"]
+    terms = [[" ".join(rng.choices(words, k=rng.randint(1, 2))) for _ in range(rng.randint(0, 3))] for _ in range(40)] + [[None], ["12"], ["1"], ["a"], [""]]
+    texts = [(rng.choice(["project", "find"]), i, rng.choice(["l", None]), rng.choice([None, "", *[" ".join(rng.choices(words, k=rng.randint(1, 8))) for _ in range(9)]])) for i in range(120)]
+    norm = lambda t: re.sub(r"\s+", " ", re.sub("[‐-―]", "-", re.sub(r"strasse|str\.", "str", t.lower().replace("ß", "ss")))).strip()
+
+    def pattern(term):
+        t = norm(term)
+        return (D.PLAN_PATTERN if t.isdigit() else "") + re.escape(t) + (r"(?!\d)" if t[-1:].isdigit() else "")
+
+    want = []
+    for name, own in enumerate(terms):
+        hits = [(kind != "project", i, n) for kind, i, _, text in texts if text is not None for n, t in enumerate(own) if t is not None and re.search(pattern(t), norm(text))]
+        want.append((name, bool(hits), own[min(hits)[2]] if hits else None, min(hits)[1] if hits else None))
+    known = spark.createDataFrame(list(enumerate(terms)), "name int, terms array<string>")
+    got = recall.recall(known, spark.createDataFrame(texts, "kind string, id int, label string, text string").repartition(5))
+    assert rows(got, "name", "found", "term", "id") == sorted(want, key=repr)
+
+
 def test_time(spark):
     at = F.lit("2026-05-04 09:00:00").cast("timestamp")
     r = spark.range(1).select(
