@@ -31,6 +31,11 @@ REVIEW_SHARE = ("Geförderter Anteil bekannt (ca. ", "%), für den Rest nennt di
 REVIEW_NO_SHARE = "Die Quelle sagt nicht, ob Miete, gefördert oder Eigentum."
 REVIEW_UNITS = "Keine Zahl der Wohneinheiten gefunden. Prüfen: Anzahl in den Anlagen (Begründung, städtebaulicher Vertrag) oder beim Bauträger nachsehen."
 REVIEW_UNSURE = ("Die KI war sich unsicher (Konfidenz ", "%). Prüfen: WE-Zahl, Adresse und Verfahrensstand mit der Originalquelle abgleichen.")
+#: Reasons why a search result is no find; {0}: a host, a place, a number of homes, and {1}: the least of them.
+REJECT_DOMAIN, REJECT_PLACE, REJECT_HOUSING = "Website ausgeschlossen ({0})", "Ort {0} nicht genannt", "kein Wohnbau"
+REJECT_PHASE = "keine Baugenehmigung und kein Baubeginn im Text (Frühphase)"
+REJECT_OWNERSHIP = "reines Eigentumsprojekt mit {0} WE (unter {1})"
+REJECT_NO_PLACE = "kein Ort im Umkreis genannt"
 RENT_LEAST_UNITS = 6
 ORIGINS = ("radar", "manuell")
 OWNERSHIP_LEAST_UNITS, REVIEW_CONFIDENCE = 12, 0.6

@@ -30,6 +30,14 @@ def match_word(columns: Sequence[str]) -> Column:
     return F.coalesce(F.col("match_word"), F.col("place")) if "match_word" in columns else F.col("place")
 
 
+def filled(message: str, *values: Column | int) -> Column:
+    """A message with values for {0}, {1} and so on."""
+    out = F.lit(message)
+    for k, v in enumerate(values):
+        out = F.replace(out, F.lit(f"{{{k}}}"), v.cast("string") if isinstance(v, Column) else F.lit(str(v)))
+    return out
+
+
 def judged(
     results: DataFrame,
     year: int,
@@ -40,28 +48,32 @@ def judged(
     starts: Sequence[str] = D.START_WORDS,
     permits: Sequence[str] = D.PERMIT_WORDS,
     future: Sequence[str] = D.FUTURE_WORDS,
+    ownership: Sequence[str] = D.OWNERSHIP_WORDS,
+    rent: Sequence[str] = D.RENT_WORDS,
 ) -> DataFrame:
     """results (url, title, content, place and perhaps match_word) with what the text says and reject_reason.
 
-    The first test that fails gives the reason: domain, place, housing word, phase, few homes for sale. A null reason is a find.
+    The first test that fails gives the reason: domain, place, housing word, phase, few homes for sale. A null reason is a find. What only
+    later tests ask for isn't worked out: phase is null for a result rejected before it, tenure, units and quote for one without a phase.
     """
     text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
     word = match_word(results.columns)
+    rows = results.withColumn("__text", text).withColumn("domain", T.domain(F.col("url")))
+    early = (
+        F.when(excluded_domain(F.col("domain"), domains), filled(D.REJECT_DOMAIN, F.col("domain")))
+        .when(~T.has_word(F.col("__text"), word), filled(D.REJECT_PLACE, word))
+        .when(~T.contains_any(F.col("__text"), housing), F.lit(D.REJECT_HOUSING))
+    )
+    rows = rows.withColumn("__early", early).withColumn("phase", F.when(F.col("__early").isNull(), T.phase(F.col("__text"), year, starts, permits, future)))
+    found = lambda x: F.when(F.col("phase").isNotNull(), x)
     rows = (
-        results.withColumn("__text", text)
-        .withColumn("domain", T.domain(F.col("url")))
-        .withColumn("phase", T.phase(F.col("__text"), year, starts, permits, future))
-        .withColumn("__units", T.unit_count(F.col("__text")))
-        .withColumn("tenure", T.tenure(F.col("__text")))
+        rows.withColumn("tenure", found(T.tenure(F.col("__text"), ownership, rent)))
+        .withColumn("__units", found(T.unit_count(F.col("__text"))))
         .withColumn("units", F.col("__units.units"))
         .withColumn("quote", F.col("__units.quote"))
     )
-    reason = (
-        F.when(excluded_domain(F.col("domain"), domains), F.concat(F.lit("Website ausgeschlossen ("), F.col("domain"), F.lit(")")))
-        .when(~T.has_word(F.col("__text"), word), F.concat(F.lit("Ort "), word, F.lit(" nicht genannt")))
-        .when(~T.contains_any(F.col("__text"), housing), F.lit("kein Wohnbau"))
-        .when(F.col("phase").isNull(), F.lit("keine Baugenehmigung und kein Baubeginn im Text (Frühphase)"))
-        .when(small_ownership(F.col("tenure"), F.col("units"), least_units), F.format_string(f"reines Eigentumsprojekt mit %d WE (unter {least_units})", F.col("units")))
+    reason = F.when(F.col("__early").isNotNull(), F.col("__early")).when(F.col("phase").isNull(), F.lit(D.REJECT_PHASE)).when(
+        small_ownership(F.col("tenure"), F.col("units"), least_units), filled(D.REJECT_OWNERSHIP, F.col("units"), least_units)
     )
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("url"))
     return (
@@ -69,7 +81,7 @@ def judged(
         .withColumn("title", F.substring(title, 1, D.TITLE_MOST))
         .withColumn("excerpt", F.substring("content", 1, excerpt_most))
         .withColumn("key", T.normal_url(F.col("url")))
-        .drop("__text", "__units")
+        .drop("__text", "__units", "__early")
     )
 
 
@@ -103,7 +115,7 @@ def judged_press(articles: DataFrame, places: DataFrame, id_col: str, year: int)
     rows = articles.withColumn("content", content)
     rows = nearest_place(rows, places, id_col, F.concat_ws("\n", "title", "content"))
     out = judged(rows.withColumn("match_word", F.col("place")), year, excerpt_most=D.PRESS_EXCERPT_MOST)
-    return out.withColumn("reject_reason", F.when(F.col("place").isNull(), F.lit("kein Ort im Umkreis genannt")).otherwise(F.col("reject_reason"))).drop("match_word")
+    return out.withColumn("reject_reason", F.when(F.col("place").isNull(), F.lit(D.REJECT_NO_PLACE)).otherwise(F.col("reject_reason"))).drop("match_word")
 
 
 def by_distance(places: DataFrame, key: str = "name") -> DataFrame:

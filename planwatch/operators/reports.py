@@ -22,6 +22,12 @@ def key_figures(df: DataFrame, open_statuses: Sequence[str], units: str = "units
     )
 
 
+def provenance(df: DataFrame, source: str, real: Sequence[str]) -> DataFrame:
+    """One row: how many rows are from the sources of real ones, and how many are invented (any other source, or none)."""
+    own = F.coalesce(F.col(source).isin(*real), F.lit(False))
+    return df.agg(F.count_if(own).alias("real"), F.count_if(~own).alias("invented"))
+
+
 def count_by_status(df: DataFrame, status: str, order: Sequence[str]) -> DataFrame:
     """status, n, position: the statuses of the pipeline in its order, then others by name."""
     place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col(status))

@@ -21,6 +21,7 @@ from ..sources import paging
 from ..state import budget, snapshot, upserts, window
 from . import counters as CT
 from . import recall as RC
+from . import runs as RN
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,15 +201,14 @@ def judge_reason(spark, sf_dir):
     return C.judged(rows, YEAR, HOME, ("example.net",), starts=START, permits=PERMIT, future=FUTURE).select("page_id", "reject_reason")
 
 
-COORDS = [("FRANCE", 48.85, 2.35), ("GERMANY", 52.52, 13.4), ("INDIA", 28.6, 77.2), ("CHINA", 39.9, 116.4), ("BRAZIL", -15.8, -47.9), ("KENYA", -1.3, 36.8)]
-PLACES_SQL = "(VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (_, a, b) in enumerate(COORDS)) + ") AS c(k, lat, lon)"
+#: Places of nations by rule, from their keys.
+PLACES_SQL = "(SELECT n_nationkey AS k, n_nationkey * 37 % 150 - 60.0 AS lat, n_nationkey * 61 % 330 - 150.0 AS lon FROM nation) AS c"
 KM_SQL = "2 * 6371.0 * asin(sqrt(least(pow(sin((radians(lat) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians(lat)) * pow(sin((radians(lon) - radians({1})) / 2), 2), 1.0)))"
 
 
 def places(spark, sf_dir):
-    coords = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(a)).alias("lat"), F.lit(float(b)).alias("lon")) for i, (_, a, b) in enumerate(COORDS)])
-    nations = read(spark, sf_dir, "nation").where(F.col("n_nationkey") < len(COORDS))
-    return nations.select(F.col("n_name").alias("name"), F.inline(F.filter(coords, lambda c: c["k"] == F.col("n_nationkey"))))
+    at = F.col("n_nationkey").cast("double")
+    return read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), (at * 37 % 150 - 60).alias("lat"), (at * 61 % 330 - 150).alias("lon"))
 
 
 @query(f"SELECT n_name AS name, round({KM_SQL.format('50.0', '8.0')}, 1) AS distance_km FROM nation JOIN {PLACES_SQL} ON n_nationkey = k WHERE {KM_SQL.format('50.0', '8.0')} <= 9000")
@@ -229,6 +229,23 @@ def nearest_place(spark, sf_dir):
     return C.nearest_place(read(spark, sf_dir, "documents"), places_, "doc_id", F.col("text")).select("doc_id", "place", "distance_km")
 
 
+@query(
+    """SELECT r_name AS place, c_mktsegment AS phase, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"""
+)
+def canned_results(spark, sf_dir):
+    """Jobs of regions for two market segments, and the customers there as their stored results."""
+    held = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    held = held.select(F.col("r_name").alias("place"), F.col("c_mktsegment").alias("phase"), F.col("c_custkey").cast("string").alias("url"), F.col("c_name").alias("title"), F.lit("").alias("content"), F.col("c_custkey").alias("seq"))
+    jobs = C.search_jobs(read(spark, sf_dir, "region").select(F.col("r_name").alias("name")), {"BUILDING": ["{ort} building"], "MACHINERY": ["{ort} machines"]}).withColumnRenamed("name", "place")
+    found = RN.canned(held)(jobs)
+    return found.select("place", F.when(F.endswith("query", F.lit("building")), "BUILDING").otherwise("MACHINERY").alias("phase"), F.col("seq").alias("c_custkey"))
+
+
+@query("SELECT count(*) FILTER (o_orderstatus IN ('F', 'P')) AS real, count(*) FILTER (o_orderstatus NOT IN ('F', 'P')) AS invented FROM orders")
+def real_and_invented(spark, sf_dir):
+    return R.provenance(read(spark, sf_dir, "orders"), "o_orderstatus", ["F", "P"])
+
+
 @query("SELECT r_name AS name, phase, replace(template, '{ort}', r_name) AS query FROM region, (VALUES ('PERMIT', '{ort} permit'), ('START', '{ort} start'), ('START', 'works {ort}')) AS t(phase, template)")
 def job_expansion(spark, sf_dir):
     return C.search_jobs(read(spark, sf_dir, "region").select(F.col("r_name").alias("name")), {"PERMIT": ["{ort} permit"], "START": ["{ort} start", "works {ort}"]}).select("name", "phase", "query")

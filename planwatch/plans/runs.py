@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import classify as C
 from ..operators.filters import relevant_meeting
 from ..state import upserts
+from ..state.budget import decided
 from . import papers as P
 
 
@@ -59,6 +60,29 @@ def web_run(places: DataFrame, templates: Mapping[str, Sequence[str]], search: C
     return upserts.upsert_finds(finds, batch), out.where("reject_reason is not null").select("url", "title", "reject_reason")
 
 
+def canned(results: DataFrame, place: str = "place", phase: str = "phase") -> Callable[[DataFrame], DataFrame]:
+    """A search for web_run that looks up stored results (place, phase, url, title, content, seq) of a job's place and phase; a job without any has none."""
+    held = results.select(F.col(place).alias("__place"), F.col(phase).alias("__phase"), "url", "title", "content", "seq")
+
+    def search(jobs: DataFrame) -> DataFrame:
+        found = jobs.join(held, (F.col("place") == F.col("__place")) & (F.col("phase") == F.col("__phase")))
+        return found.drop("__place", "__phase", "phase")
+
+    return search
+
+
+def sent_jobs(jobs: DataFrame, order: Sequence[str], outcomes: DataFrame, per_run: int, day_rest: int | None = None, most_errors: int = 5) -> DataFrame:
+    """jobs (query, ...) with reason, null for those that are sent: a run's limit, the day's, and the brake after most_errors failures in a row.
+
+    outcomes (query, failed, fatal) are what came of queries, as the search recorded them; a query without one succeeded. A fatal one, an account that is closed,
+    stops all that come after it. jobs are in the order of the columns of order, which must be total.
+    """
+    told = outcomes.groupBy(F.col("query").alias("__q")).agg(F.max("failed").alias("__failed"), F.max("fatal").alias("__fatal"))
+    rows = jobs.join(told, F.col("query") == F.col("__q"), "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("__failed", "__fatal")})
+    out = decided(rows, list(order), "__failed", per_run, day_rest, most_errors=most_errors, fatal="__fatal", run_first=True)
+    return out.drop("__q", "__failed", "__fatal")
+
+
 def each_source(spark: SparkSession, sources: Sequence[str], run: Callable[[str], int]) -> DataFrame:
     """source_id, rows, error: run for each of a few sources, whatever becomes of the others.
 

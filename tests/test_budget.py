@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import pytest
+from planwatch.plans import runs
 from planwatch.state import budget
 from pyspark.sql import functions as F
 
@@ -113,3 +114,12 @@ def test_searches_have_no_sources(spark, per_run, rest):
     for run_first in (True, False):
         got = budget.decided(df, ["n"], "failed", per_run, rest, most_errors=4, run_first=run_first)
         assert dict(listed(got, "n", "reason")) == plain_run(rows, per_run, rest, None, 4, run_first)
+
+
+def test_jobs_are_sent_until_the_brake(spark):
+    jobs = spark.createDataFrame([(f"q{n:02}", n) for n in range(20)], "query string, n long")
+    outcomes = spark.createDataFrame([(f"q{n:02}", True, False) for n in (2, 5, 6, 7)] + [("q09", False, True)], "query string, failed boolean, fatal boolean")
+    reasons = lambda *a, **b: dict(listed(runs.sent_jobs(jobs, ["n"], outcomes, *a, **b), "n", "reason"))
+    assert reasons(50, most_errors=3) == {n: None if n <= 7 else "brake" for n in range(20)}
+    assert reasons(50) == {n: None if n <= 9 else "brake" for n in range(20)}
+    assert reasons(4, 4) == {n: None if n < 4 else "run" for n in range(20)} and reasons(9, 4)[5] == "day"
