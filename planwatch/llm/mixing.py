@@ -98,7 +98,7 @@ PARTS = 1024
 
 
 def numbered(sizes: DataFrame) -> DataFrame:
-    """sizes with nth long: the number of a row among those of its source and size, in an order that content alone gives.
+    """sizes with place long, a row's own mark, and nth long, its number among those of its source and size; both follow from content alone.
 
     Rows of one content (equal key) are first numbered among themselves, by where they stand: within each part of the table, after
     what earlier parts hold, so that a row repeated without end is counted where it is. Content and that number then give each row a
@@ -127,7 +127,7 @@ def numbered(sizes: DataFrame) -> DataFrame:
         rows.withColumn("inside", inside)
         .join(skipped, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("range") == F.col("g")), "left")
         .withColumn("nth", F.col("inside") + F.coalesce("skipped", F.lit(0)))
-        .drop("s", "z", "g", "skipped", "inside", "place", "range")
+        .drop("s", "z", "g", "skipped", "inside", "range")
     )
 
 
@@ -136,7 +136,8 @@ def with_copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
 
     row numbers the rows by where they stand (see placed()), key is a hash of the content. Rates come from balanced(). They
     become whole copies by rounding their running sum, in the order of sizes, to the nearest whole number: the sum is then never more than
-    half a copy off, so a source's taken tokens are less than its largest document away from its target, however many rows are equal.
+    half a copy off, so a source's taken tokens are less than its largest document away from its target, however many rows are equal; made_up()
+    then brings them nearer.
     Which of the documents of one size are taken depends on their content alone, so reruns agree. Documents of size 0 are never taken; a
     null source is a source; repeated rows and ids, and null ids, are rows like others. An empty table gives no rows.
     """
@@ -153,12 +154,53 @@ def with_copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     )
     upto = lambda k: F.floor(F.col("before") + k * F.col("rate") + 0.5)
     copies = F.greatest(F.least(upto(F.col("nth")) - upto(F.col("nth") - 1), F.lit(most)), F.lit(0)).cast("int")
-    return (
+    rounded = stored(
         numbered(sizes)
         .join(small(stored(rates), 100_000), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
         .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
         .drop("s", "z", "rate", "before", "nth")
     )
+    changes = F.broadcast(made_up(rounded, most)) if rounded.select("source").distinct().limit(1001).count() <= 1000 else made_up(rounded, most)
+    return (
+        rounded.join(changes, F.col("source").eqNullSafe(F.col("s")) & (F.col("place") == F.col("p")), "left")
+        .withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0)))
+        .drop("s", "p", "step", "place")
+    )
+
+
+def made_up(rounded: DataFrame, most: int) -> DataFrame:
+    """s, p (a source and a row's place), step int: single copies to add or take away so that a source's tokens come nearer to its target.
+
+    Of each power of two of sizes two rows that a copy can be added to and two that one can be taken from may serve, some forty a source at most. Largest first, each that fits
+    into what is still missing is changed, so the distance only shrinks.
+    """
+    spare = (
+        rounded.where("size > 0")
+        .withColumn("class", F.floor(F.log2("size")).cast("int"))
+        .withColumn("half", F.pmod("place", F.lit(2)))
+        .groupBy("source", "class", "half")
+        .agg(*[F.min(F.when(fits, F.struct("place", "size"))).alias(name) for name, fits in (("add", F.col("copies") < most), ("cut", F.col("copies") > 0))])
+        .groupBy(F.col("source").alias("of"))
+        .agg(*[F.collect_list(F.struct(F.col(f"{k}.size").alias("size"), F.col(f"{k}.place").alias("place"))).alias(k) for k in ("add", "cut")])
+    )
+    gap = rounded.groupBy("source", "target").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
+    given = F.when(F.col("gap") >= 0, F.col("add")).otherwise(F.col("cut"))
+    moves = gap.join(spare, F.col("source").eqNullSafe(F.col("of"))).select(
+        "source",
+        F.abs("gap").alias("gap"),
+        F.when(F.col("gap") >= 0, 1).otherwise(-1).alias("step"),
+        F.sort_array(F.filter(given, lambda x: x["size"].isNotNull()), asc=False).alias("spare"),
+    )
+    start = F.struct(F.col("gap").alias("left"), F.array().cast("array<bigint>").alias("places"))
+
+    def nearer(acc: Column, x: Column) -> Column:
+        fits = x["size"] <= acc["left"]
+        return F.struct(
+            F.when(fits, acc["left"] - x["size"]).otherwise(acc["left"]).alias("left"),
+            F.when(fits, F.concat(acc["places"], F.array(x["place"]))).otherwise(acc["places"]).alias("places"),
+        )
+
+    return stored(moves.select(F.col("source").alias("s"), F.explode(F.aggregate("spare", start, nearer)["places"]).alias("p"), "step"))
 
 
 def placed(docs: DataFrame, row: str = "row") -> DataFrame:
