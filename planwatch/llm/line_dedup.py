@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, small, stored
 
 
-def boilerplate(docs: DataFrame, text_col: str, host_col: str, ratio: float, least_pages: int) -> DataFrame:
-    """host, line (its MD5): lines on more than ratio of their host's pages and on at least least_pages of them.
+#: Standard deviations of a one-sided bound of 95 %.
+SURE = 1.645
 
-    A host has fewer such lines than its mean number of lines a page divided by ratio, so the result
-    holds a bounded number of rows for each host. Lines are compared whole, without outer spaces; blank ones never count.
+
+def least_share(n: Column, pages: Column, sure: float) -> Column:
+    """The lower end of Wilson's interval of a share of which n of pages were seen: so much it is at least, as surely as sure standard deviations say."""
+    p, z = n / pages, sure * sure
+    return (p + z / (2 * pages) - sure * F.sqrt(p * (1 - p) / pages + z / (4 * pages * pages))) / (1 + z / pages)
+
+
+def boilerplate(docs: DataFrame, text_col: str, host_col: str, ratio: float, sure: float = SURE) -> DataFrame:
+    """host, line (its MD5): lines that stand on more than one of their host's pages, and surely on more than ratio of them.
+
+    A share of few pages says little, so what is held against ratio is its lower confidence bound (sure=0: the share itself): of six pages two make a
+    line boilerplate at a ratio of 0.1, of a hundred 15, of very many just more than a tenth. A host has fewer such lines than its mean
+    number of lines a page divided by ratio, so the result holds a bounded number of rows for each host. Lines are compared
+    whole, without outer spaces; blank ones never count.
     """
     pages = docs.select(F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
@@ -21,17 +33,17 @@ def boilerplate(docs: DataFrame, text_col: str, host_col: str, ratio: float, lea
         pages.select("host", F.explode(lines).alias("line"))
         .groupBy("host", "line")
         .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= least_pages)
+        .where(F.col("n") > 1)
     )
     return (
         on.join(totals.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-        .where(F.col("n") > ratio * F.col("pages"))
+        .where(least_share(F.col("n"), F.col("pages"), sure) > ratio)
         .select("host", "line")
     )
 
 
 def without_boilerplate(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = 0.1, least_pages: int = 10, new_col: str = "kept_text", count_col: str = "n_dropped"
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = 0.1, sure: float = SURE, new_col: str = "kept_text", count_col: str = "n_dropped"
 ) -> DataFrame:
     """docs with new_col (the text without its host's boilerplate lines) and count_col long (lines dropped).
 
@@ -39,7 +51,7 @@ def without_boilerplate(
     empty; a null host is a host of its own; repeated rows count as pages each. Columns of other names are passed on,
     those named new_col and count_col are replaced.
     """
-    found = stored(boilerplate(docs, text_col, host_col, ratio, least_pages).groupBy("host").agg(F.collect_set("line").alias("lines")))
+    found = stored(boilerplate(docs, text_col, host_col, ratio, sure).groupBy("host").agg(F.collect_set("line").alias("lines")))
     host, lines, rest = (free_name(docs, x) for x in ("host_of_lines", "lines_of_host", "lines_kept"))
     rows = docs.join(
         small(found.select(F.col("host").alias(host), F.col("lines").alias(lines)), 10_000),

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from . import align, line_dedup, lm_score, media, mixing, near_embed, packing, quality, ranked, secrets, simhash, suffix_dedup, toxicity
 from .common import read
 
-#: A line is its site's boilerplate if it is on more than this part of the pages, and on so many at least.
-LINE_RATIO, LINE_PAGES = 0.1, 10
+#: A line is its site's boilerplate if it is on more than this part of the pages, by a bound of so many standard deviations.
+LINE_RATIO, LINE_SURE = 0.1, line_dedup.SURE
 
 
 #: Of a training sequence: pieces, and tokens that bear loss (so at least 3 pieces fill one of 2048 tokens).
@@ -36,7 +36,7 @@ def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = line_dedup.without_boilerplate(docs, "text", "source", LINE_RATIO, LINE_PAGES)
+    out = line_dedup.without_boilerplate(docs, "text", "source", LINE_RATIO, LINE_SURE)
     return out.select("doc_id", "kept_text", "n_dropped")
 
 
@@ -45,7 +45,7 @@ WITH pages AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr
 on_page AS (SELECT DISTINCT doc_id, source, trim(l) AS line FROM (SELECT doc_id, source, unnest(ls) AS l FROM pages) WHERE trim(l) <> ''),
 totals AS (SELECT source, count(*) AS n FROM pages GROUP BY source),
 boiler AS (SELECT o.source, o.line FROM on_page o JOIN totals t ON o.source IS NOT DISTINCT FROM t.source
-  GROUP BY o.source, o.line, t.n HAVING count(*) >= {LINE_PAGES} AND count(*) > {LINE_RATIO} * t.n),
+  GROUP BY o.source, o.line, t.n HAVING count(*) > 1 AND (count(*) / t.n + {LINE_SURE * LINE_SURE} / (2 * t.n) - {LINE_SURE} * sqrt(count(*) / t.n * (1 - count(*) / t.n) / t.n + {LINE_SURE * LINE_SURE} / (4 * t.n * t.n))) / (1 + {LINE_SURE * LINE_SURE} / t.n) > {LINE_RATIO}),
 by_site AS (SELECT source, list(line) AS lines FROM boiler GROUP BY source)
 SELECT p.doc_id,
   CASE WHEN p.text IS NULL THEN NULL ELSE array_to_string(list_filter(p.ls, lambda l: NOT coalesce(list_contains(b.lines, trim(l)), false)), chr(10)) END AS kept_text,

@@ -5,9 +5,9 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from planwatch.llm import toxicity
-from planwatch.llm.queries import LINE_PAGES, LINE_RATIO, fold
+from planwatch.llm.queries import LINE_RATIO, LINE_SURE, fold
 from pyspark.sql import functions as F
-from test_operators import EXTRA, jaccard_groups, water
+from test_operators import EXTRA, jaccard_groups, water, wilson
 from test_operators import rows as odd_rows
 
 from conftest import SF_DIR
@@ -45,7 +45,7 @@ def test_boilerplate_goes(steps):
     pages, on = Counter(r["source"] for r in before.values()), Counter()
     for r in before.values():
         on.update((r["source"], x) for x in {x.strip(" ") for x in (r["text"] or "").split("\n")} if x)
-    drop = {k for k, n in on.items() if n >= LINE_PAGES and n > LINE_RATIO * pages[k[0]]}
+    drop = {k for k, n in on.items() if n > 1 and wilson(n, pages[k[0]], LINE_SURE) > LINE_RATIO}
     for i, r in before.items():
         kept = "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" ")) not in drop)
         assert after[i]["text"] == kept and (kept == r["text"] or after[i]["n_chars"] == len(kept))
