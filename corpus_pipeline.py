@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from planwatch.llm import line_dedup, mixing, packing, simhash, toxicity
 from planwatch.llm.common import free_name, read, stored
-from planwatch.llm.queries import LINE_PAGES, LINE_RATIO, LOSS_TOKENS, SEGMENTS, fold
+from planwatch.llm.queries import LINE_RATIO, LINE_SURE, LOSS_TOKENS, SEGMENTS, fold
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     All rows stay: a null text is null, one of boilerplate alone is empty. A null source is a source; repeated rows are pages each.
     """
     text, lost = free_name(docs, "kept_text"), free_name(docs, "lines_lost")
-    kept = line_dedup.without_boilerplate(docs, "text", "source", LINE_RATIO, LINE_PAGES, text, lost).withColumn("text", F.col(text))
+    kept = line_dedup.without_boilerplate(docs, "text", "source", LINE_RATIO, LINE_SURE, text, lost).withColumn("text", F.col(text))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col(lost) > 0, F.length("text")).otherwise(F.col("n_chars")))
     return kept.select(docs.columns)
