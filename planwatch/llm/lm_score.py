@@ -20,7 +20,7 @@ GRID, LAST = 8, 400
 
 
 def grid(order: int) -> int:
-    """Steps for a factor of 2, fewer for longer n-grams, so that the driver's cells stay few."""
+    """Steps for a factor of 2, fewer for longer n-grams, so that cells stay few."""
     return GRID if order <= 2 else 3
 
 
@@ -99,28 +99,38 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
-def mixture_weights(hist: pd.DataFrame, order: int, types: int, rounds: int = 60) -> np.ndarray:
+def mixture_weights(hist: DataFrame, order: int, types: int, rounds: int = 60, still: float = 1e-9) -> np.ndarray:
     """[bucket, order + 1] weights of the uniform, unigram, ... estimates by expectation-maximisation on held-out counts.
 
-    hist: bucket, q1..q<order>, n. A bucket without held-out tokens takes the weights of the next lower one that has some, or
+    hist: bucket, q1..q<order>, n, stored. Each round is one aggregate over it, and only a row a bucket (64 at most) reaches the driver; rounds end when no
+    weight moves by more than still. A bucket without held-out tokens takes the weights of the next lower one that has some, or
     of the lowest. The longest n-grams have no weight in bucket 0, where their context is unknown, so that probabilities add up to 1.
     """
-    out = np.full((64, order + 1), np.nan)
-    for bucket, rows in hist.groupby("bucket"):
-        q = rows[[f"q{k + 1}" for k in range(order)]].to_numpy().T
-        p = np.vstack([np.full((1, len(rows)), 1 / (types + 1)), np.where(q >= LAST, 0.0, 2.0 ** (-q / grid(order)))])
-        n, w = rows["n"].to_numpy(float), np.full(order + 1, 1 / (order + 1))
-        for _ in range(rounds):
-            part = w[:, None] * p
-            w = (part / part.sum(axis=0) * n).sum(axis=1) / n.sum()
-        w = np.maximum(w, [1e-6] + [0] * order)
-        out[int(bucket)] = w / w.sum()
-    known = np.flatnonzero(~np.isnan(out[:, 0]))
-    if not len(known):
+    step = 1.0 / grid(order)
+    p = [F.lit(1 / (types + 1)), *[F.when(F.col(f"q{k + 1}") >= LAST, 0.0).otherwise(F.pow(F.lit(2.0), -F.col(f"q{k + 1}") * step)) for k in range(order)]]
+    cells = hist.select(F.col("bucket").cast("int").alias("bucket"), "n", *[x.alias(f"p{k}") for k, x in enumerate(p)])
+    out = np.full((64, order + 1), 1 / (order + 1))
+    known: list[int] = []
+    for _ in range(rounds):
+        table = F.lit(out.tolist())
+        parts = [F.get(F.get(table, F.col("bucket")), F.lit(k)) * F.col(f"p{k}") for k in range(order + 1)]
+        row = cells.select("bucket", "n", *[x.alias(f"x{k}") for k, x in enumerate(parts)])
+        whole = sum((F.col(f"x{k}") for k in range(1, order + 1)), F.col("x0"))
+        got = row.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"x{k}") / whole).alias(f"x{k}") for k in range(order + 1)]).collect()
+        new = {r["bucket"]: np.array([r[f"x{k}"] for k in range(order + 1)]) / r["n"] for r in got}
+        moved = max((abs(w - out[b]).max() for b, w in new.items()), default=0.0)
+        for b, w in new.items():
+            out[b] = w
+        known = sorted(new)
+        if moved <= still:
+            break
+    if not known:
         return np.full((64, order + 1), 1 / (order + 1))
+    for b in known:
+        out[b] = np.maximum(out[b], [1e-6] + [0] * order)
+        out[b] /= out[b].sum()
     for b in range(64):
-        lower = known[known <= b]
-        out[b] = out[lower[-1] if len(lower) else known[0]]
+        out[b] = out[max((k for k in known if k <= b), default=known[0])]
     if order > 1:
         out[0, order] = 0
         out[0] /= out[0].sum()
@@ -222,14 +232,13 @@ def scored(
         return cells.groupby(names, as_index=False)["n"].sum()
 
     keys = ", ".join(f"q{k + 1} long" for k in range(order))
-    hist = (
+    hist = stored(
         in_batches(dealt.where(held_batch))
         .groupBy("batch")
         .cogroup(answers.where(held_batch).groupBy("batch"))
         .applyInPandas(count_held, f"bucket long, {keys}, n long")
         .groupBy("bucket", *(f"q{k + 1}" for k in range(order)))
         .agg(F.sum("n").alias("n"))
-        .toPandas()  # cells of a grid of fixed size, not rows of the corpus
     )
     weights = mixture_weights(hist, order, types)
 

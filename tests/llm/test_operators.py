@@ -464,7 +464,9 @@ def test_lm_score(spark, docs, empty, order):
     import pandas as pd
 
     names = ["bucket", *(f"q{k + 1}" for k in range(order)), "n"]
-    weights = lm_score.mixture_weights(pd.DataFrame([(*k, n) for k, n in cells.items()], columns=names), order, types)
+    hist = pd.DataFrame([(*k, n) for k, n in cells.items()], columns=names)
+    weights = lm_score.mixture_weights(spark.createDataFrame(hist), order, types)
+    assert np.allclose(weights, plain_mixture(hist, order, types), atol=1e-9)
     assert len(cells) > 10 and np.allclose(weights.sum(axis=1), 1)
     want = []
     for i, toks, _ in data:
@@ -483,8 +485,28 @@ def test_lm_score(spark, docs, empty, order):
     assert lm_score.scored(empty, train).count() == 0
 
 
+def plain_mixture(hist, order, types, rounds=60):
+    """Expectation-maximisation bucket by bucket, with all cells at hand."""
+    out = np.full((64, order + 1), np.nan)
+    for b, own in hist.groupby("bucket"):
+        q = own[[f"q{k + 1}" for k in range(order)]].to_numpy().T
+        p = np.vstack([np.full((1, len(own)), 1 / (types + 1)), np.where(q >= lm_score.LAST, 0.0, 2.0 ** (-q / lm_score.grid(order)))])
+        n, w = own["n"].to_numpy(float), np.full(order + 1, 1 / (order + 1))
+        for _ in range(rounds):
+            part = w[:, None] * p
+            w = (part / part.sum(axis=0) * n).sum(axis=1) / n.sum()
+        w = np.maximum(w, [1e-6] + [0] * order)
+        out[int(b)] = w / w.sum()
+    known = np.flatnonzero(~np.isnan(out[:, 0]))
+    out = np.stack([out[known[known <= b][-1] if (known <= b).any() else known[0]] for b in range(64)])
+    if order > 1:
+        out[0, order] = 0
+        out[0] /= out[0].sum()
+    return out
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_probabilities_add_up_to_one(order):
+def test_lm_probabilities_add_up_to_one(spark, order):
     """Over all words that may follow a context, a text's end and one unknown word; contexts seen and not seen."""
     from planwatch.llm.lm_score import Batch
 
@@ -497,7 +519,7 @@ def test_lm_probabilities_add_up_to_one(order):
         trained.update(dict(zip(hashes.tolist(), np.bincount(inverse, batch.weight).astype(int).tolist(), strict=True)))
     import pandas as pd
 
-    weights = lm_score.mixture_weights(pd.DataFrame([(b, *[3] * order, 5) for b in (2, 4)], columns=["bucket", *(f"q{k + 1}" for k in range(order)), "n"]), order, 7)
+    weights = lm_score.mixture_weights(spark.createDataFrame(pd.DataFrame([(b, *[3] * order, 5) for b in (2, 4)], columns=["bucket", *(f"q{k + 1}" for k in range(order)), "n"])), order, 7)
     for context in ("", words[0], "unseen", f"{words[0]} {words[1]}", f"unseen {words[0]}", f"{words[0]} unseen"):
         asked = Batch(blobs([(k, f"{context} {w}".strip(), True) for k, w in enumerate(words)] + [(len(words), context, True)]), order)
         counts = [np.array([trained[h] for h in hashes.tolist()]) for hashes, _ in asked.kinds]
