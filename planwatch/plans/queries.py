@@ -614,6 +614,22 @@ def page_markers(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.page_marked(F.split("text", "\n")).alias("marked"))
 
 
+@query(
+    """WITH e AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS c_mktsegment FROM customer),
+    g AS (SELECT c_custkey, c_acctbal + c_custkey % 3 AS b, CASE WHEN c_custkey % 5 = 0 THEN 'other' ELSE c_mktsegment END AS m FROM customer WHERE c_custkey % 11 > 0),
+    f AS (SELECT e.c_custkey, coalesce(abs(c_acctbal - b) <= 1.0001, false) AS ok FROM e LEFT JOIN g ON e.c_custkey = g.c_custkey WHERE c_acctbal IS NOT NULL
+      UNION ALL SELECT e.c_custkey, c_mktsegment IS NOT DISTINCT FROM m FROM e LEFT JOIN g ON e.c_custkey = g.c_custkey WHERE c_mktsegment IS NOT NULL),
+    c AS (SELECT c_custkey, bool_and(ok) AS ok_all, count(*) AS n, count(*) FILTER (ok) AS k FROM f GROUP BY c_custkey)
+    SELECT count(*) FILTER (ok_all) AS hits, count(*) AS total, sum(k) / sum(n) AS fields_right FROM c"""
+)
+def gold_hits(spark, sf_dir):
+    """Customers as expected cases, and what was got for most of them, with some values off."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    expected = rows.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 > 0, F.col("c_mktsegment")))
+    got = rows.where(F.col("c_custkey") % 11 > 0).withColumns({"c_acctbal": F.col("c_acctbal") + F.col("c_custkey") % 3, "c_mktsegment": F.when(F.col("c_custkey") % 5 == 0, "other").otherwise(F.col("c_mktsegment"))})
+    return RC.gold_hits(RC.compared(expected, got, "c_custkey", ["c_acctbal", "c_mktsegment"], {"c_acctbal": 1.0001}), "c_custkey")
+
+
 # ---- pages and state ----
 
 

@@ -144,3 +144,9 @@ def compared(expected: DataFrame, got: DataFrame, key: str, fields: list[str], t
     rows = expected.alias("e").join(got.alias("g"), key, "left")
     cells = [F.struct(F.lit(f).alias("field"), F.col(f"e.{f}").cast("string").alias("expected"), F.col(f"g.{f}").cast("string").alias("got"), ok(f).alias("ok")) for f in fields]
     return rows.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.*").where("expected is not null")
+
+
+def gold_hits(cells: DataFrame, key: str) -> DataFrame:
+    """One row of what compared() gives: hits (cases of which every expected field is right), total (cases), and the share of fields that are right."""
+    cases = cells.groupBy(key).agg(F.min("ok").alias("__right"), F.count("*").alias("__n"), F.count_if("ok").alias("__ok"))
+    return cases.agg(F.count_if("__right").alias("hits"), F.count("*").alias("total"), (F.sum("__ok") / F.sum("__n")).alias("fields_right"))
