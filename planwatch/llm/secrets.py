@@ -55,9 +55,32 @@ PLAIN = (
 )
 
 
-def novelty(candidate: str, around: str) -> int:
-    """Compressed bytes that the candidate adds after what surrounds it, with identifiers and surroundings as a dictionary."""
-    held = zstandard.ZstdCompressionDict((PLAIN + IDENTIFIERS + around).encode(errors="replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+#: Parts of words and identifiers, as code joins them: runs of small letters, perhaps after a capital, or of capitals.
+PART = "[A-Z]?[a-z]{3,}|[A-Z]{4,}"
+
+
+def ordinary_parts(docs: DataFrame, text_col: str = "text", least_docs: int = 3, most_bytes: int = 16_000) -> str:
+    """The parts of words and identifiers that most documents have, each in small letters and with a capital, the commonest last.
+
+    Of parts in least_docs documents at least, as many as most_bytes hold: the size of a dictionary, whatever the corpus's. Each document's parts are counted
+    where it is read; a part is shuffled once for each task that has it.
+    """
+    parts = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(f"({PART})"), F.lit(1)), F.lower))
+    counts = docs.select(F.explode(parts).alias("part")).groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
+    size = 2 * F.octet_length("part") + 2
+    rows = counts.orderBy(F.desc("n"), "part").limit(most_bytes // 8).select("part", size.alias("size")).collect()  # a part takes 8 bytes at least
+    out, held = [], 0
+    for r in rows:
+        if held + r["size"] > most_bytes:
+            break
+        held += r["size"]
+        out.append(f"{r['part'].capitalize()} {r['part']} ")
+    return "".join(reversed(out))
+
+
+def novelty(candidate: str, around: str, ordinary: str = "") -> int:
+    """Compressed bytes that the candidate adds after what surrounds it, with words, identifiers and surroundings as a dictionary."""
+    held = zstandard.ZstdCompressionDict((PLAIN + ordinary + IDENTIFIERS + around).encode(errors="replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     pack = zstandard.ZstdCompressor(level=19, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
     tail = around[-32:]
     return len(pack.compress((tail + candidate).encode(errors="replace"))) - len(pack.compress(tail.encode(errors="replace")))
@@ -74,9 +97,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], near: int = 60, around: int = 400, least: float = 0.6) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, base: list[tuple[int, int, int]], near: int = 60, around: int = 400, least: float = 0.75, ordinary: str = "") -> list[tuple[int, int, int]]:
     """Spans, apart from the base ones, of strings that begin at most near characters after a sensitive word or end at most so many before it,
-    and whose novelty is at least least bytes a character. Of a string that holds the word, what is before and what is after it count."""
+    and whose novelty is at least least bytes a character. Of a string that holds the word, what is before and what is after it count.
+
+    ordinary: parts of words that the corpus knows (ordinary_parts). A string is looked at once, and what is found is marked in the text, so the work grows with the text and its candidates."""
     words = list(SENSITIVE.finditer(text))
     if not words:
         return []
@@ -84,6 +109,9 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], near: int = 60, aro
     begins, ends = [s for s, _ in full], [e for _, e in full]
     out: list[tuple[int, int, int]] = []
     seen: set[tuple[int, int]] = set()
+    taken = bytearray(len(text))
+    for start, _, end in base:
+        taken[start:end] = b"\1" * (end - start)
     for word in words:
         for s, e in full[bisect_left(ends, word.start() - near) : bisect_right(begins, word.end() + near)]:
             for start, end in [(s, e)] if e <= word.start() or s >= word.end() else [(s, word.start()), (word.end(), e)]:
@@ -91,10 +119,11 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], near: int = 60, aro
                     continue
                 seen.add((start, end))
                 found = text[start:end].rstrip(".=!")
-                if not found or any(start < y and x < end for x, _, y in base) or any(start < y and x < end for x, _, y in out):
+                if not found or 1 in taken[start:end]:
                     continue
-                if novelty(found, text[max(0, start - around) : start] + text[end : end + around]) >= least * len(found):
+                if novelty(found, text[max(0, start - around) : start] + text[end : end + around], ordinary) >= least * len(found):
                     out.append((start, 3, start + len(found)))
+                    taken[start : start + len(found)] = b"\1" * len(found)
     return out
 
 
@@ -106,13 +135,15 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_assign, n_access, n_hex long, base_sha256, spans, n_novel long: a row for each row of docs.
 
     Spans count code points, the end exclusive, and are sorted by start and then kind. Whole texts are searched; a null
-    text counts as empty and has no spans; repeated rows get equal results; an empty table gives none.
+    text counts as empty and has no spans; repeated rows get equal results; an empty table gives none. What the corpus's documents have in
+    common is no secret: their commonest parts of words are the compressor's dictionary, beside fixed ones (see ordinary_parts).
     """
+    ordinary = ordinary_parts(docs, text_col)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             base = [base_spans(t or "") for t in pdf["text"]]
-            new = [novel_spans(t or "", b) for t, b in zip(pdf["text"], base, strict=True)]
+            new = [novel_spans(t or "", b, ordinary=ordinary) for t, b in zip(pdf["text"], base, strict=True)]
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["id"],

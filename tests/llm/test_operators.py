@@ -612,6 +612,46 @@ def test_secrets_within_sixty_characters():
     assert secrets.novel_spans("the documentation of the token: https://www.example.com/index.html ............", []) == []
 
 
+def test_novel_strings_in_real_code(spark):
+    """Files of Python's own library, as they are and with a random string of digits and letters in a comment each: every one of these is found, and of the
+    library's own strings beside sensitive words few are reported. The corpus's common words are known from the files themselves."""
+    import pathlib
+    import random
+
+    files = sorted(pathlib.Path(hashlib.__file__).parent.glob("*.py"))
+    texts = [f.read_text(errors="replace") for f in files[:120]]
+    rng = random.Random(1)
+    planted = []
+    for text in texts:
+        lines, key = text.split("\n"), "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789", k=rng.choice([12, 16, 24, 40])))
+        lines.insert(rng.randrange(len(lines)), f"    # the secret for staging is <{key}> until friday")
+        planted.append(("\n".join(lines), key))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, (t, _) in enumerate(planted)], "doc_id long, text string")
+    ordinary = secrets.ordinary_parts(df)
+    assert 8_000 < len(ordinary) <= 16_000 and "Return return " in ordinary
+    got = {r["doc_id"]: r for r in secrets.secrets(df).collect()}
+    for i, (text, key) in enumerate(planted):
+        at = text.index(key)
+        assert f"novel:{at}:{at + len(key)}" in got[1000 + i]["spans"].split(",")
+    near = [(t, m.span()) for t in texts for w in secrets.SENSITIVE.finditer(t) for m in secrets.CANDIDATE.finditer(t, max(0, w.start() - 72), w.end() + 72)]
+    reported = sum(got[i]["n_novel"] for i in range(len(texts)))
+    plain = sum(len(secrets.novel_spans(t, secrets.base_spans(t), least=0.6)) for t in texts)
+    assert reported < 0.2 * len(set(near)) and reported < 0.75 * plain
+
+
+def test_novel_spans_of_long_texts_take_time_in_proportion():
+    import time
+
+    rng = np.random.default_rng(1)
+    took = []
+    for n in (1000, 8000):
+        text = " ".join(f"secret {rng.bytes(9).hex()}Q" for _ in range(n))
+        began = time.perf_counter()
+        assert len(secrets.novel_spans(text, [])) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0]
+
+
 # ---- 8: SimHash ----
 
 
