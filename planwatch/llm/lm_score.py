@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -112,7 +113,7 @@ def mixture_weights(hist: DataFrame, order: int, types: int, rounds: int = 60, s
     out = np.full((64, order + 1), 1 / (order + 1))
     known: list[int] = []
     for _ in range(rounds):
-        table = F.lit(out.tolist())
+        table = F.from_json(F.lit(json.dumps(out.tolist())), "array<array<double>>")  # a constant of the plan
         parts = [F.get(F.get(table, F.col("bucket")), F.lit(k)) * F.col(f"p{k}") for k in range(order + 1)]
         row = cells.select("bucket", "n", *[x.alias(f"x{k}") for k, x in enumerate(parts)])
         whole = sum((F.col(f"x{k}") for k in range(1, order + 1)), F.col("x0"))
