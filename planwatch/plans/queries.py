@@ -660,10 +660,10 @@ LAT, LON = "({0} * 7919 % 18001) / 100.0 - 90", "({0} * 104729 % 36001) / 100.0
 )
 def nearby_pairs(spark, sf_dir):
     """Suppliers and the customers within 750 km of them."""
-    at = lambda key: (F.expr(LAT.format(key)).cast("double"), F.expr(LON.format(key)).cast("double"))
+    at = lambda key: [F.col(key).cast("long") * step % n / 100 - most for step, n, most in ((7919, 18001, 90), (104729, 36001, 180))]
     suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", at("s_suppkey")[0].alias("a"), at("s_suppkey")[1].alias("b"))
     customers = read(spark, sf_dir, "customer").select("c_custkey", at("c_custkey")[0].alias("x"), at("c_custkey")[1].alias("y"))
-    return nearby.within_km(suppliers, customers, 750, ("a", "b"), ("x", "y")).select("s_suppkey", "c_custkey", F.round("distance_km", 3).alias("km"))
+    return nearby.within_km(suppliers, customers, 750, ("a", "b"), ("x", "y")).select("s_suppkey", "c_custkey", (F.floor(F.col("distance_km") * 1000 + 0.5) / 1000).alias("km"))
 
 
 @query(

@@ -49,6 +49,31 @@ def test_looking_into_few_cells(spark):
     assert met.count() == left.crossJoin(right).where(nearby.haversine_km(F.col("a"), F.col("b"), F.col("x"), F.col("y")) <= 50).count()
 
 
+def test_pairs_of_one_place_are_dealt_over_tasks(spark):
+    """Rows of one file that all lie in one cell: no task gets most of the pairs, and none is lost."""
+    left = spark.range(40).select("id", (F.rand(1) / 10 + 50).alias("a"), (F.rand(2) / 10 + 10).alias("b"))
+    right = spark.range(60_000).coalesce(1).select(F.col("id").alias("j"), (F.rand(3) / 10 + 50).alias("x"), (F.rand(4) / 10 + 10).alias("y"))
+    met = nearby.within_km(left, right, 50, ("a", "b"), ("x", "y"))
+    tasks = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 40 * 60_000 and max(tasks) < sum(tasks) / 2
+
+
+@pytest.mark.parametrize("most", [0.002, 20, 750, 4000, 9500, 10_100])
+def test_pairs_in_narrow_cells_and_cut_ones(spark, most, monkeypatch):
+    """Points gathered at the poles, at the date line and on the edges of bands, with cells cut into parts."""
+    monkeypatch.setattr(nearby, "PART", 50)
+    rng = random.Random(3)
+    height, bands = nearby.grid(most / nearby.BANDS)
+    near = math.degrees(most / EARTH_RADIUS_KM)
+    lats = lambda: rng.choice([90 - near * rng.random() * 3, near * rng.random() * 3 - 90, -90 + height * rng.randrange(bands + 1), 90 - near, near - 90, rng.choice([-90.0, 90.0])])
+    lons = lambda: rng.choice([rng.uniform(-180, 180), 180 - near * rng.random(), near * rng.random() - 180, 180.0, -180.0])
+    points = lambda n: [(i, min(90.0, max(-90.0, lats())), lons()) for i in range(n)]
+    left, right = spark.createDataFrame(points(150), "i int, a double, b double"), spark.createDataFrame(points(600), "j int, x double, y double")
+    want = left.crossJoin(right).withColumn("distance_km", nearby.haversine_km(F.col("a"), F.col("b"), F.col("x"), F.col("y"))).where(F.col("distance_km") <= most)
+    got = nearby.within_km(left, right, most, ("a", "b"), ("x", "y"))
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_counters_of_a_pass(spark, tmp_path):
     spark.range(100).withColumn("x", F.when(F.col("id") % 10 > 0, F.col("id"))).write.parquet(str(tmp_path / "in"))
     c = counters.Counters()
