@@ -64,9 +64,10 @@ def within_km(left: DataFrame, right: DataFrame, km: float, left_at: tuple[str,
     """All pairs of a row of left and one of right at most km apart, with their distance; the columns' names must differ.
 
     The globe is cut into bands of latitude, half as high as km, and these into cells about as wide or more. A row of right is in one cell; one of
-    left looks into the cells that its circle can reach in each band, all of them around a pole it holds, and those beyond the date line. So rows meet by an equal cell; chords decide all pairs but those next to the limit, and exact distances these; each pair
-    meets once. Cells are shuffled, and those with more than PART rows of right are cut, so dense places and few
-    files still make many even tasks. left is what is repeated, so it should be the smaller one; right is read twice, once to count its cells.
+    left looks into the cells that its circle can reach in each band, all of them around a pole it holds, and those beyond the date line. So rows
+    meet by an equal cell; chords decide all pairs but those next to the limit, and exact distances these; each pair meets once. Cells are shuffled,
+    and those with more than PART rows of right are cut, so dense places and few files still make many even tasks. left is what is repeated, so it
+    should be the smaller one; right is read twice, once to count its cells.
     Rows without a place (null, not a number, beyond the poles) are near to none.
     """
     height, bands = grid(km / BANDS)
