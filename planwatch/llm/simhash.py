@@ -208,7 +208,8 @@ def near_radius(similarity: float, bits: int, deviations: float = 2.0) -> int:
 def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
     """For each of some sets (sorted arrays) the first that links of at least the given Jaccard similarity reach.
 
-    A set is held against all others by the lists of the sets that have each of its elements, unless all are joined by now.
+    A set is held against all others by the lists of the sets that have each of its elements, unless all are joined by now. Empty
+    sets are linked with each other alone.
     """
     n = len(sets)
     size = np.array([len(x) for x in sets])
@@ -225,7 +226,8 @@ def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.nda
         if (lab == lab[i]).all():
             continue
         mine = element[stop[i] - size[i] : stop[i]]
-        common = np.bincount(owner[np.concatenate([order[a:b] for a, b in zip(starts[mine], ends[mine], strict=True)])], minlength=n)
+        having = [order[:0], *(order[a:b] for a, b in zip(starts[mine], ends[mine], strict=True))]
+        common = np.bincount(owner[np.concatenate(having)], minlength=n)
         near = common >= similarity * (size[i] + size - common) - 1e-9
         near &= (side[i] < 0) | (side[i] != side)
         near[i] = False

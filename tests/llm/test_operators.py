@@ -715,6 +715,25 @@ def test_near_duplicates(spark, empty):
     assert simhash.near_duplicates(empty, "doc_id", "text").count() == 0
 
 
+def test_empty_sets_among_others():
+    sets = [np.array(x, np.uint64) for x in ([], [1, 2, 3, 4, 5], [], [1, 2, 3, 4], [7])]
+    for order in ([0, 1, 2, 3, 4], [4, 3, 2, 1, 0]):
+        lab = simhash.alike([sets[i] for i in order], np.full(5, -1), 0.8)
+        assert [[int(lab[order.index(i)] == lab[order.index(j)]) for j in range(5)] for i in (0, 1, 4)] == [[1, 0, 1, 0, 0], [0, 1, 0, 1, 0], [0, 0, 0, 0, 1]]
+
+
+def test_near_duplicates_of_empty_texts_and_two_shingles(spark):
+    """Few bits of two shingles' fingerprint are set, so some come near an empty text's, which has none."""
+    rng = np.random.default_rng(10)
+    data = [*enumerate([sentence(rng, 6) for _ in range(300)]), (300, ""), (301, None), (302, " \n")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    rough = simhash.grouped(df, "doc_id", "text", 5, simhash.near_radius(0.8, 256), 4, True, [(12 * k, 12 * k + 12) for k in range(21)])
+    of = {r["id"]: r["component"] for r in rough.collect()}
+    assert sum(c == of[300] for i, c in of.items() if i < 300)  # so the shingles are asked
+    got = {r["id"]: r["component"] for r in simhash.near_duplicates(df, "doc_id", "text").collect()}
+    assert [got[i] for i in range(len(data))] == jaccard_groups(data)
+
+
 def test_near_duplicates_of_short_texts(spark):
     rng = np.random.default_rng(9)
     data = []
