@@ -19,6 +19,8 @@ from .common import by_size, components, dealt, local_components, meetings, mode
 GOLDEN = 0x9E3779B97F4A7C15
 #: Slots in which shingles are counted, and slots to a row.
 SLOTS, SLICE = 1 << 20, 1 << 14
+#: Hashes that are sorted at a time where sets are compared.
+PART = 1 << 20
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -205,6 +207,41 @@ def near_radius(similarity: float, bits: int, deviations: float = 2.0) -> int:
     return math.floor(bits * part + deviations * math.sqrt(bits * part * (1 - part)))
 
 
+def postings(sets: list[np.ndarray], part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some sets (sorted arrays of hashes) owner, starts and run: the sets that have an element are owner[starts[r] : starts[r + 1]],
+    with r from run, which numbers the elements of all sets in turn.
+
+    Elements are sorted about part at a time, by ranges of their values, so this takes little more than its result: the bytes of the sets once again.
+    """
+    size = np.array([len(x) for x in sets])
+    total, first = int(size.sum()), np.cumsum(size) - size
+    kind = np.int32 if total < 2**31 - 1 else np.int64
+    edges = np.array([(k << 64) // -(-total // part) for k in range(1, -(-total // part))], np.uint64)
+    cuts = [np.r_[0, np.searchsorted(x, edges), len(x)] for x in sets] if len(edges) else [(0, k) for k in size]
+    owner, run = np.empty(total, kind), np.empty(total, kind)
+    starts, done, known = [], 0, 0
+    for p in range(len(edges) + 1):
+        some = [x[c[p] : c[p + 1]] for x, c in zip(sets, cuts, strict=True)]
+        flat = np.concatenate(some)
+        if not len(flat):
+            continue
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        new = np.r_[True, flat[1:] != flat[:-1]]
+        number = np.empty(len(flat), kind)
+        number[order] = np.cumsum(new) - 1 + known
+        owner[done : done + len(flat)] = np.repeat(np.arange(len(sets), dtype=kind), [len(x) for x in some])[order]
+        at = 0
+        for k, c in zip(first, cuts, strict=True) if len(edges) else ():
+            run[k + c[p] : k + c[p + 1]] = number[at : at + c[p + 1] - c[p]]
+            at += c[p + 1] - c[p]
+        if not len(edges):
+            run = number
+        starts.append((np.flatnonzero(new) + done).astype(kind))
+        done, known = done + len(flat), known + len(starts[-1])
+    return owner, np.concatenate([*starts, np.array([total], kind)]), run
+
+
 def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
     """For each of some sets (sorted arrays) the first that links of at least the given Jaccard similarity reach.
 
@@ -213,11 +250,7 @@ def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.nda
     """
     n = len(sets)
     size = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(n), size)
-    _, element = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(element, kind="stable")
-    ends = np.cumsum(np.bincount(element))
-    starts = ends - np.bincount(element)
+    owner, starts, run = postings(sets)
     stop = np.cumsum(size)
     lab = np.arange(n)
     for i in range(n):
@@ -225,9 +258,9 @@ def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.nda
             break
         if (lab == lab[i]).all():
             continue
-        mine = element[stop[i] - size[i] : stop[i]]
-        having = [order[:0], *(order[a:b] for a, b in zip(starts[mine], ends[mine], strict=True))]
-        common = np.bincount(owner[np.concatenate(having)], minlength=n)
+        mine = run[stop[i] - size[i] : stop[i]]
+        having = [owner[:0], *(owner[a:b] for a, b in zip(starts[mine], starts[mine + 1], strict=True))]
+        common = np.bincount(np.concatenate(having), minlength=n)
         near = common >= similarity * (size[i] + size - common) - 1e-9
         near &= (side[i] < 0) | (side[i] != side)
         near[i] = False

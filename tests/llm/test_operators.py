@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -722,6 +723,27 @@ def test_empty_sets_among_others():
         assert [[int(lab[order.index(i)] == lab[order.index(j)]) for j in range(5)] for i in (0, 1, 4)] == [[1, 0, 1, 0, 0], [0, 1, 0, 1, 0], [0, 0, 0, 0, 1]]
 
 
+def test_sets_are_compared_in_little_memory():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**64, 20_000, np.uint64)
+    sets = [np.unique(np.r_[base[:18_500] if i < 80 else base[5000:], rng.integers(0, 2**64, 1500, np.uint64)]) for i in range(160)]
+    tracemalloc.start()
+    lab = simhash.alike(sets, np.full(160, -1), 0.8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lab.tolist() == [0] * 80 + [80] * 80
+    assert most < 3 * sum(x.nbytes for x in sets)
+
+
+def test_postings_in_parts():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.choice(2**64 // 97 * np.arange(97, dtype=np.uint64), n)) if n else np.array([], np.uint64) for n in (30, 0, 50, 7, 90)]
+    for part in (1, 5, 40, 1000):
+        owner, starts, run = simhash.postings(sets, part)
+        flat = [int(x) for s in sets for x in s]
+        assert [sorted(owner[starts[r] : starts[r + 1]].tolist()) for r in run] == [[k for k, s in enumerate(sets) if x in s.tolist()] for x in flat]
+
+
 def test_near_duplicates_of_empty_texts_and_two_shingles(spark):
     """Few bits of two shingles' fingerprint are set, so some come near an empty text's, which has none."""
     rng = np.random.default_rng(10)
