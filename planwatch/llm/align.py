op13_alignment: count a document's links by pair before the shuffle

Symptom: the second half of the job shuffled every link of every text, 589 MB written and as many read over 0.51 GB (1.16 x the input).
Evidence: 546 of the 589 MB left one stage, the batches on their way to the corpus's counts; in a batch of 4 MB of text the links took 2.4 MB of 2.7 MB, 1.76 million links of 0.31 million different pairs per document. The pair arrays, needed only to ask, travelled as well.
Fix: each batch keeps a document's different pairs in order with how often each stands, and the sums weigh by that; the pair arrays stay behind. Same plan, same batches, nothing more is broadcast.
Effect: at 0.6 GB of input CPU 568 -> 555 s, shuffle 0.66 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 1.25 -> 0.74 GB, longest task 42 -> 42 s, most memory of a task 109 -> 76 MB; at 6 GB of input CPU 4728 -> 4710 s, shuffle 6.62 -> 1.41 GB, spill 0.00 -> 0.00 GB, read 12.49 -> 7.37 GB, longest task 102 -> 105 s, most memory of a task 118 -> 201 MB; with hot keys, at 0.6 GB of input CPU 242 -> 250 s, shuffle 0.19 -> 0.09 GB, spill 0.00 -> 0.00 GB, read 0.36 -> 0.26 GB, longest task 17 -> 18 s, most memory of a task 71 -> 71 MB.

@@ -112,7 +112,8 @@ class Aligned:
 
 
 #: A row for each batch of documents. Arrays of numbers are compressed bytes; a, b and n are the batch's different pairs of ids and their links.
-BATCH = "batch long, ids binary, known binary, counts binary, digests binary, links binary, a array<int>, b array<int>, n array<long>"
+#: steps and times have a number for each document and each of its different pairs: the pair's place in a and b, less that of the number before, and its links.
+BATCH = "batch long, ids binary, known binary, counts binary, digests binary, steps binary, times binary, a array<int>, b array<int>, n array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, n_products long"
 
 
@@ -131,31 +132,42 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
+def counted(pairs: np.ndarray, n_links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the links of texts (their pairs of ids; n_links: each text's) the different pairs of each text in order, how often each stands, and how many each text has."""
+    own = np.unique(pairs)
+    keys = np.repeat(np.arange(len(n_links)) * len(own), n_links)
+    keys += np.searchsorted(own, pairs)
+    keys, times = np.unique(keys, return_counts=True)
+    text, at = np.divmod(keys, max(1, len(own)))
+    return own[at], times, np.bincount(text, minlength=len(n_links))
+
+
 def batch_of(number: int, pdf: pd.DataFrame, tokenizers: Tokenizers) -> dict[str, object]:
     """BATCH's row for the documents of pdf (id, text)."""
     counts: list[np.ndarray] = []
-    links: list[np.ndarray] = []
+    links: list[tuple[np.ndarray, np.ndarray]] = []
     digests: list[bytes] = []
     for part in by_size(iter([pdf]), "text", CHARS):
         found = Aligned(tokenizers, part["text"].tolist())
-        counts.append(np.stack([found.n_a, found.n_b, found.n_groups, found.n_links, found.n_products]))
-        links.append(found.pairs())
+        *own, n_pairs = counted(found.pairs(), found.n_links)
+        counts.append(np.stack([found.n_a, found.n_b, found.n_groups, found.n_links, found.n_products, n_pairs]))
+        links.append(own)
         digests += found.digests()
-    every = np.concatenate(links) if links else np.empty(0, np.int64)
+    every, times = map(np.concatenate, zip(*links, strict=True))
     del links
-    ordered = np.sort(every)
-    pairs = ordered[np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])]
-    at = np.searchsorted(pairs, every).astype(np.int32)
+    pairs = np.unique(every)
+    at = np.searchsorted(pairs, every)
     return {
         "batch": number,
         "ids": small_bytes(pdf["id"].fillna(0).to_numpy(np.int64)),
         "known": small_bytes(pdf["id"].notna().to_numpy(np.uint8)),
         "counts": small_bytes(np.concatenate(counts, axis=1).ravel()),
         "digests": b"".join(digests),
-        "links": small_bytes(at),
+        "steps": small_bytes(np.diff(at, prepend=0).astype(np.int32)),
+        "times": small_bytes(times.astype(np.int32)),
         "a": (pairs >> 32).astype(np.int32),
         "b": (pairs & 0xFFFFFFFF).astype(np.int32),
-        "n": np.bincount(at, minlength=len(pairs)).astype(np.int64),
+        "n": np.bincount(at, times, len(pairs)).astype(np.int64),
     }
 
 
@@ -181,8 +193,8 @@ def pair_counts(encoded: DataFrame) -> DataFrame:
 
 def results(batch: pd.Series, count: np.ndarray, best: np.ndarray) -> pd.DataFrame:
     """RESULT's rows of a batch, given the corpus's count of each of its pairs and whether it is the best of its b."""
-    n_a, n_b, n_groups, n_links, n_products = numbers(batch["counts"], np.int64).reshape(5, -1)
-    links = numbers(batch["links"], np.int32)
+    n_a, n_b, n_groups, n_links, n_products, n_pairs = numbers(batch["counts"], np.int64).reshape(6, -1)
+    at, times = numbers(batch["steps"], np.int32).cumsum(dtype=np.int64), numbers(batch["times"], np.int32)
     has = iter([batch["digests"][i : i + 32].hex() for i in range(0, len(batch["digests"]), 32)])
     return pd.DataFrame(
         {
@@ -191,8 +203,8 @@ def results(batch: pd.Series, count: np.ndarray, best: np.ndarray) -> pd.DataFra
             "n_b": n_b,
             "n_groups": n_groups,
             "n_links": n_links,
-            "n_best": sums(best[links], n_links),
-            "count_sum": sums(count[links], n_links),
+            "n_best": sums(best[at] * times, n_pairs),
+            "count_sum": sums(count[at] * times, n_pairs),
             "groups_sha256": [next(has) if n else "" for n in n_a],
             "n_products": n_products,
         }
@@ -208,20 +220,22 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id",
 
     Whole texts are encoded. A text that is null or empty, or that a tokenizer changes, has no tokens: numbers are 0,
     the digest is '', and the corpus's counts don't know it. Repeated rows and ids are documents each; a null id stays null; an
-    empty table gives no rows. A batch asks for each of its pairs once, so the join with the counts grows with batches, not links.
+    empty table gives no rows. A batch asks for each of its pairs once, so the join with the counts grows with batches, not links; what
+    meets the answers is each document's different pairs with how often they stand, not its links.
     """
     encoded = stored(batches(docs, path_a, path_b, id_col, text_col, most_chars))
     counts = stored(pair_counts(encoded))
     asked = encoded.select(F.col("batch").alias("of"), F.posexplode(F.arrays_zip("a", "b")).alias("at", "p")).select("of", "at", "p.a", "p.b")
     told = asked.join(small(counts, 200_000), ["a", "b"]).select("of", "at", "count", "best")
+    documents = encoded.select(F.size("a").alias("size"), *(c for c in encoded.columns if c not in ("a", "b", "n")))
 
     def run(told: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
         row = batch.iloc[0]
-        count, best = np.zeros((2, len(row["a"])), np.int64)
+        count, best = np.zeros((2, row["size"]), np.int64)
         count[told["at"]], best[told["at"]] = told["count"], told["best"]
         return results(row, count, best)
 
-    return told.groupBy("of").cogroup(encoded.groupBy("batch")).applyInPandas(run, RESULT)
+    return told.groupBy("of").cogroup(documents.groupBy("batch")).applyInPandas(run, RESULT)
 
 
 LINKS = "id long, a_ids array<int>, b_ids array<int>, links array<struct<start:long,end:long,a:int,b:int,group:int>>, products array<struct<a:int,b:int,group:int>>"

@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -130,6 +132,29 @@ def test_empty_table_and_table_of_nulls(spark):
     assert sorted(map(tuple, got), key=repr) == sorted([(1, *[0] * 6, "", 0), (None, *[0] * 6, "", 0)], key=repr)
 
 
+def test_a_repeated_pair_of_a_document_is_kept_once():
+    """What is shuffled of a document grows with its different pairs, not with its links; texts without tokens, first and last too, have none."""
+    tokenizers = align.Tokenizers(*PATHS)
+    texts = ["", "one word and another", "word " * 40_000, "", "word word", *ODD[3:], ""]
+    pdf = pd.DataFrame({"id": range(len(texts)), "text": texts})
+    found = align.batch_of(0, pdf, tokenizers)
+    n_links, n_pairs = align.numbers(found["counts"], np.int64).reshape(6, -1)[[3, 5]].tolist()
+    assert n_links[2] > 39_000 and n_pairs[2] < 5 and len(found["steps"]) + len(found["times"]) < 8_000
+    places, times = align.numbers(found["steps"], np.int32).cumsum().tolist(), align.numbers(found["times"], np.int32).tolist()
+    total, at = Counter(), 0
+    for text, n, m in zip(texts, n_links, n_pairs, strict=True):
+        x = align.Aligned(tokenizers, [text])
+        want = Counter(x.pairs().tolist())
+        assert dict(zip([int(found["a"][k]) << 32 | int(found["b"][k]) for k in places[at : at + m]], times[at : at + m], strict=True)) == want
+        assert sum(want.values()) == n
+        total += want
+        at += m
+    assert at == len(places) == len(times)
+    assert dict(zip((found["a"].astype(np.int64) << 32 | found["b"]).tolist(), found["n"].tolist(), strict=True)) == total
+    none = align.batch_of(0, pdf.iloc[[0, 3]], tokenizers)
+    assert align.results(pd.Series(none), *np.zeros((2, 0), np.int64))["n_best"].tolist() == [0, 0]
+
+
 def test_links_of_texts(spark):
     texts = [t for t in ODD if t and len(t) < 200]
     df = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
