@@ -107,6 +107,17 @@ def test_blocks_below_the_threshold_are_never_decompressed():
     assert seen == sum(len(p.known) for p, _ in asked) < 0.1 * sum(len(p.last) for p, _ in asked)
 
 
+def test_terms_in_java_are_those_in_python(spark):
+    """Each sign up to U+02FF and some beyond ends a term or doesn't, in the statistics as in the index."""
+    signs = [*map(chr, range(0x300)), "\u2028", "\u3000", "漢", "\ud7ff", "\ue000", "\uffff", "\U00010000", "\U0010ffff"]
+    rows = [(f"a{c}b", len(TERMS.findall(f"a{c}b"))) for c in signs] + [("", 0), (None, 0)]
+    df = spark.createDataFrame(rows, "text string, n int")
+    counted = df.select("n", F.coalesce(F.regexp_count("text", F.lit(ranked.TERM)), F.lit(0)).alias("found"))
+    assert counted.where("n <> found").count() == 0
+    assert ranked.statistics(df) == (len(signs), sum(n for _, n in rows))
+    assert [len(ranked.terms_of(t or "")) for t, _ in rows] == [n for _, n in rows]
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame(corpus(20), "doc_id long, text string")
     asked = spark.createDataFrame(QUERIES, "item_id long, text string")
