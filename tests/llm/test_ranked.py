@@ -107,6 +107,22 @@ def test_blocks_below_the_threshold_are_never_decompressed():
     assert seen == sum(len(p.known) for p, _ in asked) < 0.1 * sum(len(p.last) for p, _ in asked)
 
 
+@pytest.mark.parametrize("chars", [1, 300, ranked.CHARS])
+def test_texts_are_cut_together(monkeypatch, chars):
+    """However many texts are cut at a time, terms are numbered in the order they are met and texts without any, at any place, have none."""
+    monkeypatch.setattr(ranked, "CHARS", chars)
+    texts = ["", " \n_!", *(t or "" for _, t in corpus(40)), "\x00a\x1cb\x7f\t c\x0b", "é\x85ü\u2028Ü\u00a0Z", "😀a B😀", "\x00"]
+    shard = ranked.Shard()
+    for i, text in enumerate(texts):
+        shard.add(i, text)
+    want = [TERMS.findall(t.translate(UPPER)) for t in texts]
+    assert shard.sizes == [*map(len, want)] and not shard.texts
+    names, numbers = shard.numbered()
+    assert names.tolist() == [*dict.fromkeys(w for ws in want for w in ws)]
+    assert names[numbers].tolist() == [w for ws in want for w in ws]
+    assert len(shard.words) == (len(texts) if chars == 1 else 1) or chars == 300
+
+
 def test_terms_in_java_are_those_in_python(spark):
     """Each sign up to U+02FF and some beyond ends a term or doesn't, in the statistics as in the index."""
     signs = [*map(chr, range(0x300)), "\u2028", "\u3000", "漢", "\ud7ff", "\ue000", "\uffff", "\U00010000", "\U0010ffff"]
@@ -115,7 +131,7 @@ def test_terms_in_java_are_those_in_python(spark):
     counted = df.select("n", F.coalesce(F.regexp_count("text", F.lit(ranked.TERM)), F.lit(0)).alias("found"))
     assert counted.where("n <> found").count() == 0
     assert ranked.statistics(df) == (len(signs), sum(n for _, n in rows))
-    assert [len(ranked.terms_of(t or "")) for t, _ in rows] == [n for _, n in rows]
+    assert [x or 0 for x in ranked.terms_of([t or "" for t, _ in rows]).value_lengths().to_pylist()] == [n for _, n in rows]
 
 
 def test_empty_tables(spark):
